@@ -46,3 +46,27 @@ def as_bytes(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes]:
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns an operator reads, under fixed names; all others stay unread."""
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+
+
+def held_out(doc_id):
+    """Rows kept from learning: crc32 of the id as text is divisible by 5."""
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
+
+
+def by_hash(rows: DataFrame, key: str, total: int, at_most: int) -> DataFrame:
+    """About at_most of total rows, the same ones each time, by a hash of the key; all where there are no more."""
+    if total <= at_most:
+        return rows
+    share = int(at_most / total * (1 << 30))
+    return rows.filter(F.pmod(F.xxhash64(key, F.lit(7)), F.lit(1 << 30)) < share)
+
+
+def label_sample(docs: DataFrame, labels: DataFrame, label: str, at_most: int) -> DataFrame:
+    """(label, text) of labelled documents that aren't held out; docs has doc_id and text.
+
+    The sample is bounded, so its ids can be broadcast to one scan of the documents.
+    """
+    known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    known = known.groupBy("doc_id").agg(F.max(label).alias("label"))
+    few = by_hash(known, "doc_id", known.count(), at_most)
+    return docs.join(F.broadcast(few), "doc_id").select("label", "text")

@@ -12,7 +12,13 @@ from palimpsest.llm.common import table
 from palimpsest.llm.decontaminate import decontaminate
 from palimpsest.llm.exact_dedup import exact_dedup
 from palimpsest.llm.packing import pack_documents
+from palimpsest.llm.quality_pu import quality
 from palimpsest.llm.simhash_dedup import hex16, simhash_dedup
+from palimpsest.llm.toxicity_nb import toxicity
+
+
+def op1_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,15 +44,21 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity_nb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.5)
+
+
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup(table(spark, sf_dir, "documents"), shingle=4, max_distance=4)
     return found.select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_pu": op1_quality_pu,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_decontamination": op3_decontamination,
     "op4_exact_dedup": op4_exact_dedup,
+    "op8_toxicity_nb": op8_toxicity_nb,
     "op10_simhash_dedup": op10_simhash_dedup,
 }
 
