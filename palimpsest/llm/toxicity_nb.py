@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.common import as_bytes, cut, fill_partitions, held_out, id_and_text, label_sample
 
-BITS = 18
-SIZES = (3, 4, 5, 6)
+BITS = 20
+SIZES = (4, 5, 6, 7, 8)
 #: Everything but letters, digits and bytes above 0x7F separates words; A-Z become a-z.
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _BLOCK = 1 << 20
+#: Tasks that count the bounded sample; each sends a row for every bucket it met.
+_TASKS = 8
 
 
 def grams(text: bytes) -> Iterator[np.ndarray]:
@@ -75,16 +77,17 @@ def _counts(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
     return out[1, :-1], out[0, :-1], int(out[1, -1]), int(out[0, -1])
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = 20_000, keep: int = 4_000, steps: int = 300, rate: float = 0.05, l2: float = 0.01) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = 20_000, keep: int = 4_000, steps: int = 300, rate: float = 0.05, l2: float = 1.0) -> Model:
     """Fit on at most about max_rows labelled texts that aren't held out, taken by a hash of the id.
 
     Every bucket gets the log ratio of its smoothed shares among texts of either
     label. The `keep` buckets whose shares differ most for their spread stay; a
-    text is the ratios of those it has, and a logistic regression weighs them.
+    text is the ratios of those it has, and a logistic regression, to which either
+    label counts as much, weighs them.
     Without texts of both labels every text gets the same score: the share of
     toxic labels, a half where there is none.
     """
-    sample = cut(label_sample(docs, labels, label, max_rows))
+    sample = cut(label_sample(docs, labels, label, max_rows)).coalesce(_TASKS)
     pos, neg, n_pos, n_neg = _counts(sample)
     slot = np.zeros(1 << BITS, np.int32)
     if not n_pos or not n_neg:
@@ -107,10 +110,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
     found = found.chunk(0) if isinstance(found, pa.ChunkedArray) else found
     sizes, f = np.diff(found.offsets.to_numpy()), found.flatten().to_numpy()
     doc, x, n = np.repeat(np.arange(len(y)), sizes), scale[f], len(y)
+    weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (n - y.sum()))
     theta, m, v = np.zeros(keep + 1), np.zeros(keep + 1), np.zeros(keep + 1)
     for t in range(1, steps + 1):
         z = np.bincount(doc, theta[f] * x, minlength=n) + theta[-1]
-        r = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
+        r = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight
         g = np.append(np.bincount(f, r[doc] * x, minlength=keep), r.sum())
         g[:-1] += l2 / n * theta[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
@@ -123,7 +127,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     Learns from `labels` (doc_id, toxic) as train() says and scores every whole
     text where it lies, without a shuffle; the model is one number for each of
-    2^18 buckets. A null or empty text has no n-gram but the space and gets the
+    2^20 buckets. A null or empty text has no n-gram but the space and gets the
     bias. Repeated rows get the same score each; a null id is never held out; an
     empty table gives an empty result; other columns are not read.
     """
