@@ -50,7 +50,7 @@ def op8_toxicity_nb(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup(table(spark, sf_dir, "documents"), shingle=4, max_distance=4)
-    return found.select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
+    return found.select("doc_id", hex16(F.col("f0")).alias("fingerprint"), "component_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

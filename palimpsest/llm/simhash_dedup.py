@@ -14,133 +14,160 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import as_bytes, cut, fill_partitions, id_and_text
 from palimpsest.llm.components import connected_components
 
+#: Bits of one word of a fingerprint.
 BITS = 64
 #: Shingles whose bits are counted at once; bounds the memory a very long text takes.
-_BLOCK = 1 << 16
-
-
-def fingerprint(text: bytes, shingle: int) -> int:
-    """Unsigned 64-bit SimHash of the shingles of a text (A-Z lower-cased, words between ASCII white space)."""
-    words = text.lower().split()
-    n = len(words) - shingle + 1
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    if n <= 1:
-        return xxhash.xxh64_intdigest(joined, 42)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+_BLOCK = 1 << 15
+#: Members of a bucket that every probe is held against at first.
+_PICKED = 4
+#: Buckets that may be sent to every executor; more of them are joined by a shuffle.
+_SENT = 200_000
+
+
+def _more(h: np.ndarray, word: int) -> np.ndarray:
+    """Further 64 bits of a hash, for the wider fingerprints: the finaliser of SplitMix64."""
+    z = h + np.uint64(word * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def fingerprint(text: bytes, shingle: int, words: int = 1) -> list[int]:
+    """SimHash of the shingles of a text in unsigned 64-bit words (A-Z lower-cased, words between ASCII white space)."""
+    parts = text.lower().split()
+    n = max(1, len(parts) - shingle + 1)
+    if not parts:
+        return [0] * words
+    joined = b" ".join(parts)
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
+    last = min(shingle, len(parts)) - 1
     digest = xxhash.xxh64_intdigest
-    counts = np.zeros(BITS, np.int64)
+    counts = np.zeros((words, BITS), np.int64)
     for at in range(0, n, _BLOCK):
         upto = min(n, at + _BLOCK)
-        pairs = zip(starts[at:upto].tolist(), ends[at + shingle - 1 : upto + shingle - 1].tolist(), strict=True)
+        pairs = zip(starts[at:upto].tolist(), ends[at + last : upto + last].tolist(), strict=True)
         h = np.array([digest(joined[a:b], 42) for a, b in pairs], "<u8")
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > n, bitorder="little").tobytes(), "little")
+        for w in range(words):
+            bits = np.unpackbits((_more(h, w) if w else h).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            counts[w] += bits.sum(axis=0, dtype=np.int64)
+    return [int.from_bytes(np.packbits(2 * c > n, bitorder="little").tobytes(), "little") for c in counts]
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """(doc_id, fp): one signed 64-bit fingerprint per input row."""
+def _names(words: int) -> list[str]:
+    return [f"f{w}" for w in range(words)]
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, words: int = 1) -> DataFrame:
+    """(doc_id, f0, f1, ...): the words of one fingerprint per input row, as signed 64-bit numbers."""
+    names = ["doc_id", *_names(words)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.array([fingerprint(x, shingle) for x in as_bytes(batch.column(1))], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+            prints = np.array([fingerprint(x, shingle, words) for x in as_bytes(batch.column(1))], np.uint64).reshape(-1, words).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(prints[:, w])) for w in range(words))], names)
 
     texts = fill_partitions(id_and_text(docs, id_col, text_col))
-    return texts.mapInArrow(run, f"doc_id {dict(texts.dtypes)['doc_id']}, fp long")
+    return texts.mapInArrow(run, f"doc_id {dict(texts.dtypes)['doc_id']}, " + ", ".join(f"{n} long" for n in _names(words)))
 
 
-def _segments(max_distance: int) -> list[tuple[int, int]]:
-    """(shift, width) of segments such that two fingerprints within the distance differ by one bit at most in one of them."""
-    n = (max_distance + 2) // 2
+def _segments(words: int, max_distance: int) -> list[tuple[str, int, int]]:
+    """(word, shift, width) of the segments. One word has as many as it takes for a link to leave one flip at most in one of them; of several, each has three."""
+    n = (max_distance + 2) // 2 if words == 1 else 3
     edges = [round(i * BITS / n) for i in range(n + 1)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
+    return [(f, a, b - a) for f in _names(words) for a, b in zip(edges, edges[1:], strict=False)]
 
 
 def _masks(width: int, radius: int) -> list[int]:
     return [sum(1 << b for b in bits) for r in range(radius + 1) for bits in combinations(range(width), r)]
 
 
-def _tables(nodes: DataFrame, max_distance: int) -> tuple[DataFrame, DataFrame]:
+def _tables(nodes: DataFrame, segments: list[tuple[str, int, int]], radius: int = 1) -> tuple[DataFrame, DataFrame]:
     """The table entries (one per segment) and the probes (the ball around each segment) of all fingerprints.
 
     Of two segment values a flip apart, only the smaller one probes for the
     larger, so each pair of rows meets once per segment.
     """
-    segments = _segments(max_distance)
-    radius = max_distance // len(segments)
-    entries = [(F.lit(s), F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1))) for s, (shift, width) in enumerate(segments)]
+    values = [F.shiftrightunsigned(f, shift).bitwiseAND(F.lit((1 << width) - 1)) for f, shift, width in segments]
 
-    def ball(seg, value, width):
+    def ball(seg: int, value, width: int):
         def neighbour(mask):
             key = value.bitwiseXOR(mask)
-            return F.struct(seg.alias("seg"), key.alias("key"), (key == value).alias("same"), (key >= value).alias("up"))
+            return F.struct(F.lit(seg).alias("seg"), key.alias("key"), (key == value).alias("same"))
 
-        return F.transform(F.array(*[F.lit(m).cast("long") for m in _masks(width, radius)]), neighbour)
+        masks = F.array(*[F.lit(m).cast("long") for m in _masks(width, radius)])
+        return F.transform(F.filter(masks, lambda m: value.bitwiseXOR(m) >= value), neighbour)
 
-    probes = [ball(seg, value, width) for (seg, value), (_, width) in zip(entries, segments, strict=True)]
-    table = nodes.select("*", F.explode(F.array(*[F.struct(s.alias("seg"), v.alias("key")) for s, v in entries])).alias("e")).select("*", "e.*").drop("e")
-    probe = nodes.select("*", F.explode(F.filter(F.flatten(F.array(*probes)), lambda x: x["up"])).alias("e")).select("*", "e.seg", "e.key", "e.same").drop("e")
-    return table, probe
+    entries = F.array(*[F.struct(F.lit(s).alias("seg"), v.alias("key")) for s, v in enumerate(values)])
+    probes = F.flatten(F.array(*[ball(s, v, width) for s, (v, (_, _, width)) in enumerate(zip(values, segments, strict=True))]))
+    return tuple(nodes.select("*", F.explode(x).alias("e")).select(*nodes.columns, "e.*") for x in (entries, probes))
 
 
-def _distance(a, b):
-    return F.bit_count(a.bitwiseXOR(b))
+def _distance(a, b, names: list[str]):
+    return sum((F.bit_count(a[n].bitwiseXOR(b[n])) for n in names), F.lit(0))
 
 
-def linked(nodes: DataFrame, max_distance: int) -> DataFrame:
-    """(fp, component) of distinct fingerprints (nodes: fp); component is the smallest fp reachable over links.
+def linked(nodes: DataFrame, words: int, max_distance: int) -> DataFrame:
+    """(node, component) of fingerprints (nodes: node, f0, f1, ... distinct); component is the smallest node reachable.
 
-    First each probe is held against four members of the bucket it meets, which
-    links the members of a dense bucket without any pair among them; the
-    components of those links label the fingerprints. Then only probes that meet
-    a bucket with another label look at all of its members, and only members with
-    another label are compared. So a large group of near copies costs a few rows
-    for each fingerprint, not the square of the group, and no link between
-    components is lost.
+    First each probe is held against four members of the bucket it meets. Those
+    are all members of nearly every bucket; in a dense bucket they link its members
+    without any pair among them. The components of those links label the
+    fingerprints. Then the buckets of more members that meet another label are
+    searched in full, and only members with another label are compared. So a large
+    group of near copies costs a few rows for each fingerprint, not the square of
+    the group, and no link between components is lost.
     """
-    table, probe = _tables(nodes, max_distance)
-    mixed = F.xxhash64("fp")
+    names, segments = _names(words), _segments(words, max_distance)
+    table, probe = _tables(nodes, segments)
+    one, mixed = F.struct("node", *names), F.xxhash64("node", F.lit(1))
     picks = table.groupBy("seg", "key").agg(
-        F.min("fp").alias("a"), F.max("fp").alias("b"), F.min_by("fp", mixed).alias("c"), F.max_by("fp", mixed).alias("d")
+        F.count(F.lit(1)).alias("members"), F.min(one).alias("a"), F.max(one).alias("b"), F.min_by(one, mixed).alias("c"), F.max_by(one, mixed).alias("d")
     )
-    near = F.filter(F.array_distinct(F.array("a", "b", "c", "d")), lambda x: (x != F.col("fp")) & (_distance(x, F.col("fp")) <= max_distance))
-    stars = probe.join(picks, ["seg", "key"]).select(F.col("fp").alias("src"), F.explode(near).alias("dst"))
+    # Some of the four can be one and the same member, so a bucket of three or more may still have others.
+    me = {n: F.col(n) for n in names}
+    near = F.filter(F.array("a", "b", "c", "d"), lambda x: (x["node"] != F.col("node")) & (_distance(x, me, names) <= max_distance))
+    stars = probe.join(picks, ["seg", "key"]).select(F.col("node").alias("src"), F.explode(F.array_distinct(F.transform(near, lambda x: x["node"]))).alias("dst"))
     first = connected_components(stars)
-    named = cut(nodes.join(first, nodes.fp == first.node, "left").select("fp", F.coalesce("component", "fp").alias("label")))
+    named = cut(nodes.join(first.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select(*nodes.columns, F.coalesce("component", "node").alias("label")))
 
-    table, probe = _tables(named, max_distance)
-    labels = table.groupBy("seg", "key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    open_probe = probe.join(labels, ["seg", "key"]).filter("low <> label or high <> label").drop("low", "high")
-    t = table.select("seg", "key", F.col("fp").alias("t_fp"), F.col("label").alias("t_label"))
-    met = (open_probe.seg == t.seg) & (open_probe.key == t.key) & (open_probe.label != t.t_label)
-    met &= (~open_probe.same | (open_probe.fp < t.t_fp)) & (_distance(open_probe.fp, t.t_fp) <= max_distance)
-    between = open_probe.join(t, met).select(F.col("label").alias("src"), F.col("t_label").alias("dst"))
-    merged = connected_components(between)
-    return named.join(merged, named.label == merged.node, "left").select("fp", F.coalesce("component", "label").alias("component"))
+    table, probe = _tables(named, segments)
+    dense = cut(table.groupBy("seg", "key").agg(F.count(F.lit(1)).alias("members"), F.min("label").alias("low"), F.max("label").alias("high")).filter("members > 2"))
+    few = dense.count() <= _SENT
+    dense = F.broadcast(dense) if few else dense
+    asking = probe.join(dense, ["seg", "key"]).filter("low <> label or high <> label").drop("members", "low", "high")
+    t = table.join(dense.select("seg", "key"), ["seg", "key"]).select(F.struct(*names).alias("t"), "seg", "key", F.col("node").alias("t_node"), F.col("label").alias("t_label"))
+    met = asking.join(t, ["seg", "key"]).filter((F.col("label") != F.col("t_label")) & (~F.col("same") | (F.col("node") < F.col("t_node"))) & (_distance(F.col("t"), me, names) <= max_distance))
+    merged = connected_components(met.select(F.col("label").alias("src"), F.col("t_label").alias("dst")))
+    return named.join(merged.withColumnRenamed("node", "n"), F.col("label") == F.col("n"), "left").select("node", F.coalesce("component", "label").alias("component"))
 
 
-def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_distance: int = 4) -> DataFrame:
-    """One row per input row: doc_id, fp (64-bit SimHash as long), component_id.
+def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_distance: int = 4, words: int = 1) -> DataFrame:
+    """One row per input row: doc_id, f0, f1, ... (64-bit words of its SimHash), component_id.
 
     Two rows link when their fingerprints differ in at most `max_distance` bits;
     component_id is the smallest doc_id reachable over links. Equal fingerprints
     collapse to one node first, so exact copies cost one row each.
 
+    With one word every link is found: of the (max_distance + 2) // 2 segments, two
+    linked fingerprints differ by one bit at most in one. With more words, for
+    larger distances, each word has three segments and a link is found where one
+    of them differs by one bit at most; that is likely, not certain.
+
     A null or empty text, or one of white space only, has fingerprint zero and
     links like any other. A text of fewer words than a shingle is one shingle.
     Repeated rows get the same answer each. A null id never wins; a component
     without any id has a null component_id. An empty table gives an empty result;
     other columns are not read.
     """
-    prints = cut(fingerprints(docs, id_col, text_col, shingle))
-    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("low_id")))
-    found = nodes.join(linked(nodes.select("fp"), max_distance), "fp")
+    names = _names(words)
+    node = F.col("f0") if words == 1 else F.xxhash64(*names)
+    prints = cut(fingerprints(docs, id_col, text_col, shingle, words).withColumn("node", node))
+    nodes = cut(prints.groupBy("node", *names).agg(F.min("doc_id").alias("low_id")))
+    found = nodes.join(linked(nodes.select("node", *names), words, max_distance), "node")
     ids = found.groupBy("component").agg(F.min("low_id").alias("component_id"))
-    by_print = found.join(ids, "component").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    by_print = found.join(ids, "component").select("node", "component_id")
+    return prints.join(by_print, "node").select("doc_id", *names, "component_id")
 
 
 def hex16(fp):
