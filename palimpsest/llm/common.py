@@ -70,3 +70,19 @@ def label_sample(docs: DataFrame, labels: DataFrame, label: str, at_most: int) -
     known = known.groupBy("doc_id").agg(F.max(label).alias("label"))
     few = by_hash(known, "doc_id", known.count(), at_most)
     return docs.join(F.broadcast(few), "doc_id").select("label", "text")
+
+
+#: Ids that may be sent to every executor (16 MB as plain numbers); more of them are joined by a shuffle.
+SENT_IDS = 1_000_000
+
+
+def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Rows of docs whose id is not in `dropped` (one column of that name). A null id is never dropped."""
+    dropped = cut(dropped.select(id_col).distinct())
+    few = dropped.count() <= SENT_IDS
+    return docs.join(F.broadcast(dropped) if few else dropped, id_col, "left_anti").select(docs.columns)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """Where intermediate tables go: the folder of spark.checkpoint.dir, or one of this machine where none is named."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="palimpsest-")

@@ -160,13 +160,23 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     columns are not read.
     """
     texts = id_and_text(docs, id_col, text_col)
-    model = train(texts, labels, **bounds)
+    score = scorer(train(texts, labels, **bounds))
+    scored = fill_partitions(texts).select("doc_id", score("text").alias("score"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.array([features(t) for t in as_bytes(batch.column(1))], float)
-            scores = model.score(x) if len(x) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
-    scored = fill_partitions(texts).mapInArrow(run, f"doc_id {dict(texts.dtypes)['doc_id']}, score double")
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+def scorer(model: Model):
+    """The score of a text column, for use in any DataFrame; other columns don't pass through Python."""
+
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
+        x = np.array([features(t) for t in as_bytes(text)], float)
+        return pa.array(model.score(x) if len(x) else np.zeros(0), pa.float64())
+
+    return score
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, **bounds: int) -> DataFrame:
+    """The rows, with all their columns, that quality() predicts 1 for."""
+    score = scorer(train(id_and_text(docs, id_col, text_col), labels, **bounds))
+    return docs.filter(score(F.col(f"`{text_col}`")) >= threshold)
