@@ -8,13 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.llm.chat_format import link_tool_calls
 from palimpsest.llm.common import table
 from palimpsest.llm.decontaminate import decontaminate
 from palimpsest.llm.exact_dedup import exact_dedup
+from palimpsest.llm.license_scan import PHRASES, TEMPLATES, license_scan
 from palimpsest.llm.packing import pack_documents
 from palimpsest.llm.quality_pu import quality
 from palimpsest.llm.simhash_dedup import hex16, simhash_dedup
+from palimpsest.llm.substring_dedup import substring_dedup
 from palimpsest.llm.toxicity_nb import toxicity
+from palimpsest.llm.url_filter import host_of, url_filter
 
 
 def op1_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +48,76 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan(table(spark, sf_dir, "documents"))
+    starts = F.transform("places", lambda p: p["start"])
+    base = F.transform("places", lambda p: p["label"])
+    every = F.concat(base, F.transform("blocks", lambda b: b["label"]))
+    best = F.coalesce(F.array_max(F.transform("blocks", lambda b: b["containment"])), F.lit(0.0))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct(base)), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_distinct(every)), ",").alias("labels"),
+        F.when(F.size("places") > 0, 1.0).otherwise(best).alias("score"),
+    )
+
+
+_TOOLS = [
+    ("search", '{"type":"object","properties":{"query":{"type":"string","minLength":1},"thread":{"type":"object"},"turn":{"type":"integer","minimum":0}},"required":["query","turn"],"additionalProperties":false}'),
+    ("configure", '{"type":"object","properties":{"instructions":{"type":"string","maxLength":200}},"required":["instructions"],"additionalProperties":false}'),
+]
+
+
+def op6_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations as tool traffic: a user or system turn calls a tool, an assistant's turn answers the turn before."""
+    turns = table(spark, sf_dir, "conversations")
+    call_id = lambda turn: F.concat_ws("-", F.col("conv_id"), turn)
+    thread = F.when(F.col("turn") > 0, F.struct(call_id(F.lit(0)).alias("$ref")))
+    search = F.to_json(F.struct(F.col("text").alias("query"), "turn", thread.alias("thread")))
+    configure = F.to_json(F.struct(F.col("text").alias("instructions")))
+    is_system = F.col("role") == "system"
+    calls = turns.filter("role in ('user', 'system')").select(
+        "conv_id", call_id(F.col("turn")).alias("call_id"), "turn", F.when(is_system, "configure").otherwise("search").alias("name"), F.when(is_system, configure).otherwise(search).alias("arguments")
+    )
+    results = turns.filter("role = 'assistant'").select("conv_id", call_id(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
+    linked = link_tool_calls(calls, results, spark.createDataFrame(_TOOLS, "name string, parameters string"))
+    return linked.withColumn("errors", F.array_join("errors", "; "))
+
+
+#: Dated entries besides those that op7 derives from the pages.
+_ENTRIES = [
+    ("spam", "spam-farm.example.org", "2024-01-15", "add"),
+    ("spam", "cheap-pills.example.com", "2024-02-01", "add"),
+    ("spam", "cheap-pills.example.com", "2024-11-01", "remove"),
+    ("domains", "example.org", "2024-03-01", "add"),
+    ("domains", "example.org", "2024-06-01", "remove"),
+    ("domains", "example.org", "2024-09-15", "add"),
+]
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as captures of 2024, one list entry or two of every host, and a few fixed ones."""
+    day = lambda n: F.timestamp_add("DAY", n, F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    captures = table(spark, sf_dir, "pages").select("page_id", "url", F.timestamp_add("MINUTE", (F.col("page_id") * 97 % 525600).cast("int"), F.lit("2024-01-01 00:00:00").cast("timestamp")).alias("fetched_at"))
+    hosts = captures.groupBy(host_of(F.col("url")).alias("pattern")).agg(F.min("page_id").alias("low"))
+    first = (F.col("low") * 7 % 300).cast("int")
+    added = hosts.select(F.lit("watch").alias("list_name"), "pattern", day(first).alias("at"), F.lit("add").alias("action"))
+    removed = hosts.filter("low % 3 = 0").select(F.lit("watch").alias("list_name"), "pattern", day(first + 45).alias("at"), F.lit("remove").alias("action"))
+    fixed = spark.createDataFrame(_ENTRIES, "list_name string, pattern string, at string, action string").withColumn("at", F.col("at").cast("timestamp"))
+    found = url_filter(captures, added.union(removed).unionByName(fixed))
+    return found.select("page_id", "host", F.array_join("lists", ",").alias("lists"), "blocked")
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup(table(spark, sf_dir, "documents"), length=50)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_toxicity_nb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.5)
 
@@ -58,13 +132,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_decontamination": op3_decontamination,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_license_scan": op5_license_scan,
+    "op6_tool_call_linking": op6_tool_call_linking,
+    "op7_url_filter": op7_url_filter,
     "op8_toxicity_nb": op8_toxicity_nb,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_simhash_dedup": op10_simhash_dedup,
 }
 
 #: Words as the contracts name them, in DuckDB.
 _WORD_SQL = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
 
+
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join(f"'{x}'" for x in row) + ")" for row in rows)
+
+
 ORACLE_SQL: dict[str, str] = {
     "op3_decontamination": f"""
         WITH d AS (SELECT doc_id, {_WORD_SQL} AS w FROM documents),
@@ -85,4 +168,51 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = min(doc_id) OVER w AS kept, sha256(body) AS text_sha256
         FROM t WINDOW w AS (PARTITION BY body)""",
+    "op5_license_scan": f"""
+        WITH d AS (SELECT doc_id, {_WORD_SQL} AS w FROM documents),
+        phrase(p, label) AS (VALUES {_values(PHRASES)}),
+        template AS (SELECT row_number() OVER () AS k, list_distinct(string_split(p, ' ')) AS tokens, label FROM (VALUES {_values(TEMPLATES)}) AS t(p, label)),
+        place AS (SELECT doc_id, i - 1 AS pos, label FROM d, unnest(range(1, len(w) + 1)) AS t(i), phrase
+                  WHERE w[i] = string_split(p, ' ')[1] AND array_to_string(w[i:i + len(string_split(p, ' ')) - 1], ' ') = p),
+        block AS (SELECT doc_id, list_distinct(w[i + 1:i + 32]) AS b FROM d, unnest(range(0, len(w), 16)) AS t(i)),
+        hit AS (SELECT doc_id, label, len(list_intersect(tokens, b)) / len(tokens) AS share FROM block, template
+                WHERE len(list_intersect(tokens, b)) >= ceil(0.85 * len(tokens) - 1e-9)),
+        base AS (SELECT doc_id, count(*) AS n, min(pos) AS lo, max(pos) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS names FROM place GROUP BY 1),
+        best AS (SELECT doc_id, max(share) AS share FROM hit GROUP BY 1),
+        every AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS names
+                  FROM (SELECT doc_id, label FROM place UNION ALL SELECT doc_id, label FROM hit) GROUP BY 1)
+        SELECT doc_id, len(w) AS n_words, coalesce(base.n, 0) AS n_base, lo AS first_word, hi AS last_word,
+               coalesce(base.names, '') AS base_labels, coalesce(every.names, '') AS labels,
+               CASE WHEN base.n > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0) END AS score
+        FROM d LEFT JOIN base USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN every USING (doc_id)""",
+    "op6_tool_call_linking": """
+        WITH c AS (SELECT conv_id, conv_id || '-' || turn AS call_id, turn, text, role = 'system' AS sys FROM conversations WHERE role IN ('user', 'system')),
+        r AS (SELECT conv_id, conv_id || '-' || (turn - 1) AS call_id, turn AS result_turn, text AS content FROM conversations WHERE role = 'assistant'),
+        j AS (SELECT c.*, r.result_turn, r.content, r.call_id IS NOT NULL AS linked,
+                     turn > 0 AND NOT sys AND conv_id || '-0' IN (SELECT call_id FROM c) AS refers
+              FROM c LEFT JOIN r USING (conv_id, call_id)),
+        v AS (SELECT *, CASE WHEN sys AND length(text) > 200 THEN '$.instructions: length out of bounds'
+                             WHEN NOT sys AND length(text) < 1 THEN '$.query: length out of bounds' ELSE '' END AS errors FROM j)
+        SELECT conv_id, call_id, turn, CASE WHEN sys THEN 'configure' ELSE 'search' END AS name, 'call' AS kind,
+               CASE WHEN refers THEN 1 ELSE 0 END AS level, errors = '' AS valid, errors, result_turn,
+               '{"arguments":' || CASE WHEN sys THEN '{"instructions":' || to_json(text) || '}'
+                   ELSE '{"query":' || to_json(text) || CASE WHEN turn > 0 THEN ',"thread":{"$ref":"' || conv_id || '-0"}' ELSE '' END || ',"turn":' || turn || '}' END
+               || ',"id":"' || call_id || '","name":"' || CASE WHEN sys THEN 'configure' ELSE 'search' END || '"'
+               || CASE WHEN linked THEN ',"result":' || to_json(content) ELSE '' END || ',"type":"tool_call"}' AS json
+        FROM v
+        UNION ALL
+        SELECT conv_id, call_id, result_turn, NULL, 'result', NULL, false, 'no such call', result_turn,
+               '{"id":"' || call_id || '","result":' || to_json(content) || ',"type":"tool_result"}'
+        FROM r WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.conv_id = r.conv_id AND c.call_id = r.call_id)""",
+    "op7_url_filter": f"""
+        WITH p AS (SELECT page_id, nullif(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\\[[^\\]]*\\]|[^/?#:]*)', 1), '\\.+$', ''), '') AS host,
+                          TIMESTAMP '2024-01-01' + to_minutes(page_id * 97 % 525600) AS fetched_at FROM pages),
+        h AS (SELECT host, min(page_id) AS low FROM p GROUP BY 1),
+        e AS (SELECT 'watch' AS list_name, host AS pattern, TIMESTAMP '2024-01-01' + to_days(CAST(low * 7 % 300 AS INT)) AS moment, 'add' AS action FROM h
+              UNION ALL SELECT 'watch', host, TIMESTAMP '2024-01-01' + to_days(CAST(low * 7 % 300 + 45 AS INT)), 'remove' FROM h WHERE low % 3 = 0
+              UNION ALL SELECT a, b, CAST(c AS TIMESTAMP), d FROM (VALUES {_values(_ENTRIES)}) AS t(a, b, c, d)),
+        i AS (SELECT *, lead(moment) OVER (PARTITION BY list_name, pattern ORDER BY moment) AS until FROM e),
+        m AS (SELECT page_id, string_agg(DISTINCT list_name, ',' ORDER BY list_name) AS lists FROM p JOIN i
+              ON (host = pattern OR ends_with(host, '.' || pattern)) AND action = 'add' AND moment <= fetched_at AND (until IS NULL OR fetched_at < until) GROUP BY 1)
+        SELECT page_id, host, coalesce(lists, '') AS lists, lists IS NOT NULL AS blocked FROM p LEFT JOIN m USING (page_id)""",
 }
