@@ -8,6 +8,7 @@ import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from tokenizers import Tokenizer
 from palimpsest.llm.common import as_bytes, cut, fill_partitions, id_and_text
 
 #: Distinct words a task remembers the ids of; beyond it the memory starts afresh.
-_REMEMBERED = 500_000
+_REMEMBERED = 800_000
 #: Any other character sends a text to the tokenizer as a whole: white space and normal forms need its own rules.
 _OTHER = re.compile(r"[^\x20-\x7E\n\t\rÀ-ÖØ-öø-ÿ]").search
 #: Rows that one window of equal lengths may hold.
@@ -55,9 +56,24 @@ class _Encoder:
             if len(known) + len(new) > _REMEMBERED:
                 known.clear()
                 new = list(dict.fromkeys(words))
-            known.update(zip(new, self.direct(new), strict=True))
+            known.update(zip(new, self._apart(new), strict=True))
             return b"".join([known[x] for x in words])
 
+    def _apart(self, words: list[str]) -> list[bytes]:
+        """Ids of each of some words, from one call on all of them."""
+        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        ids = np.array(found.ids, "<u4")
+        at = np.fromiter((a for a, _ in found.offsets), np.int64, len(ids))
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+        cuts = np.concatenate(([0], np.searchsorted(at, ends)))
+        return [ids[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
+
+@lru_cache(maxsize=2)
+def _encoder(path: str) -> _Encoder:
+    """One encoder for all tasks of a Python worker, so that what it remembers outlives a task."""
+    return _Encoder(path)
+
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int = 1, digest: bool = False) -> DataFrame:
     """Token ids of whole texts, then end_id, cut only where longer than capacity.
@@ -69,7 +85,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _Encoder(tokenizer_path)
+        encoder = _encoder(tokenizer_path)
         end = np.array([end_id], "<u4").tobytes()
         step = 4 * capacity
         for batch in batches:
