@@ -88,6 +88,11 @@ def apply_gates(decisions: DataFrame, now: str) -> DataFrame:
     return d.withColumn("refused_by", refused).withColumn("altered_by", altered).drop("_swap", "_impossible", "_tie", "_trial", "_extremum")
 
 
+def _standing(gated: DataFrame, row: Column, needed: Column) -> DataFrame:
+    """A row for each decision that stands. A filter would be pushed below the gates and repeat all of them in its condition."""
+    return gated.select(F.explode(F.when(F.col("refused_by").isNull() & needed.isNotNull(), F.array(row))).alias("r")).select("r.*")
+
+
 def plan_edges(gated: DataFrame) -> DataFrame:
     """The edge of each decision that stands (decision_id, source_node_id, target_node_id, version, action, confidence, at)."""
     name = F.lit(None).cast("string")
@@ -96,13 +101,14 @@ def plan_edges(gated: DataFrame) -> DataFrame:
     new_version = versioned_id(F.col("target_node_id"), F.col("version") + 1)
     start = F.when(F.col("action") == "EVOLVE", new_version).when(F.col("action") == "CONTRADICT", F.concat(F.lit("con_"), F.regexp_replace("decision_id", "^d_", ""))).otherwise(F.col("source_node_id"))
     end = F.when(F.col("action") == "BRANCH", F.concat(F.lit("pat_new_"), F.regexp_replace("decision_id", "^d_", ""))).otherwise(F.col("target_node_id"))
-    return gated.filter("refused_by is null").select(name.alias("edge_type"), start.alias("from_id"), end.alias("to_id"), F.col("at").alias("valid_from"), "decision_id", "confidence").filter("edge_type is not null")
+    edge = F.struct(name.alias("edge_type"), start.alias("from_id"), end.alias("to_id"), F.col("at").alias("valid_from"), "decision_id", "confidence")
+    return _standing(gated, edge, name)
 
 
 def bookkeeping(gated: DataFrame) -> DataFrame:
     """Counter and state changes that come with the writes."""
     what = F.when(F.col("action") == "REINFORCE", "RECORD_REINFORCEMENT").when(F.col("action") == "EVOLVE", "MARK_SUPERSEDED")
-    return gated.filter("refused_by is null").select(what.alias("operation"), F.col("target_node_id").alias("node_id"), "at").filter("operation is not null")
+    return _standing(gated, F.struct(what.alias("operation"), F.col("target_node_id").alias("node_id"), "at"), what)
 
 
 def audit_notes(gated: DataFrame) -> DataFrame:

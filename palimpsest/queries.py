@@ -614,8 +614,8 @@ _GATED = """, x AS (SELECT 'd_' || event_id AS decision_id, node_id AS source_no
     y AS (SELECT *, CASE WHEN a0 IN ('MERGE','REINFORCE','REGULATE','EVOLVE') THEN tt IS NOT NULL WHEN a0 = 'BRANCH' THEN true WHEN a0 = 'CONTRADICT' THEN coalesce(tt = 'BeliefNode', false) AND standing ELSE tt IS NOT NULL AND standing END AS ok FROM x),
     z AS (SELECT *, NOT ok AND r0 IS NOT NULL AS swap, NOT ok AND r0 IS NULL AS impossible FROM y),
     s AS (SELECT * REPLACE (CASE WHEN swap THEN r0 ELSE a0 END AS a0, CASE WHEN swap THEN rc0 ELSE c0 END AS c0, CASE WHEN swap THEN a0 ELSE r0 END AS r0, CASE WHEN swap THEN c0 ELSE rc0 END AS rc0) FROM z),
-    t AS (SELECT *, coalesce(r0 <> a0 AND abs(round(c0, 2) - round(rc0, 2)) < 0.05, false) AS tie FROM s),
-    u AS (SELECT *, NOT impossible AND NOT tie AND a0 IN ('EVOLVE','CONTRADICT') AND floor(age) > 180 AND NOT breakthrough AND NOT deviated AND c0 < 0.98 AS trial FROM t),
+    t AS (SELECT *, coalesce(r0 <> a0 AND abs(round(c0 * 100) - round(rc0 * 100)) < 5, false) AS tie FROM s),
+    u AS (SELECT *, NOT impossible AND NOT tie AND a0 IN ('EVOLVE','CONTRADICT') AND floor(age) > 180 AND NOT breakthrough AND NOT deviated AND round(c0 * 100) < 98 AS trial FROM t),
     m AS (SELECT *, NOT impossible AND NOT tie AND NOT trial AND a0 = 'EVOLVE' AND extremum AS ext FROM u),
     n AS (SELECT *, CASE WHEN tie AND NOT impossible THEN 'AMBIGUOUS' WHEN trial OR ext THEN 'BRANCH' ELSE a0 END AS action FROM m),
     gated AS (SELECT *, CASE WHEN impossible THEN 'IMPOSSIBLE_ACTION' WHEN tie THEN 'TIE' WHEN action = 'EVOLVE' AND NOT anchor THEN 'NO_CAUSAL_ANCHOR' WHEN action IN ('EVOLVE','CONTRADICT','DIALECTIC','REGULATE') AND NOT worded THEN 'MISSING_WORDING'
@@ -695,7 +695,7 @@ def validate_findings(spark, d):
     SELECT chain_id, step_index, CASE kind WHEN 'view' THEN 'TRIGGER' WHEN 'signup' THEN 'LESSON' WHEN 'error' THEN 'ACTION' ELSE 'OUTCOME' END AS kind FROM s WHERE n >= 2 AND NOT bad""")
 def validate_chains(spark, d):
     kind = F.when(F.col("type") == "view", "TRIGGER").when(F.col("type") == "signup", "LESSON").when(F.col("type") == "error", "ACTION").when(F.col("type") == "purchase", "OUTCOME").otherwise("CLICK")
-    steps = _week(spark, d).select(F.col("episode_id").alias("chain_id"), (F.unix_micros(F.col("occurred_at").cast("timestamp")) * 1000000 + F.col("event_id")).cast("decimal(30,0)").alias("step"), kind.alias("kind"), F.lit("x").alias("content"))
+    steps = _week(spark, d).select(F.col("episode_id").alias("chain_id"), F.struct("occurred_at", "event_id").alias("step"), kind.alias("kind"), F.lit("x").alias("content"))
     return decisions.validate_chains(steps).select("chain_id", "step_index", "kind")
 
 
