@@ -33,12 +33,11 @@ def rejected(files: DataFrame) -> DataFrame:
 
 
 def content_text(content: Column) -> Column:
-    """A string, a list of strings or of {text}, {text}, {content} or {parts}, joined by blank lines."""
-    get = lambda path, kind: F.try_variant_get(content, path, kind)
-    pieces = F.coalesce(get("$", "array<struct<text:string>>").getField("text"), get("$", "array<string>"))
-    plain = F.when(F.schema_of_variant(content) == "STRING", get("$", "string"))
-    joined = lambda xs: F.nullif(F.array_join(F.filter(xs, lambda x: x.isNotNull() & (F.trim(x) != "")), "\n\n"), F.lit(""))
-    return F.trim(F.coalesce(plain, joined(get("$.parts", "array<string>")), get("$.text", "string"), get("$.content", "string"), joined(get("$", "array<string>")), joined(pieces), F.lit("")))
+    """A string, {text}, {content}, or a list or {parts} of those, joined by blank lines."""
+    piece = lambda v: F.coalesce(F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")), F.try_variant_get(v, "$.text", "string"), F.try_variant_get(v, "$.content", "string"))
+    listed = F.coalesce(F.try_variant_get(content, "$", "array<variant>"), F.try_variant_get(content, "$.parts", "array<variant>"))
+    pieces = F.filter(F.transform(listed, piece), lambda x: x.isNotNull() & (F.trim(x) != ""))
+    return F.trim(F.coalesce(F.array_join(pieces, "\n\n"), piece(content), F.lit("")))
 
 
 def messages(chats: DataFrame) -> DataFrame:
