@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import ids, scoring, temporal, text
-from palimpsest.operators import graph, ranking, scans, vectors
+from palimpsest.operators import graph, ranking, scans, shaping, vectors
 from palimpsest.plans import decisions, erasure, report, retrieval
 from palimpsest.sources import sinks, tables
 from palimpsest.streaming import buffer, sessions
@@ -788,3 +788,113 @@ def formulation_paths(spark, d):
     t = F.col("turn")
     said = F.when(t % 9 == 8, "I can't go on anymore!").when(t % 4 == 1, "Yeah, interesting.").otherwise(F.concat(F.lit("so "), "text"))
     return tables.read(spark, d, "conversations").select("conv_id", "turn", retrieval.formulation_path(said).alias("path"))
+
+
+# Row shaping
+
+
+@query(" SELECT type, upper(type) AS kind, CASE type WHEN 'error' THEN 'BELIEF' WHEN 'click' THEN 'PATTERN' WHEN 'signup' THEN 'OPEN_LOOP' END AS target, count(*) AS n FROM f GROUP BY 1")
+def promotions(spark, d):
+    kind = F.when(F.col("type") == "error", "CORE_WOUND").when(F.col("type") == "click", "RUMINATION_LOOP").when(F.col("type") == "signup", "OPEN_LOOP").otherwise("EMOTION")
+    return _found(spark, d).groupBy("type", F.upper("type").alias("kind"), shaping.promotion(kind).alias("target")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(""" SELECT node_id, CASE WHEN signal_strength = 'HIGH' THEN type || ' ' || person ELSE person END AS index_text,
+    CASE event_id % 3 WHEN 0 THEN 'Pattern' WHEN 1 THEN 'Belief' ELSE 'Noted' END || ': ' || type || ' (' || strftime(event_date, '%Y-%m-%d') || ')' AS line,
+    left(CASE WHEN event_id % 2 = 0 THEN node_id ELSE type END, 240) AS preview FROM f""")
+def renderings(spark, d):
+    c = F.col
+    part = F.when(c("signal_strength") == "HIGH", c("type")).otherwise("  ")
+    kind = F.when(c("event_id") % 3 == 0, "PatternNode").when(c("event_id") % 3 == 1, "BeliefNode").otherwise("ObservationNode")
+    blank = F.when(c("event_id") % 2 == 0, " ").otherwise(c("type"))
+    return _found(spark, d).select("node_id", shaping.index_text([part, c("person")]).alias("index_text"), shaping.render_line(kind, c("type"), c("event_date")).alias("line"), text.preview([F.lit(None).cast("string"), blank], c("node_id")).alias("preview"))
+
+
+@query("SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN 'Me' ELSE 'AI' END || ': ' || text, chr(10) || chr(10) ORDER BY turn) AS dialogue FROM conversations WHERE role <> 'system' AND trim(text) <> '' GROUP BY 1", base=False)
+def dialogues(spark, d):
+    return shaping.dialogue(tables.read(spark, d, "conversations"))
+
+
+@query("SELECT conv_id, coalesce(bool_and(turn % 4 = 0) FILTER (role = 'user' AND trim(text) <> ''), true) AS discard FROM conversations GROUP BY 1", base=False)
+def discards(spark, d):
+    return shaping.discard(tables.read(spark, d, "conversations").withColumn("operational", F.col("turn") % 4 == 0))
+
+
+@query("SELECT doc_id, CASE WHEN quality = 0 THEN 'RAW_CAPTURE' ELSE 'REFLECTION' END AS entry_class FROM documents LEFT JOIN labels USING (doc_id)", base=False)
+def entry_classes(spark, d):
+    labels = tables.read(spark, d, "labels").select("doc_id", F.col("quality").cast("double").alias("coherence"))
+    return tables.read(spark, d, "documents").select("doc_id").join(labels, "doc_id", "left").select("doc_id", shaping.entry_class(F.col("coherence")).alias("entry_class"))
+
+
+@query("""WITH s AS (SELECT conv_id, CASE WHEN turn % 2 = 0 THEN 0 ELSE 1 END AS segment, turn FROM conversations WHERE turn % 3 > 0 UNION ALL SELECT conv_id, 2, turn FROM conversations WHERE turn < 2),
+    a AS (SELECT conv_id, turn, min(segment) AS segment FROM s GROUP BY 1, 2), l AS (SELECT conv_id, max(segment) AS last FROM s GROUP BY 1)
+    SELECT conv_id, turn, coalesce(segment, coalesce(last, -1) + 1) AS segment FROM conversations LEFT JOIN a USING (conv_id, turn) LEFT JOIN l USING (conv_id)""", base=False)
+def split_turns(spark, d):
+    t = tables.read(spark, d, "conversations").select("conv_id", "turn")
+    segments = t.filter("turn % 3 > 0").select("conv_id", F.when(F.col("turn") % 2 == 0, 0).otherwise(1).alias("segment"), "turn").union(t.filter("turn < 2").select("conv_id", F.lit(2), "turn"))
+    return shaping.split_turns(t, segments).select("conv_id", "turn", "segment")
+
+
+@query("""WITH e AS (SELECT conv_id, least(turn, 2) AS idx, turn, role FROM conversations)
+    SELECT conv_id AS session, idx, string_agg(role, chr(10) || chr(10) ORDER BY turn) AS text, array_to_string(list_sort(list_distinct(list(role))), ',') AS themes, arg_min('era' || turn, turn) FILTER (turn % 2 = 1) AS era FROM e GROUP BY 1, 2""", base=False)
+def cap_episodes(spark, d):
+    t = tables.read(spark, d, "conversations")
+    rows = t.select(F.col("conv_id").alias("session"), F.col("turn").alias("idx"), F.col("role").alias("text"), F.array("role").alias("themes"), F.when(F.col("turn") % 2 == 1, F.concat(F.lit("era"), "turn")).alias("era"))
+    return shaping.cap_episodes(rows, 3).withColumn("themes", F.array_join("themes", ","))
+
+
+@query(" SELECT node_id, 'obs_' || strftime(event_date, '%Y_%m_%d') || '_' || lpad(CAST(user_id % 12 AS VARCHAR), 2, '0') || '_' || lpad(CAST(row_number() OVER (PARTITION BY episode_id ORDER BY occurred_at, event_id) AS VARCHAR), 3, '0') AS minted_id FROM f")
+def minted_ids(spark, d):
+    return shaping.mint_ids(_found(spark, d), "obs", "event_date", ["episode_id"], ["occurred_at", "event_id"], F.col("user_id") % 12).select("node_id", "minted_id")
+
+
+@query("""WITH b AS (SELECT p_partkey, 'part_' || trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', '_', 'g'), '_') AS s FROM part), k AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY p_partkey) + CASE WHEN s LIKE '%1' THEN 1 ELSE 0 END AS n FROM b)
+    SELECT p_partkey, CASE WHEN n = 1 THEN s ELSE s || '_' || n END AS slug FROM k""", base=False)
+def unique_slugs(spark, d):
+    part = tables.read(spark, d, "part").select("p_partkey", "p_brand")
+    taken = part.select(ids.slug("part_", F.col("p_brand")).alias("slug")).distinct().filter("slug like '%1'")
+    return shaping.unique_slugs(part, "part_", "p_brand", ["p_partkey"], taken).select("p_partkey", "slug")
+
+
+@query("SELECT c_custkey, n_nationkey AS nation FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_nationkey % 2 = 0 UNION ALL SELECT c_custkey, NULL FROM customer WHERE c_nationkey % 2 = 1", base=False)
+def people_by_name(spark, d):
+    nation = tables.read(spark, d, "nation")
+    rows = tables.read(spark, d, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.concat(F.lower("n_name"), F.lit("! ")).alias("said"))
+    known = nation.filter("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("node_id"), F.col("n_name").alias("name"))
+    return shaping.by_name(rows, "said", known, "name").select("c_custkey", F.col("node_id").alias("nation"))
+
+
+@query(" SELECT target_node_id AS pattern_id, node_id FROM dec WHERE target_node_id IN (SELECT pattern_id FROM q WHERE signal_strength = 'CRITICAL')")
+def known_references(spark, d):
+    found = _found(spark, d)
+    refs = tables.decisions(found).select(F.col("target_node_id").alias("pattern_id"), "node_id")
+    return shaping.keep_known(refs, _previous(spark, d).filter("signal_strength = 'CRITICAL'").select("pattern_id").distinct(), "pattern_id")[0]
+
+
+@query(" SELECT pattern_id AS node_id, arg_min(user_id, event_id) AS job_id FROM f GROUP BY 1")
+def first_writers(spark, d):
+    return shaping.first_writer(_found(spark, d).select(F.col("pattern_id").alias("node_id"), F.col("user_id").alias("job_id"), F.col("event_id").alias("seq")))
+
+
+@query(""", i AS (SELECT event_id AS id, episode_id, CAST(floor(date_diff('microsecond', CASE WHEN event_id % 4 = 0 THEN occurred_at + INTERVAL 2 DAY ELSE occurred_at END, TIMESTAMP '2024-02-05') / 86400000000.0) AS BIGINT) AS age_days FROM f WHERE type = 'error'),
+    e AS (SELECT episode_id, count(*) AS findings FROM w GROUP BY 1)
+    SELECT id, age_days, greatest(7 - age_days, 0) AS days_left, id % 3 > 0 AS stale, e.findings AS summary FROM i LEFT JOIN e USING (episode_id)""")
+def queue_cards(spark, d):
+    found = _found(spark, d)
+    items = _queue(spark, d).join(found.select(F.col("event_id").alias("id"), "episode_id"), "id")
+    proposals = items.filter("id % 3 = 0").select("id", F.lit("{}").alias("payload"))
+    summaries = _week(spark, d).groupBy("episode_id").agg(F.count(F.lit(1)).alias("summary"))
+    return shaping.queue_cards(items, proposals, summaries, "2024-02-05").select("id", "age_days", "days_left", "stale", "summary")
+
+
+@query(" SELECT node_id, value FROM f ORDER BY value DESC, occurred_at DESC, node_id LIMIT 40")
+def offer_order(spark, d):
+    return shaping.offer_order(_found(spark, d).withColumn("rank_score", F.col("value"))).select("node_id", "value").limit(40)
+
+
+@query(" SELECT episode_id AS node_id, 0 AS hop FROM f WHERE user_id = 5 UNION SELECT node_id, 1 FROM f WHERE user_id = 5")
+def episode_contents(spark, d):
+    found = _found(spark, d)
+    start = tables.episodes(found).filter("user_id = 5").select(F.col("episode_id").alias("node_id"))
+    inside = graph.live_edges(tables.edges(found), include_invalidated=True, types=["contains_obs"])
+    return graph.neighbourhood(inside, start, 1, "out")
