@@ -58,7 +58,10 @@ def drop_after(nodes: DataFrame, edges: DataFrame, as_of: str, keep: DataFrame)
 
 
 def version_chain(spark: SparkSession, versions: DataFrame, node_id: str) -> DataFrame:
-    """All versions of a record, back and forward from one of them, in order; cycles end."""
+    """All versions of a record, back and forward from one of them; cycles end.
+
+    The recursion goes 90 versions either way; all_chains has no such limit.
+    """
     versions.createOrReplaceTempView("_versions")
     return spark.sql(
         """
@@ -77,9 +80,13 @@ def version_chain(spark: SparkSession, versions: DataFrame, node_id: str) -> Dat
 
 
 def all_chains(versions: DataFrame) -> DataFrame:
-    """Every version with its root and distance from it, by doubling the step each round."""
+    """Every version (node_id, previous_version_id, version) with its root and distance from it.
+
+    Each round doubles the step, so the rounds are the logarithm of the highest version.
+    """
+    highest = versions.agg(F.max("version")).first()[0] or 1
     state = versions.select("node_id", F.coalesce("previous_version_id", "node_id").alias("up"), F.when(F.col("previous_version_id").isNull(), 0).otherwise(1).alias("steps"))
-    for _ in range(6):  # 2^6 versions; a longer chain needs more rounds
+    for _ in range(max(1, (highest - 1).bit_length())):
         far = state.select(F.col("node_id").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("more"))
         state = state.join(far, "up", "left").select("node_id", F.coalesce("up2", "up").alias("up"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"))
     return state.select("node_id", F.col("up").alias("root"), F.col("steps"))
