@@ -19,8 +19,8 @@ from tokenizers import Tokenizer
 
 from palimpsest.llm.common import as_bytes, cut, fill_partitions, id_and_text
 
-#: Distinct words a task remembers the ids of; beyond it the memory starts afresh.
-_REMEMBERED = 800_000
+#: Distinct words of a generation that a worker remembers the ids of; it keeps two generations.
+_REMEMBERED = 250_000
 #: Any other character sends a text to the tokenizer as a whole: white space and normal forms need its own rules.
 _OTHER = re.compile(r"[^\x20-\x7E\n\t\rÀ-ÖØ-öø-ÿ]").search
 #: Rows that one window of equal lengths may hold.
@@ -37,6 +37,7 @@ class _Encoder:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.specials = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         with open(path, encoding="utf-8") as f:
             splits = (json.load(f).get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
@@ -52,12 +53,16 @@ class _Encoder:
         try:
             return b"".join([known[x] for x in words])
         except KeyError:
-            new = [x for x in dict.fromkeys(words) if x not in known]
-            if len(known) + len(new) > _REMEMBERED:
-                known.clear()
-                new = list(dict.fromkeys(words))
-            known.update(zip(new, self._apart(new), strict=True))
-            return b"".join([known[x] for x in words])
+            pass
+        missing = [x for x in dict.fromkeys(words) if x not in known]
+        found = {x: self.before[x] for x in missing if x in self.before}
+        new = [x for x in missing if x not in found]
+        found.update(zip(new, self._apart(new), strict=True))
+        if len(known) + len(found) > _REMEMBERED:  # what comes back is taken over from the generation before
+            self.before, self.known = known, found
+            return b"".join([found[x] if x in found else known[x] for x in words])
+        known.update(found)
+        return b"".join([known[x] for x in words])
 
     def _apart(self, words: list[str]) -> list[bytes]:
         """Ids of each of some words, from one call on all of them."""
