@@ -107,8 +107,14 @@ def _distance(a, b, names: list[str]):
     return sum((F.bit_count(a[n].bitwiseXOR(b[n])) for n in names), F.lit(0))
 
 
+def _node(names: list[str], row=None):
+    """One number for a fingerprint: itself, or a hash of its words. It isn't sent along with them."""
+    parts = [F.col(n) if row is None else row[n] for n in names]
+    return parts[0] if len(parts) == 1 else F.xxhash64(*parts)
+
+
 def linked(nodes: DataFrame, words: int, max_distance: int) -> DataFrame:
-    """(node, component) of fingerprints (nodes: node, f0, f1, ... distinct); component is the smallest node reachable.
+    """(node, component) of distinct fingerprints (nodes: f0, f1, ...); component is the smallest node reachable.
 
     First each probe is held against four members of the bucket it meets. Those
     are all members of nearly every bucket; in a dense bucket they link its members
@@ -120,26 +126,26 @@ def linked(nodes: DataFrame, words: int, max_distance: int) -> DataFrame:
     """
     names, segments = _names(words), _segments(words, max_distance)
     table, probe = _tables(nodes, segments)
-    one, mixed = F.struct("node", *names), F.xxhash64("node", F.lit(1))
+    one, mixed = F.struct(*names), F.xxhash64(*names, F.lit(1))
     picks = table.groupBy("seg", "key").agg(
         F.count(F.lit(1)).alias("members"), F.min(one).alias("a"), F.max(one).alias("b"), F.min_by(one, mixed).alias("c"), F.max_by(one, mixed).alias("d")
     )
     # Some of the four can be one and the same member, so a bucket of three or more may still have others.
     me = {n: F.col(n) for n in names}
-    near = F.filter(F.array("a", "b", "c", "d"), lambda x: (x["node"] != F.col("node")) & (_distance(x, me, names) <= max_distance))
-    stars = probe.join(picks, ["seg", "key"]).select(F.col("node").alias("src"), F.explode(F.array_distinct(F.transform(near, lambda x: x["node"]))).alias("dst"))
+    near = F.filter(F.array("a", "b", "c", "d"), lambda x: _distance(x, me, names).between(1, max_distance))
+    stars = probe.join(picks, ["seg", "key"]).select(_node(names).alias("src"), F.explode(F.array_distinct(F.transform(near, lambda x: _node(names, x)))).alias("dst"))
     first = connected_components(stars)
-    named = cut(nodes.join(first.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select(*nodes.columns, F.coalesce("component", "node").alias("label")))
+    named = cut(nodes.withColumn("n", _node(names)).join(first, F.col("node") == F.col("n"), "left").select(*names, F.coalesce("component", "n").alias("label")))
 
     table, probe = _tables(named, segments)
     dense = cut(table.groupBy("seg", "key").agg(F.count(F.lit(1)).alias("members"), F.min("label").alias("low"), F.max("label").alias("high")).filter("members > 2"))
     few = dense.count() <= _SENT
     dense = F.broadcast(dense) if few else dense
     asking = probe.join(dense, ["seg", "key"]).filter("low <> label or high <> label").drop("members", "low", "high")
-    t = table.join(dense.select("seg", "key"), ["seg", "key"]).select(F.struct(*names).alias("t"), "seg", "key", F.col("node").alias("t_node"), F.col("label").alias("t_label"))
-    met = asking.join(t, ["seg", "key"]).filter((F.col("label") != F.col("t_label")) & (~F.col("same") | (F.col("node") < F.col("t_node"))) & (_distance(F.col("t"), me, names) <= max_distance))
+    t = table.join(dense.select("seg", "key"), ["seg", "key"]).select(F.struct(*names).alias("t"), "seg", "key", F.col("label").alias("t_label"))
+    met = asking.join(t, ["seg", "key"]).filter((F.col("label") != F.col("t_label")) & (~F.col("same") | (_node(names) < _node(names, F.col("t")))) & (_distance(F.col("t"), me, names) <= max_distance))
     merged = connected_components(met.select(F.col("label").alias("src"), F.col("t_label").alias("dst")))
-    return named.join(merged.withColumnRenamed("node", "n"), F.col("label") == F.col("n"), "left").select("node", F.coalesce("component", "label").alias("component"))
+    return named.join(merged, F.col("label") == F.col("node"), "left").select(_node(names).alias("node"), F.coalesce("component", "label").alias("component"))
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_distance: int = 4, words: int = 1) -> DataFrame:
@@ -161,13 +167,12 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     other columns are not read.
     """
     names = _names(words)
-    node = F.col("f0") if words == 1 else F.xxhash64(*names)
-    prints = cut(fingerprints(docs, id_col, text_col, shingle, words).withColumn("node", node))
-    nodes = cut(prints.groupBy("node", *names).agg(F.min("doc_id").alias("low_id")))
-    found = nodes.join(linked(nodes.select("node", *names), words, max_distance), "node")
+    prints = cut(fingerprints(docs, id_col, text_col, shingle, words))
+    nodes = cut(prints.groupBy(*names).agg(F.min("doc_id").alias("low_id")))
+    found = nodes.withColumn("node", _node(names)).join(linked(nodes.select(*names), words, max_distance), "node")
     ids = found.groupBy("component").agg(F.min("low_id").alias("component_id"))
-    by_print = found.join(ids, "component").select("node", "component_id")
-    return prints.join(by_print, "node").select("doc_id", *names, "component_id")
+    by_print = found.join(ids, "component").select(*names, "component_id")
+    return prints.join(by_print, names).select("doc_id", *names, "component_id")
 
 
 def hex16(fp):
