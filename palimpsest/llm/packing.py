@@ -20,7 +20,7 @@ from tokenizers import Tokenizer
 from palimpsest.llm.common import as_bytes, cut, fill_partitions, id_and_text
 
 #: Distinct words of a generation that a worker remembers the ids of; it keeps two generations.
-_REMEMBERED = 250_000
+_REMEMBERED = 350_000
 #: Any other character sends a text to the tokenizer as a whole: white space and normal forms need its own rules.
 _OTHER = re.compile(r"[^\x20-\x7E\n\t\rÀ-ÖØ-öø-ÿ]").search
 #: Rows that one window of equal lengths may hold.
