@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -70,8 +71,8 @@ def parse(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def _mark(text: bytes) -> int:
-    """23 bits that tell apart texts that stand under one id."""
-    return xxhash.xxh32_intdigest(text) >> 9
+    """24 bits that tell apart texts that stand under one id."""
+    return xxhash.xxh32_intdigest(text) >> 8
 
 
 def _firsts(keys: tuple[np.ndarray, ...], doc: np.ndarray) -> np.ndarray:
@@ -84,6 +85,13 @@ def _firsts(keys: tuple[np.ndarray, ...], doc: np.ndarray) -> np.ndarray:
     return out
 
 
+def _runs(doc: np.ndarray, mark: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows at which runs of touching ranges of one text begin, and end."""
+    new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1]) | (first[1:] > end[:-1]) | (first[1:] < first[:-1])))
+    starts = np.flatnonzero(new)
+    return starts, np.append(starts[1:], len(doc)) - 1
+
+
 def _batch(names: list[str], columns: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.asarray(c, np.int64)) for c in columns], names)
 
@@ -93,13 +101,17 @@ def _join(parts: list[np.ndarray]) -> np.ndarray:
 
 
 def _phrases(docs: DataFrame, length: int) -> DataFrame:
-    """(trigger, phrase, did, at, size): the phrases of all texts; size 0 where it is still open whether it repeats.
+    """(key, place, did, mark): the phrases of all texts, packed, as they are most of what goes through a shuffle.
+
+    key: 48 bits of the trigger's hash and 16 of the phrase's; place: 24 more bits
+    of the phrase's hash, 32 of its start and 8 of its length, 0 where it is known
+    to repeat: then mark has the length as well.
 
     Of equal phrases in one batch only those of the smallest id go on; the others
     are known to repeat, and go on as merged spans under a key of their own. So a
     text that makes up a third of all rows is a few rows for each batch.
     """
-    names = ["trigger", "phrase", "did", "at", "size"]
+    names = ["key", "place", "did", "mark"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh64_intdigest
@@ -112,43 +124,39 @@ def _phrases(docs: DataFrame, length: int) -> DataFrame:
                 did.append(np.full(len(a), i, np.int64))
                 first.append(a)
                 end.append(b)
-                mark.append(np.full(len(a), _mark(text) << 40, np.int64))
+                mark.append(np.full(len(a), _mark(text), np.int64))
             t, p, d, a, b, m = (_join(x) for x in (trigger, phrase, did, first, end, mark))
             open_ = _firsts((p, t), d)
-            yield _batch(names, [t[open_], p[open_], d[open_], (m | a << 8 | b - a)[open_], np.zeros(open_.sum())])
+            key = (t & ~0xFFFF) | (p & 0xFFFF)
+            place = (p >> 16 << 40) | a << 8
+            yield _batch(names, [key[open_], (place | b - a)[open_], d[open_], m[open_]])
             d, m, a, b = (x[~open_] for x in (d, m, a, b))
             if len(d):
-                new = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (m[1:] != m[:-1]) | (a[1:] > b[:-1]) | (a[1:] < a[:-1]))))
-                last = np.append(new[1:], len(d)) - 1
-                key = (d[new] * 0x9E3779B9) ^ (a[new] << 20) ^ m[new]
-                yield _batch(names, [key, np.full(len(new), -1), d[new], m[new] | a[new] << 8, b[last] - a[new]])
+                new, last = _runs(d, m, a, b)
+                spread = ((d[new] * 0x9E3779B9) ^ (a[new] << 20)) << 16
+                yield _batch(names, [spread, a[new] << 8, d[new], m[new] | (b[last] - a[new]) << 24])
 
     return docs.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
-def _strings(texts: DataFrame, length: int) -> DataFrame:
-    """(h0, h1, did, at, known): the strings of the phrases listed in `open` (array of at); known: repeats within its batch."""
-    names = ["h0", "h1", "did", "at", "known"]
+def _contexts(texts: DataFrame) -> DataFrame:
+    """(trigger, context, did, at): the bytes of the phrases listed in `open`; at: 24 bits of the mark, 32 of the start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_128_digest
         for batch in batches:
-            hashes, did, at = [], [], []
-            for i, text, places in zip(batch.column("did").to_pylist(), as_bytes(batch.column("text")), batch.column("open").to_pylist(), strict=True):
+            trigger, context, did, at = [], [], [], []
+            for i, text, phrases in zip(batch.column("did").to_pylist(), as_bytes(batch.column("text")), batch.column("open").to_pylist(), strict=True):
                 mark = _mark(text)
-                starts: set[int] = set()
-                for x in places:
-                    if x >> 40 & 0xFFFFFF == mark:
-                        a = x >> 8 & 0xFFFFFFFF
-                        starts.update(range(a, a + (x & 255) - length + 1))
-                hashes += [digest(text[s : s + length]) for s in starts]
-                did += [i] * len(starts)
-                at += [mark << 32 | s for s in starts]
-            h = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
-            d, p = np.array(did, np.int64), np.array(at, np.int64)
-            yield _batch(names, [h[:, 0], h[:, 1], d, p, ~_firsts((h[:, 1], h[:, 0]), d)])
+                for x in phrases:
+                    if x["mark"] == mark:
+                        start = x["place"] >> 8 & 0xFFFFFFFF
+                        trigger.append(x["trigger"])
+                        context.append(text[start : start + (x["place"] & 255)])
+                        did.append(i)
+                        at.append(mark << 32 | start)
+            yield pa.RecordBatch.from_arrays([pa.array(trigger, pa.int64()), pa.array(context, pa.binary()), pa.array(did, pa.int64()), pa.array(at, pa.int64())], ["trigger", "context", "did", "at"])
 
-    return texts.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return texts.mapInArrow(run, "trigger long, context binary, did long, at long")
 
 
 def _cut_out(rows: DataFrame, length: int, id_type: str) -> DataFrame:
@@ -162,8 +170,11 @@ def _cut_out(rows: DataFrame, length: int, id_type: str) -> DataFrame:
                 cuts = []
                 if whole or strings:
                     mark = _mark(text)
-                    cuts = [(x["at"] >> 8 & 0xFFFFFFFF, (x["at"] >> 8 & 0xFFFFFFFF) + (x["size"] or x["at"] & 255)) for x in whole or [] if x["at"] >> 40 & 0xFFFFFF == mark]
-                    cuts += [(x & 0xFFFFFFFF, (x & 0xFFFFFFFF) + length) for x in strings or [] if x >> 32 == mark]
+                    for x in whole or ():
+                        if x["mark"] & 0xFFFFFF == mark:
+                            start = x["place"] >> 8 & 0xFFFFFFFF
+                            cuts.append((start, start + (x["mark"] >> 24 or x["place"] & 255)))
+                    cuts += [(x & 0xFFFFFFFF, (x & 0xFFFFFFFF) + length) for x in strings or () if x >> 32 == mark]
                 merged: list[list[int]] = []
                 for a, b in sorted(cuts):
                     if merged and a <= merged[-1][1]:
@@ -174,15 +185,23 @@ def _cut_out(rows: DataFrame, length: int, id_type: str) -> DataFrame:
                 n_bytes.append(len(text))
                 spans.append([{"start": a, "end": b} for a, b in merged])
                 kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_bytes, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
+            ids = [None if i == _NO_ID else i for i in batch.column("did").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n_bytes, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
-    return rows.mapInArrow(run, f"doc_id {id_type}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    out = rows.mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    return out.withColumn("doc_id", F.col("doc_id").cast(id_type))
 
 
 def _release(spark: SparkSession) -> None:
-    """Have the files of shuffles that are done with removed: the cleaner acts on what the driver's JVM collects."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Have the files of shuffles that are done with removed.
+
+    Spark's cleaner acts on what the driver's JVM has collected; what a plan holds
+    takes a second collection.
+    """
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
@@ -190,7 +209,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A byte goes when it lies in a string of `length` bytes that also starts in a
     document of a smaller id; strings overlap, never cross documents, and are
-    judged on the input. Ids are integers.
+    judged on the input. Ids are integers under 2^63 - 1, which stands for null.
 
     Texts are parsed into phrases at triggers that depend on content alone, so
     equal strings lie in phrases of equal triggers, and only phrases go through
@@ -209,23 +228,31 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not TRIGGER < length < 128:
         raise ValueError(f"length must be over {TRIGGER} and under 128")
     spark = docs.sparkSession
-    texts = fill_partitions(id_and_text(docs, id_col, text_col)).select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("did"), "text")
-    by_phrase, by_trigger = Window.partitionBy("trigger", "phrase"), Window.partitionBy("trigger")
-    seen = (
-        _phrases(texts.select("did", "text"), length)
-        .withColumn("least", F.min("did").over(by_phrase))
-        .withColumn("mixed", F.min("phrase").over(by_trigger) != F.max("phrase").over(by_trigger))
-        .select("did", "at", "size", F.when((F.col("size") > 0) | (F.col("least") < F.col("did")), "whole").when(F.col("mixed"), "open").alias("kind"))
-        .filter("kind is not null")
-    )
+    source = fill_partitions(id_and_text(docs, id_col, text_col))
+    id_type = dict(source.dtypes)["doc_id"]
+    texts = source.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("did"), "text")
+    # Rows cross the shuffle packed and are taken apart behind it.
+    packed = _phrases(texts, length).repartition(F.shiftright("key", 16))
+    phrases = packed.select(F.shiftright("key", 16).alias("trigger"), (F.shiftleft(F.col("key").bitwiseAND(0xFFFF), 24) + F.shiftright("place", 40).bitwiseAND(0xFFFFFF)).alias("phrase"), "place", "did", "mark")
+    least = F.min("did").over(Window.partitionBy("trigger", "phrase"))
+    by_trigger = Window.partitionBy("trigger")
+    mixed = F.min("phrase").over(by_trigger) != F.max("phrase").over(by_trigger)
+    known = F.col("place").bitwiseAND(0xFF) == 0
+    kind = F.when(known | (F.col("least") < F.col("did")), "whole").when(F.col("mixed"), "open")
+    seen = phrases.withColumn("least", least).withColumn("mixed", mixed).withColumn("kind", kind).filter("kind is not null")
+    seen = seen.select("did", "place", "mark", "kind", F.when(F.col("kind") == "open", F.col("trigger")).alias("trigger"))
     path = f"{shared_folder(spark)}/phrases-{uuid.uuid4().hex}"
     seen.write.parquet(path)
     _release(spark)
+
     seen = spark.read.parquet(path)
-    whole = seen.filter("kind = 'whole'").groupBy("did").agg(F.collect_list(F.struct("at", "size")).alias("whole"))
-    open_ = seen.filter("kind = 'open'").groupBy("did").agg(F.collect_list("at").alias("open"))
-    strings = _strings(texts.select("doc_id", "did", "text").join(open_, "did").select("did", "text", "open"), length)
-    least = F.min("did").over(Window.partitionBy("h0", "h1"))
-    again = strings.withColumn("least", least).filter("known = 1 or least < did").groupBy("did").agg(F.collect_list("at").alias("strings"))
-    rows = texts.join(whole, "did", "left").join(again, "did", "left").select("doc_id", "text", "whole", "strings")
-    return _cut_out(rows, length, dict(texts.dtypes)["doc_id"])
+    whole = seen.filter("kind = 'whole'").groupBy("did").agg(F.collect_list(F.struct("place", "mark")).alias("whole"))
+    open_ = seen.filter("kind = 'open'").groupBy("did").agg(F.collect_list(F.struct("trigger", "place", "mark")).alias("open"))
+    # Only phrases cross the shuffle; their strings are made behind it, where all of a trigger are together.
+    dictionary = _contexts(texts.join(open_, "did").select("did", "text", "open")).repartition("trigger")
+    hashes = F.transform(F.sequence(F.lit(0), F.length("context") - length), lambda i: F.xxhash64(F.substring("context", i + 1, F.lit(length))))
+    strings = dictionary.select("trigger", "did", "at", F.posexplode(hashes).alias("i", "h"))
+    first = F.min("did").over(Window.partitionBy("trigger", "h"))
+    again = strings.withColumn("first", first).filter("first < did").groupBy("did").agg(F.collect_list(F.col("at") + F.col("i")).alias("strings"))
+    rows = texts.join(whole, "did", "left").join(again, "did", "left")
+    return _cut_out(rows, length, id_type)
