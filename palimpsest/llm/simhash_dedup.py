@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
+from math import acos, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import as_bytes, cut, fill_partitions, id_and_text
+from palimpsest.llm.common import SENT_IDS, as_bytes, cut, fill_partitions, id_and_text
 from palimpsest.llm.components import connected_components
 
 #: Bits of one word of a fingerprint.
@@ -22,6 +23,10 @@ _BLOCK = 1 << 15
 _PICKED = 4
 #: Buckets that may be sent to every executor; more of them are joined by a shuffle.
 _SENT = 200_000
+#: Samples of a wide fingerprint's bits, and bits of each, by which documents meet for an exact check.
+_SAMPLES, _SAMPLED = 160, 20
+#: Standard deviations beyond the expected distance at which pairs that met aren't worth an exact check.
+_SPREAD = 5
 
 
 def _more(h: np.ndarray, word: int) -> np.ndarray:
@@ -32,28 +37,44 @@ def _more(h: np.ndarray, word: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def fingerprint(text: bytes, shingle: int, words: int = 1) -> list[int]:
-    """SimHash of the shingles of a text in unsigned 64-bit words (A-Z lower-cased, words between ASCII white space)."""
+def shingle_hashes(text: bytes, shingle: int) -> Iterator[np.ndarray]:
+    """64-bit hashes of the shingles of a text, in blocks (A-Z lower-cased, words between ASCII white space)."""
     parts = text.lower().split()
-    n = max(1, len(parts) - shingle + 1)
     if not parts:
-        return [0] * words
+        return
+    n = max(1, len(parts) - shingle + 1)
     joined = b" ".join(parts)
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     last = min(shingle, len(parts)) - 1
     digest = xxhash.xxh64_intdigest
-    counts = np.zeros((words, BITS), np.int64)
     for at in range(0, n, _BLOCK):
         upto = min(n, at + _BLOCK)
         pairs = zip(starts[at:upto].tolist(), ends[at + last : upto + last].tolist(), strict=True)
-        h = np.array([digest(joined[a:b], 42) for a, b in pairs], "<u8")
+        yield np.array([digest(joined[a:b], 42) for a, b in pairs], "<u8")
+
+
+def _signs(blocks: Iterable[np.ndarray], words: int) -> list[int]:
+    """The majority of each bit over hashes, in unsigned 64-bit words."""
+    counts, n = np.zeros((words, BITS), np.int64), 0
+    for h in blocks:
+        n += len(h)
         for w in range(words):
             bits = np.unpackbits((_more(h, w) if w else h).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             counts[w] += bits.sum(axis=0, dtype=np.int64)
     return [int.from_bytes(np.packbits(2 * c > n, bitorder="little").tobytes(), "little") for c in counts]
 
 
+def fingerprint(text: bytes, shingle: int, words: int = 1) -> list[int]:
+    """SimHash of the shingles of a text in unsigned 64-bit words."""
+    return _signs(shingle_hashes(text, shingle), words)
+
+
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """Hashes of the shingles of a text, ascending, each once."""
+    return np.unique(np.concatenate([np.empty(0, "<u8"), *shingle_hashes(text, shingle)]))
+
+
 def _names(words: int) -> list[str]:
     return [f"f{w}" for w in range(words)]
 
@@ -148,7 +169,124 @@ def linked(nodes: DataFrame, words: int, max_distance: int) -> DataFrame:
     return named.join(merged, F.col("label") == F.col("node"), "left").select(_node(names).alias("node"), F.coalesce("component", "label").alias("component"))
 
 
-def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_distance: int = 4, words: int = 1) -> DataFrame:
+def _set_node(hashes: np.ndarray) -> int:
+    """One signed number for a set of shingles."""
+    return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes())).view(np.int64))
+
+
+def set_prints(docs: DataFrame, shingle: int, words: int) -> DataFrame:
+    """(doc_id, node, f0, f1, ...) of docs (doc_id, text): a number for the set of shingles, and the SimHash of that set, in which repeats don't count."""
+    names = ["doc_id", "node", *_names(words)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, prints = [], []
+            for x in as_bytes(batch.column(1)):
+                h = shingle_set(x, shingle)
+                nodes.append(_set_node(h))
+                prints.append(_signs((h[i : i + _BLOCK] for i in range(0, len(h), _BLOCK)), words))
+            found = np.array(prints, np.uint64).reshape(-1, words).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), *(pa.array(np.ascontiguousarray(found[:, w])) for w in range(words))], names)
+
+    texts = fill_partitions(docs)
+    return texts.mapInArrow(run, f"doc_id {dict(texts.dtypes)['doc_id']}, " + ", ".join(f"{n} long" for n in names[1:]))
+
+
+def _samples(words: int) -> np.ndarray:
+    """Which bits each sample reads: a fixed shuffle of all bits again and again, so that samples share few."""
+    rng, size = np.random.default_rng(42), _SAMPLES * _SAMPLED
+    return np.concatenate([rng.permutation(words * BITS) for _ in range(-(-size // (words * BITS)))])[:size].reshape(_SAMPLES, _SAMPLED)
+
+
+def _buckets(nodes: DataFrame, words: int) -> DataFrame:
+    """The rows of nodes (node, f0, f1, ...) with `bucket`, once for each sample of bits."""
+    names, samples = _names(words), _samples(words)
+    powers, rest = 1 << np.arange(_SAMPLED, dtype=np.int64), [c for c in nodes.columns if c not in _names(words)[2:]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                batch = whole.slice(at, 2048)
+                prints = np.stack([batch.column(n).to_numpy() for n in names], axis=1)
+                bits = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8), axis=1, bitorder="little")
+                keys = np.stack([(k << _SAMPLED) + bits[:, picked] @ powers for k, picked in enumerate(samples)], axis=1)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, _SAMPLES, dtype=np.int32)), pa.array(keys.ravel()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), lists], [*rest, "buckets"])
+
+    found = nodes.mapInArrow(run, ", ".join(f"{c} long" for c in rest) + ", buckets array<long>")
+    return found.select(*rest, F.explode("buckets").alias("bucket"))
+
+
+def _furthest(bits: int, similarity: float) -> int:
+    """A distance that sets of a similarity exceed by chance once in some millions. Sets of one size are the furthest apart."""
+    p = acos(2 * similarity / (1 + similarity)) / pi
+    return round(bits * p + _SPREAD * sqrt(bits * p * (1 - p)))
+
+
+def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (src, dst) of nodes whose sets of shingles have the similarity or more, compared shingle by shingle."""
+    names, most = _names(words), _furthest(words * BITS, similarity)
+    sides = [nodes.select(F.col("node").alias(end), F.struct(*names).alias(f"{end}_print")) for end in ("src", "dst")]
+    close = pairs.distinct().join(sides[0], "src").join(sides[1], "dst").filter(_distance(F.col("src_print"), F.col("dst_print"), names) <= most)
+    close = cut(close.select("src", "dst"))
+    needed = close.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    needed = cut(nodes.join(needed, "node", "left_semi").select("node", "low_id"))
+    ids = needed.select("low_id").distinct()
+    ids = F.broadcast(ids) if needed.count() <= SENT_IDS else ids
+    texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["low_id"]), "left_semi").select("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                sets = [shingle_set(x, shingle) for x in as_bytes(batch.column(0).slice(at, 256))]
+                arrays = pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(map(_set_node, sets), pa.int64()), arrays], ["node", "shingles"])
+
+    sets = texts.mapInArrow(run, "node long, shingles array<long>").join(needed.select("node"), "node", "left_semi")
+    sets = cut(sets.groupBy("node").agg(F.first("shingles").alias("shingles")))
+    a, b = (sets.select(F.col("node").alias(end), F.col("shingles").alias(x)) for end, x in (("src", "a"), ("dst", "b")))
+    both, of = F.size(F.array_intersect("a", "b")), F.size("a") + F.size("b")
+    hundredths = round(100 * similarity)
+    return cut(close.join(a, "src").join(b, "dst").filter(100 * both >= hundredths * (of - both)).select("src", "dst"))
+
+
+def linked_sets(nodes: DataFrame, docs: DataFrame, words: int, shingle: int, similarity: float) -> DataFrame:
+    """(node, component) of distinct sets of shingles (nodes: node, low_id, f0, f1, ...); component is the smallest node reachable.
+
+    Sets meet in a bucket where all bits of a sample are equal. First each is held
+    against the smallest and the largest of its bucket; the components of the links
+    that an exact comparison confirms label the sets. Then, in buckets of more
+    members, those with different labels are compared among each other.
+    """
+    prints = nodes.select("node", *_names(words))
+    two, most = _names(2), _furthest(2 * BITS, similarity)
+    me, all_of = {n: F.col(n) for n in two}, Window.partitionBy("bucket")
+    one = F.struct("node", *two)
+    met = _buckets(prints, words).select("*", F.count(F.lit(1)).over(all_of).alias("members"), F.min(one).over(all_of).alias("low"), F.max(one).over(all_of).alias("high"))
+    near = F.filter(F.array("low", "high"), lambda x: (x["node"] != F.col("node")) & (_distance(x, me, two) <= most))
+    met = met.filter("members > 1").select("node", F.transform(near, lambda x: x["node"]).alias("ends"), F.when((F.col("members") > 2) & (F.col("node") == F.col("low.node")), F.col("bucket")).alias("dense"))
+    met = cut(met.filter(F.col("dense").isNotNull() | (F.size("ends") > 0)))
+    pairs = met.select("node", F.explode("ends").alias("end")).select(F.greatest("node", "end").alias("src"), F.least("node", "end").alias("dst"))
+    first = connected_components(_similar(pairs, nodes, docs, words, shingle, similarity))
+    named = cut(prints.join(first, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component"))
+
+    dense = met.filter("dense is not null").select(F.col("dense").alias("bucket"))
+    dense = F.broadcast(dense) if dense.count() <= _SENT else dense
+    t = _buckets(named, words).join(dense, "bucket", "left_semi")
+    mixed = t.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("bucket")
+    t = cut(t.join(mixed, "bucket", "left_semi"))
+    x, y = t.alias("x"), t.alias("y")
+    apart = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") != F.col("y.label")) & (F.col("x.node") > F.col("y.node"))
+    close = _distance({n: F.col(f"x.{n}") for n in two}, {n: F.col(f"y.{n}") for n in two}, two) <= most
+    pairs = x.join(y, apart & close).select(F.col("x.node").alias("src"), F.col("y.node").alias("dst"))
+    links = _similar(pairs, nodes, docs, words, shingle, similarity)
+    labels = [named.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label")) for end in ("src", "dst")]
+    links = links.join(labels[0], "src").join(labels[1], "dst").select(F.col("src_label").alias("src"), F.col("dst_label").alias("dst"))
+    merged = connected_components(links).withColumnRenamed("node", "label")
+    return named.join(merged, "label", "left").select("node", F.coalesce("component", "label").alias("component"))
+
+
+def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_distance: int = 4, words: int = 1, similarity: float | None = None) -> DataFrame:
     """One row per input row: doc_id, f0, f1, ... (64-bit words of its SimHash), component_id.
 
     Two rows link when their fingerprints differ in at most `max_distance` bits;
@@ -160,6 +298,11 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     larger distances, each word has three segments and a link is found where one
     of them differs by one bit at most; that is likely, not certain.
 
+    With `similarity` (in whole hundredths) two rows link when the Jaccard similarity
+    of their sets of shingles is that or more, and max_distance isn't read. The
+    fingerprints, of the sets, only say which rows to compare, so no other rows
+    link; that two rows meet is nearly, not quite, certain, given words enough.
+
     A null or empty text, or one of white space only, has fingerprint zero and
     links like any other. A text of fewer words than a shingle is one shingle.
     Repeated rows get the same answer each. A null id never wins; a component
@@ -167,6 +310,13 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     other columns are not read.
     """
     names = _names(words)
+    if similarity is not None:
+        texts = id_and_text(docs, id_col, text_col)
+        prints = cut(set_prints(texts, shingle, words))
+        nodes = cut(prints.groupBy("node").agg(F.min("doc_id").alias("low_id"), *[F.first(n).alias(n) for n in names]))
+        found = nodes.join(linked_sets(nodes, texts, words, shingle, similarity), "node")
+        ids = found.groupBy("component").agg(F.min("low_id").alias("component_id"))
+        return prints.join(found.join(ids, "component").select("node", "component_id"), "node").select("doc_id", *names, "component_id")
     prints = cut(fingerprints(docs, id_col, text_col, shingle, words))
     nodes = cut(prints.groupBy(*names).agg(F.min("doc_id").alias("low_id")))
     found = nodes.withColumn("node", _node(names)).join(linked(nodes.select(*names), words, max_distance), "node")
