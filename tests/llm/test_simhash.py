@@ -117,6 +117,15 @@ def test_lone_pairs_at_the_threshold(spark):
     assert all(got[i + 1] == i + 1 for i in far)
 
 
+def test_repeated_lines_do_not_link(spark):
+    """Documents that repeat one line very often share few distinct shingles; copies of either, repeats or not, do link."""
+    line = "this one line stands here again and again "
+    own = [" ".join(f"o{k}_{i}" for i in range(30)) for k in range(3)]
+    rows = [(1, line * 200 + own[0]), (2, line * 200 + own[1]), (3, line * 40 + own[1]), (4, own[2]), (5, None), (6, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash_dedup(docs, **NEAR).collect()} == {1: 1, 2: 2, 3: 2, 4: 4, 5: 5, 6: 5}
+
+
 def test_pipeline_groups_equal_brute_force(spark):
     """Groups of several copies, where nearly all pairs have another way to each other."""
     rows = corpus()
