@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions.temporal import edge_live
+from palimpsest.llm.components import connected_components
 
 _TRIPLE = ["edge_type", "from_id", "to_id"]
 
@@ -58,25 +59,17 @@ def drop_after(nodes: DataFrame, edges: DataFrame, as_of: str, keep: DataFrame)
 
 
 def version_chain(spark: SparkSession, versions: DataFrame, node_id: str) -> DataFrame:
-    """All versions of a record, back and forward from one of them; cycles end.
+    """All versions of a record, back and forward from one of them, however many; cycles end.
 
-    The recursion goes 90 versions either way; all_chains has no such limit.
+    They are the connected component of the node over links between versions that
+    both stand in the table, so the rounds are the logarithm of the longest chain.
     """
-    versions.createOrReplaceTempView("_versions")
-    return spark.sql(
-        """
-        WITH RECURSIVE back(node_id, previous_version_id, depth) AS (
-            SELECT node_id, previous_version_id, 0 FROM _versions WHERE node_id = :id
-            UNION ALL
-            SELECT v.node_id, v.previous_version_id, depth + 1 FROM back b JOIN _versions v ON v.node_id = b.previous_version_id WHERE depth < 90 AND v.node_id <> :id),
-        forward(node_id, depth) AS (
-            SELECT node_id, 0 FROM _versions WHERE node_id = :id
-            UNION ALL
-            SELECT v.node_id, depth + 1 FROM forward f JOIN _versions v ON v.previous_version_id = f.node_id WHERE depth < 90 AND v.node_id <> :id)
-        SELECT DISTINCT v.* FROM _versions v JOIN (SELECT node_id FROM back UNION SELECT node_id FROM forward) USING (node_id)
-        """,
-        args={"id": node_id},
-    )
+    known = versions.select(F.col("node_id").alias("dst"))
+    links = versions.select(F.col("node_id").alias("src"), F.col("previous_version_id").alias("dst")).join(known, "dst", "left_semi")
+    found = connected_components(links)
+    same = found.join(found.filter(F.col("node") == node_id).select("component"), "component", "left_semi").select(F.col("node").alias("node_id"))
+    own = spark.createDataFrame([(node_id,)], "node_id string")
+    return versions.join(same.union(own), "node_id", "left_semi").select(versions.columns).distinct()
 
 
 def all_chains(versions: DataFrame) -> DataFrame:

@@ -75,6 +75,15 @@ def test_version_cycle_ends(spark):
     assert {r.node_id for r in graph.version_chain(spark, rows, "c").collect()} == {"b", "c"}
 
 
+def test_long_version_chain(spark):
+    """Hundreds of versions on either side of the one asked for; another chain and a missing predecessor stay out."""
+    links = [(f"v{i}", f"v{i - 1}" if i else "gone", i) for i in range(400)] + [("w0", "gone", 1), ("w1", "w0", 2)]
+    rows = spark.createDataFrame(links, "node_id string, previous_version_id string, version int")
+    assert sorted(r.version for r in graph.version_chain(spark, rows, "v200").collect()) == list(range(400))
+    ring = spark.createDataFrame([(f"r{i}", f"r{(i + 1) % 250}", i) for i in range(250)], "node_id string, previous_version_id string, version int")
+    assert graph.version_chain(spark, ring, "r7").count() == 250
+
+
 def test_merge_and_boost(spark):
     found = spark.createDataFrame([("a", "SEMANTIC", 0.9, False), ("a", "STRUCTURAL", 0.6, False), ("b", "CONTINUITY", 0.5, True)], "node_id string, found_by string, rank_score double, boosted boolean")
     held = spark.createDataFrame([("a",), ("b",)], "node_id string")
