@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions.temporal import edge_live
-from palimpsest.llm.components import connected_components
+from palimpsest.operators.components import connected_components
+from palimpsest.sources.scratch import cut
 
 _TRIPLE = ["edge_type", "from_id", "to_id"]
 
@@ -31,22 +32,28 @@ def expand(edges: DataFrame, ids: DataFrame, direction: str = "both") -> DataFra
     return {"out": out, "in": into}.get(direction, out.unionByName(into))
 
 
-def neighbourhood(edges: DataFrame, start: DataFrame, depth: int, direction: str = "both") -> DataFrame:
-    """(node_id, hop): all that can be reached in at most `depth` hops, with the fewest; the start has 0."""
-    seen = start.select("node_id").distinct().withColumn("hop", F.lit(0))
-    frontier = seen
+def neighbourhood(edges: DataFrame, start: DataFrame, depth: int, direction: str = "both", limit: int | None = None) -> tuple[DataFrame, bool]:
+    """(node_id, hop) of all that can be reached in at most `depth` hops, with the fewest (the start has 0), and whether the limit ended the walk.
+
+    Each hop's frontier is written before the next one reads it, so the plan grows
+    with the depth only and the edges are read twice for each hop. With a limit the
+    walk ends as soon as that many nodes are seen, also when there are no more; the
+    nearest are kept, then the smaller ids, and the start always.
+    """
+    seen = frontier = cut(start.select("node_id").distinct().withColumn("hop", F.lit(0)))
+    n = first = seen.count() if limit is not None else 0
     for hop in range(1, depth + 1):
+        if limit is not None and n >= limit:
+            break
         found = expand(edges, frontier, direction)
         ends = found.select(F.when(F.col("direction") == "out", F.col("to_id")).otherwise(F.col("from_id")).alias("node_id")).distinct()
-        frontier = ends.join(seen, "node_id", "left_anti").withColumn("hop", F.lit(hop))
+        frontier = cut(ends.join(seen, "node_id", "left_anti").withColumn("hop", F.lit(hop)))
         seen = seen.unionByName(frontier)
-    return seen
-
-
-def cut_slice(reached: DataFrame, limit: int) -> tuple[DataFrame, Column]:
-    """The nearest nodes up to a limit, and whether the limit was met."""
-    kept = reached.orderBy("hop", "node_id").limit(limit)
-    return kept, F.lit(kept.count() >= limit)
+        if limit is not None:
+            n += frontier.count()
+    if limit is None or n < limit:
+        return seen, False
+    return seen.orderBy("hop", "node_id").limit(max(limit, first)), True
 
 
 def drop_after(nodes: DataFrame, edges: DataFrame, as_of: str, keep: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -73,16 +80,27 @@ def version_chain(spark: SparkSession, versions: DataFrame, node_id: str) -> Dat
 
 
 def all_chains(versions: DataFrame) -> DataFrame:
-    """Every version (node_id, previous_version_id, version) with its root and distance from it.
+    """(node_id, root, steps): every version (node_id, previous_version_id) with the first of its chain and its distance from it.
 
-    Each round doubles the step, so the rounds are the logarithm of the highest version.
+    A version that points at itself or at none in the table is a first one. In a
+    longer cycle, and behind one, there is no first: root and steps are null. Each
+    round doubles the step of the rows that haven't come to a first one yet, so
+    the rounds are the logarithm of the longest chain; only those rows go on.
     """
-    highest = versions.agg(F.max("version")).first()[0] or 1
-    state = versions.select("node_id", F.coalesce("previous_version_id", "node_id").alias("up"), F.when(F.col("previous_version_id").isNull(), 0).otherwise(1).alias("steps"))
-    for _ in range(max(1, (highest - 1).bit_length())):
-        far = state.select(F.col("node_id").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("more"))
-        state = state.join(far, "up", "left").select("node_id", F.coalesce("up2", "up").alias("up"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"))
-    return state.select("node_id", F.col("up").alias("root"), F.col("steps"))
+    links = versions.select("node_id", F.col("previous_version_id").alias("up")).filter("up <> node_id")
+    known = versions.select(F.col("node_id").alias("up"))
+    going = cut(links.join(known, "up", "left_semi").select("node_id", "up", F.lit(1).cast("long").alias("steps")).distinct())
+    done = cut(versions.select("node_id").distinct().join(going, "node_id", "left_anti").select("node_id", F.col("node_id").alias("root"), F.lit(0).cast("long").alias("steps")))
+    most = going.count()
+    left, longest = most, 1
+    while left and longest <= most:  # without a cycle no path has more steps than there are links
+        ends = done.select(F.col("node_id").alias("up"), "root", F.col("steps").alias("more"))
+        far = going.select(F.col("node_id").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("further"))
+        met = cut(going.join(ends, "up", "left").join(far, "up", "left"))
+        done = done.unionByName(met.filter("root is not null").select("node_id", "root", (F.col("steps") + F.col("more")).alias("steps")))
+        going = met.filter("root is null").select("node_id", F.col("up2").alias("up"), (F.col("steps") + F.col("further")).alias("steps"))
+        left, longest = going.count(), 2 * longest
+    return done.unionByName(going.select("node_id", F.lit(None).cast("string").alias("root"), F.lit(None).cast("long").alias("steps")))
 
 
 def thread(messages: DataFrame, leaf: DataFrame) -> DataFrame:

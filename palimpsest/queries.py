@@ -333,7 +333,7 @@ def neighbors_asof(spark, d):
     every AS (SELECT 'obs_11' AS node_id, 0 AS hop UNION ALL SELECT b, 1 FROM h1 UNION ALL SELECT b, 2 FROM h2) SELECT node_id, min(hop) AS hop FROM every GROUP BY 1""")
 def khop2(spark, d):
     live = graph.live_edges(tables.edges(_found(spark, d)))
-    return graph.neighbourhood(live, spark.createDataFrame([("obs_11",)], "node_id string"), 2)
+    return graph.neighbourhood(live, spark.createDataFrame([("obs_11",)], "node_id string"), 2)[0]
 
 
 @query(""", start AS (SELECT chain FROM v WHERE node_id = 'bel_100') SELECT node_id, previous_version_id, version FROM v JOIN start USING (chain)""")
@@ -897,4 +897,4 @@ def episode_contents(spark, d):
     found = _found(spark, d)
     start = tables.episodes(found).filter("user_id = 5").select(F.col("episode_id").alias("node_id"))
     inside = graph.live_edges(tables.edges(found), include_invalidated=True, types=["contains_obs"])
-    return graph.neighbourhood(inside, start, 1, "out")
+    return graph.neighbourhood(inside, start, 1, "out")[0]

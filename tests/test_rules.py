@@ -84,6 +84,28 @@ def test_long_version_chain(spark):
     assert graph.version_chain(spark, ring, "r7").count() == 250
 
 
+def test_all_chains_end_in_cycles(spark):
+    """Self-pointing, gapped and missing versions, a ring and what hangs from it, beside a long chain."""
+    links = [("a", "a", 1), ("b", "gone", 2), ("c", "b", 9), ("r0", "r1", 1), ("r1", "r2", 2), ("r2", "r0", 3), ("s", "r1", 4)]
+    links += [(f"v{i}", f"v{i - 1}" if i else None, 3 * i) for i in range(70)]
+    rows = spark.createDataFrame(links, "node_id string, previous_version_id string, version int")
+    got = {r.node_id: (r.root, r.steps) for r in graph.all_chains(rows).collect()}
+    want = {"a": ("a", 0), "b": ("b", 0), "c": ("b", 1), **{x: (None, None) for x in ("r0", "r1", "r2", "s")}}
+    assert got == want | {f"v{i}": ("v0", i) for i in range(70)}
+    assert graph.all_chains(rows.limit(0)).count() == 0
+
+
+def test_neighbourhood_limit(spark):
+    """A hub with ten leaves: the limit ends the walk as soon as it is met, exactly met too, and keeps the start."""
+    edges = spark.createDataFrame([("e", "hub", f"n{i}") for i in range(10)] + [("e", "n3", "far")], "edge_type string, from_id string, to_id string")
+    start = spark.createDataFrame([("hub",)], "node_id string")
+    walk = lambda depth, limit: (lambda seen, cut: (sorted((r.hop, r.node_id) for r in seen.collect()), cut))(*graph.neighbourhood(edges, start, depth, "both", limit))
+    assert walk(3, 5) == ([(0, "hub"), *((1, f"n{i}") for i in range(4))], True)
+    assert walk(1, 11) == ([(0, "hub"), *((1, f"n{i}") for i in range(10))], True)
+    assert walk(3, 100) == ([(0, "hub"), *((1, f"n{i}") for i in range(10)), (2, "far")], False)
+    assert walk(3, 1) == ([(0, "hub")], True)
+
+
 def test_merge_and_boost(spark):
     found = spark.createDataFrame([("a", "SEMANTIC", 0.9, False), ("a", "STRUCTURAL", 0.6, False), ("b", "CONTINUITY", 0.5, True)], "node_id string, found_by string, rank_score double, boosted boolean")
     held = spark.createDataFrame([("a",), ("b",)], "node_id string")
