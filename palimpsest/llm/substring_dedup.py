@@ -13,7 +13,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import as_bytes, fill_partitions, id_and_text, shared_folder
+from palimpsest.llm.common import as_bytes, fill_partitions, id_and_text
+from palimpsest.sources.scratch import shared_folder
 
 #: Bytes of a trigger. Each string of the length searched for holds at least one.
 TRIGGER = 20
