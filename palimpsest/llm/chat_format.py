@@ -4,36 +4,40 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from math import isfinite
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import cut
+from palimpsest.sources.scratch import cut
 
 _KINDS = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list, "null": type(None)}
+#: Brackets that JSON text may stand in, and digits that a number may have.
+DEPTH, DIGITS = 100, 1000
 
 
-def problems(value: object, schema: dict, path: str = "$") -> list[str]:
-    """Where a value breaks a schema of type, enum, required, properties, additionalProperties, items and bounds."""
+def _problems(value: object, schema: object, path: str) -> list[str]:
+    if isinstance(schema, bool):
+        return [] if schema else [f"{path}: not allowed"]
     kinds = schema.get("type")
     kinds = [kinds] if isinstance(kinds, str) else kinds
     is_a = lambda k: isinstance(value, _KINDS[k]) and not (k in ("integer", "number") and isinstance(value, bool))
-    if kinds and not any(is_a(k) for k in kinds):
+    if kinds and not any([is_a(k) for k in kinds]):
         return [f"{path}: not {' or '.join(kinds)}"]
     out = []
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and not any(x == value and isinstance(x, bool) == isinstance(value, bool) for x in schema["enum"]):
         out.append(f"{path}: not one of the values")
     if isinstance(value, dict):
         known = schema.get("properties", {})
         out += [f"{path}.{k}: missing" for k in sorted(schema.get("required", ())) if k not in value]
         for k in sorted(value):
             if k in known:
-                out += problems(value[k], known[k], f"{path}.{k}")
+                out += _problems(value[k], known[k], f"{path}.{k}")
             elif schema.get("additionalProperties") is False:
                 out.append(f"{path}.{k}: not known")
     elif isinstance(value, list) and "items" in schema:
-        out += [p for i, x in enumerate(value) for p in problems(x, schema["items"], f"{path}[{i}]")]
+        out += [p for i, x in enumerate(value) for p in _problems(x, schema["items"], f"{path}[{i}]")]
     elif isinstance(value, str):
         if len(value) < schema.get("minLength", 0) or len(value) > schema.get("maxLength", len(value)):
             out.append(f"{path}: length out of bounds")
@@ -42,9 +46,62 @@ def problems(value: object, schema: dict, path: str = "$") -> list[str]:
     return out
 
 
+def problems(value: object, schema: object) -> list[str]:
+    """Where a value breaks a schema of type, enum, required, properties, additionalProperties, items and bounds, or that the schema is none."""
+    try:
+        return _problems(value, schema, "$")
+    except (AttributeError, KeyError, RecursionError, TypeError, ValueError):
+        return ["tool schema: broken"]
+
+
+def parsed(text: str | None) -> tuple[object, str | None]:
+    """A value of strict JSON text, and what is wrong with the text.
+
+    Refused are text that isn't JSON (NaN and Infinity aren't), numbers beyond a
+    double or of more than DIGITS digits, repeated keys, brackets deeper than DEPTH,
+    and escapes that leave half a surrogate pair.
+    """
+
+    def number(kind):
+        def read(x: str):
+            if len(x) > DIGITS or not isfinite(float(x)):
+                raise OverflowError
+            return kind(x)
+
+        return read
+
+    def pairs(items: list[tuple[str, object]]) -> dict:
+        if len(out := dict(items)) < len(items):
+            raise KeyError
+        return out
+
+    def no_number(x: str):
+        raise ValueError(x)
+
+    try:
+        value = json.loads(text or "", parse_int=number(int), parse_float=number(float), parse_constant=no_number, object_pairs_hook=pairs)
+        layer, depth = [value], 0
+        while layer := [y for x in layer for y in (x.values() if isinstance(x, dict) else x if isinstance(x, list) else ())]:
+            depth += 1
+            if depth > DEPTH:
+                raise RecursionError
+        canonical(value).encode()
+    except UnicodeEncodeError:
+        return None, "half a surrogate pair"
+    except OverflowError:
+        return None, "number out of range"
+    except KeyError:
+        return None, "repeated key"
+    except RecursionError:
+        return None, "nested too deep"
+    except ValueError:
+        return None, "not JSON"
+    return value, None
+
+
 def canonical(value: object) -> str:
     """JSON with sorted keys, no spaces and characters as they are."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
 
 def references(value: object) -> list[str]:
@@ -63,13 +120,15 @@ def _checked(calls: DataFrame) -> DataFrame:
         for batch in batches:
             errors, refs, text = [], [], []
             for r in batch.to_pylist():
-                try:
-                    arguments, bad = json.loads(r["arguments"] or ""), []
-                except ValueError:
-                    arguments, bad = None, ["$: not JSON"]
-                if not bad:
-                    bad = ["no such tool"] if r["parameters"] is None else problems(arguments, json.loads(r["parameters"]))
-                row = {"type": "tool_call", "id": r["call_id"], "name": r["name"], "arguments": arguments if arguments is not None else r["arguments"]}
+                arguments, wrong = parsed(r["arguments"])
+                schema, broken = parsed(r["parameters"]) if r["known"] else (None, None)
+                if wrong:
+                    bad = [f"$: {wrong}"]
+                elif not r["known"]:
+                    bad = ["no such tool"]
+                else:
+                    bad = [f"tool schema: {broken}"] if broken else problems(arguments, schema)
+                row = {"type": "tool_call", "id": r["call_id"], "name": r["name"], "arguments": r["arguments"] if wrong else arguments}
                 if r["linked"]:
                     row["result"] = r["content"]
                 errors.append(bad)
@@ -125,7 +184,12 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, tools: DataFrame) -> D
     Of calls, or results, that share an id in a conversation the earliest turn
     counts, then the smaller text; others go. Without a conversation or an id,
     a call or result can't be linked and goes too. Null arguments are no JSON; a
-    null name is no tool. Of tools that share a name the smallest schema counts.
+    null name is no tool. Of tools that share a name the smallest schema counts; a
+    tool without one has a broken schema. Arguments and schemas that parsed()
+    refuses, and schemas of unknown types or forms, are named in `errors`; `json`
+    then holds the arguments as the text they were, so it is JSON in any case.
+    Numbers are written as Python writes them. Empty tables give empty results;
+    arguments of any length are read whole; other columns are not read.
     Nothing gathers a conversation in one place: its rows spread by id, however
     many there are.
     """
@@ -133,8 +197,8 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, tools: DataFrame) -> D
     calls = one(calls.select("conv_id", "call_id", "turn", "name", "arguments"), "arguments")
     results = one(results.select("conv_id", "call_id", F.col("turn").alias("turn"), "content"), "content")
     answers = results.select("conv_id", "call_id", F.col("turn").alias("result_turn"), "content", F.lit(True).alias("linked"))
-    schemas = tools.groupBy("name").agg(F.min("parameters").alias("parameters"))
-    joined = calls.join(answers, ["conv_id", "call_id"], "left").join(schemas, "name", "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
+    schemas = tools.groupBy("name").agg(F.min("parameters").alias("parameters"), F.lit(True).alias("known"))
+    joined = calls.join(answers, ["conv_id", "call_id"], "left").join(schemas, "name", "left").withColumn("linked", F.coalesce("linked", F.lit(False))).withColumn("known", F.coalesce("known", F.lit(False)))
     checked = cut(_checked(joined))
     placed = checked.join(_levels(checked.select("conv_id", "call_id", "refs")), ["conv_id", "call_id"], "left")
     cyclic = F.when(F.col("level").isNull(), F.array(F.lit("refers to itself"))).otherwise(F.expr("cast(array() as array<string>)"))

@@ -46,3 +46,40 @@ def test_url_filter(spark):
         assert got == [(1, ("ads", "bad"), True)] * 2 + [(2, (), False), (3, (), False), (4, (), False), (5, (), False), (6, (), False), (7, ("bad",), True), (8, (), False), (9, (), False)]
     assert url_filter(c.limit(0), e).collect() == []
     assert not any(r.blocked for r in url_filter(c, e.limit(0)).collect())
+
+
+def test_arguments_that_are_refused(spark):
+    """What a parser would choke on becomes a named error, and the row stays JSON that any reader takes."""
+    bad = {
+        "half": ('{"x":"\\ud800"}', "half a surrogate pair"), "key": ('{"\\udfff":1}', "half a surrogate pair"), "deep": ("[" * 100_000 + "]" * 100_000, "nested too deep"),
+        "deepish": ('{"x":' + "[" * 101 + "]" * 101 + "}", "nested too deep"), "nan": ('{"x":NaN}', "not JSON"), "inf": ('{"x":-Infinity}', "not JSON"), "big": ('{"x":1e400}', "number out of range"),
+        "long": ('{"x":' + "9" * 5000 + "}", "number out of range"), "twice": ('{"x":1,"x":2}', "repeated key"), "empty": ("", "not JSON"), "space": (" ", "not JSON"), "null": (None, "not JSON"),
+    }
+    good = {"pair": '{"x":"\\ud83d\\ude00"}', "bytes": '{"x":"' + "a" * 300_000 + '"}', "brackets": '{"x":"' + "[" * 5000 + '"}', "edge": "[" * 100 + "1" + "]" * 100}
+    calls = spark.createDataFrame([(1, k, i, "any", t) for i, (k, t) in enumerate([*((k, t) for k, (t, _) in bad.items()), *good.items()])], "conv_id long, call_id string, turn long, name string, arguments string")
+    none = spark.createDataFrame([], "conv_id long, call_id string, turn long, content string")
+    got = {r.call_id: r for r in link_tool_calls(calls, none, spark.createDataFrame([("any", "{}")], "name string, parameters string")).collect()}
+    for k, (text, why) in bad.items():
+        assert got[k].errors == [f"$: {why}"] and not got[k].valid
+        assert json.loads(got[k].json)["arguments"] == text
+    for k, text in good.items():
+        assert got[k].valid and json.loads(got[k].json)["arguments"] == json.loads(text)
+
+
+def test_broken_schemas(spark):
+    schemas = {"no": "{oops", "null": None, "list": "[1]", "type": '{"type":"strange"}', "props": '{"properties":3}', "bound": '{"minimum":"a"}', "deep": "[" * 9999, "true": "true", "false": "false", "enum": '{"enum":[1]}'}
+    calls = spark.createDataFrame([(1, k, 0, k, "true" if k == "enum" else '{"a":1}' if k == "props" else "5") for k in schemas], "conv_id long, call_id string, turn long, name string, arguments string")
+    none = spark.createDataFrame([], "conv_id long, call_id string, turn long, content string")
+    got = {r.call_id: r.errors for r in link_tool_calls(calls, none, spark.createDataFrame(list(schemas.items()), "name string, parameters string")).collect()}
+    assert got == {
+        "no": ["tool schema: not JSON"], "null": ["tool schema: not JSON"], "list": ["tool schema: broken"], "type": ["tool schema: broken"], "props": ["tool schema: broken"], "bound": ["tool schema: broken"],
+        "deep": ["tool schema: nested too deep"], "true": [], "false": ["$: not allowed"], "enum": ["$: not one of the values"],
+    }
+
+
+def test_very_long_urls(spark):
+    """A host of 300 labels and a path of a million characters are judged like any other."""
+    host = ".".join(["a"] * 300) + ".example.org"
+    c = spark.createDataFrame([(1, f"http://{host}/" + "x" * 1_000_000, datetime(2024, 1, 5)), (2, "http://other.org/" + "y" * 1_000_000, datetime(2024, 1, 5))], "page_id long, url string, fetched_at timestamp")
+    e = spark.createDataFrame([("ads", "example.org", datetime(2024, 1, 2), "add")], "list_name string, pattern string, at timestamp, action string")
+    assert {r.page_id: r.blocked for r in url_filter(c, e).collect()} == {1: True, 2: False}
