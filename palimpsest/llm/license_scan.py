@@ -24,6 +24,23 @@ TEMPLATES = (
     ("redistribution and use in source and binary forms with or without modification are permitted", "bsd"),
     ("subject to the terms of the mozilla public license version 2 0", "mpl-2"),
     ("all rights reserved", "all-rights-reserved"),
+    (
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software "
+        "without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit "
+        "persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all "
+        "copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties "
+        "of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other "
+        "liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+        "mit",
+    ),
+    (
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this "
+        "permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied "
+        "warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever "
+        "resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or "
+        "performance of this software",
+        "isc",
+    ),
 )
 
 #: A-Z to a-z; digits, letters and bytes above 0x7F stay; all else separates words.
@@ -39,20 +56,19 @@ class _Join:
 
     def __init__(self, phrases: Sequence[tuple[str, str]], templates: Sequence[tuple[str, str]], threshold: float, counts: dict[bytes, int], block: int):
         order = {w: r for r, w in enumerate(sorted(counts, key=lambda w: (counts[w], w)))}
-        self.order, self.step = order, block // 2
         self.phrases = []
         for text, label in phrases:
             words = words_of(text.encode())
             at = min(range(len(words)), key=lambda i: order[words[i]])
             self.phrases.append((words, at, label))
-        self.templates, self.prefixes = [], {}
-        for k, (text, label) in enumerate(templates):
-            ranks = sorted({order[w] for w in words_of(text.encode())})
-            need = math.ceil(threshold * len(ranks) - 1e-9)
-            self.templates.append((frozenset(ranks), need, label))
-            for i, r in enumerate(ranks[: len(ranks) - need + 1]):
-                self.prefixes.setdefault(r, []).append((k, len(ranks) - i))  # what can still be shared from here on
-        self.rare = {w for w, r in order.items() if r in self.prefixes} | {w[at] for w, at, _ in self.phrases}
+        #: (tokens, prefix, how many a block must hold, words of a block, label)
+        self.templates = []
+        for text, label in templates:
+            words = words_of(text.encode())
+            tokens = sorted(set(words), key=order.__getitem__)
+            need = math.ceil(threshold * len(tokens) - 1e-9)
+            self.templates.append((frozenset(tokens), frozenset(tokens[: len(tokens) - need + 1]), need, max(block, 2 * len(words)), label))
+        self.rare = frozenset().union(*(prefix for _, prefix, *_ in self.templates)) | {w[at] for w, at, _ in self.phrases}
 
     def places(self, words: list[bytes], found: set[bytes]) -> list[tuple[str, int, int]]:
         """Where the phrases stand."""
@@ -64,22 +80,33 @@ class _Join:
         return sorted(out, key=lambda x: (x[1], x[0]))
 
     def blocks(self, words: list[bytes], found: set[bytes]) -> list[tuple[str, int, int, float]]:
-        """Every block and template with the containment, where it meets the threshold."""
-        starts = {s for i, w in enumerate(words) if w in found for s in ((i // self.step) * self.step, (i // self.step - 1) * self.step) if s >= 0}
+        """For each template the blocks that meet the threshold, those that overlap as one, with the best containment."""
         out = []
-        for s in sorted(starts):
-            tokens = sorted({self.order[w] for w in words[s : s + 2 * self.step] if w in self.order})
-            seen = set()
-            for j, r in enumerate(tokens):
-                for k, rest in self.prefixes.get(r, ()):
-                    ranks, need, label = self.templates[k]
-                    if k in seen or min(rest, len(tokens) - j) < need:
-                        continue
-                    seen.add(k)
-                    shared = len(ranks.intersection(tokens))
-                    if shared >= need:
-                        out.append((label, s, min(len(words), s + 2 * self.step), shared / len(ranks)))
-        return out
+        own = set(words)
+        for tokens, prefix, need, size, label in self.templates:
+            if prefix.isdisjoint(found) or len(tokens & own) < need:  # too few of them in the whole text
+                continue
+            at = [i for i, w in enumerate(words) if w in tokens]
+            hits = [i for i in at if words[i] in prefix]
+            counts: dict[bytes, int] = {}
+            end, h, runs = 0, 0, []
+            for n, i in enumerate(at):  # blocks that begin with a token; any other holds no more than the next of them
+                while end < len(at) and at[end] < i + size:
+                    counts[words[at[end]]] = counts.get(words[at[end]], 0) + 1
+                    end += 1
+                while h < len(hits) and hits[h] < i:
+                    h += 1
+                if h < len(hits) and hits[h] < i + size and end - n >= need and len(counts) >= need:
+                    stop, share = min(len(words), i + size), len(counts) / len(tokens)
+                    if runs and i < runs[-1][1]:
+                        runs[-1][1:] = stop, max(share, runs[-1][2])
+                    else:
+                        runs.append([i, stop, share])
+                counts[words[i]] -= 1
+                if not counts[words[i]]:
+                    del counts[words[i]]
+            out += [(label, a, b, share) for a, b, share in runs]
+        return sorted(out, key=lambda x: (x[1], x[2], x[0]))
 
 
 def _counts(texts: DataFrame, tokens: set[bytes]) -> dict[bytes, int]:
@@ -109,24 +136,24 @@ def license_scan(
     """One row per input row: doc_id, n_words, places, blocks.
 
     places: where a phrase's words stand in a row (label, start, end in words).
-    blocks: every run of `block` words, each half a block after the last, and
-    template whose distinct tokens the block contains to at least `threshold`
-    (label, start, end, containment). A template may have half a block of words at
-    most, so wherever it stands one block holds it whole.
+    blocks: for each template the runs of words that hold at least `threshold` of
+    its distinct tokens within a block of twice its words, or `block` words where
+    that is more (label, start, end, containment): a block may begin at any word,
+    those that overlap are one, and the best containment of them counts. So a
+    notice is found wherever it stands, with as many words again between its own.
 
     Template tokens are ordered by the number of documents that have them, over all
-    documents. A block that reaches the threshold must share one of a template's
-    rarest tokens, its prefix; from where the first shared one stands in either
-    order, what can still be shared is bounded; only then are the sets compared.
+    documents. A block that reaches the threshold must hold one of a template's
+    rarest tokens, its prefix, so only places around such a token are looked at;
+    the number of a template's tokens in the text and in the block bounds what can
+    be shared; only then are the sets compared, token by token as the block moves.
     Templates and phrases are arguments, not data: they go to every task, and
-    documents are scanned where they lie.
+    documents are scanned where they lie, at a cost in proportion to their words.
 
     A null or empty text has no words, places or blocks. Repeated rows get a row
     each; a null id is kept; an empty table gives an empty result; other columns
-    are not read.
+    are not read. Texts of any length are read whole.
     """
-    if any(2 * len(words_of(t.encode())) > block for t, _ in templates):
-        raise ValueError("a template has more than half a block of words")
     texts = fill_partitions(id_and_text(docs, id_col, text_col))
     tokens = {w for t, _ in (*phrases, *templates) for w in words_of(t.encode())}
     join = _Join(phrases, templates, threshold, _counts(texts, tokens), block)

@@ -171,11 +171,12 @@ ORACLE_SQL: dict[str, str] = {
     "op5_license_scan": f"""
         WITH d AS (SELECT doc_id, {_WORD_SQL} AS w FROM documents),
         phrase(p, label) AS (VALUES {_values(PHRASES)}),
-        template AS (SELECT row_number() OVER () AS k, list_distinct(string_split(p, ' ')) AS tokens, label FROM (VALUES {_values(TEMPLATES)}) AS t(p, label)),
+        template AS (SELECT list_distinct(string_split(p, ' ')) AS tokens, greatest(32, 2 * len(string_split(p, ' '))) AS size, label FROM (VALUES {_values(TEMPLATES)}) AS t(p, label)),
         place AS (SELECT doc_id, i - 1 AS pos, label FROM d, unnest(range(1, len(w) + 1)) AS t(i), phrase
                   WHERE w[i] = string_split(p, ' ')[1] AND array_to_string(w[i:i + len(string_split(p, ' ')) - 1], ' ') = p),
-        block AS (SELECT doc_id, list_distinct(w[i + 1:i + 32]) AS b FROM d, unnest(range(0, len(w), 16)) AS t(i)),
-        hit AS (SELECT doc_id, label, len(list_intersect(tokens, b)) / len(tokens) AS share FROM block, template
+        near AS (SELECT doc_id, w, tokens, size, label FROM d, template WHERE len(list_intersect(tokens, w)) >= ceil(0.85 * len(tokens) - 1e-9)),
+        block AS (SELECT doc_id, label, tokens, list_distinct(w[i:i + size - 1]) AS b FROM near, unnest(range(1, len(w) + 1)) AS t(i) WHERE list_contains(tokens, w[i])),
+        hit AS (SELECT doc_id, label, len(list_intersect(tokens, b)) / len(tokens) AS share FROM block
                 WHERE len(list_intersect(tokens, b)) >= ceil(0.85 * len(tokens) - 1e-9)),
         base AS (SELECT doc_id, count(*) AS n, min(pos) AS lo, max(pos) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS names FROM place GROUP BY 1),
         best AS (SELECT doc_id, max(share) AS share FROM hit GROUP BY 1),

@@ -14,15 +14,32 @@ def brute(text):
     w = re.findall(r"[0-9a-z\x80-\U0010ffff]+", (text or "").lower())
     places = sorted((label, i, i + len(p.split())) for p, label in PHRASES for i in range(len(w)) if w[i : i + len(p.split())] == p.split())
     blocks = []
-    for s in range(0, len(w), 16):
-        have = set(w[s : s + 32])
-        for t, label in TEMPLATES:
-            want = set(t.split())
-            if len(have & want) >= math.ceil(0.85 * len(want) - 1e-9):
-                blocks.append((label, s, min(len(w), s + 32), len(have & want) / len(want)))
+    for t, label in TEMPLATES:
+        want, size, mine = set(t.split()), max(32, 2 * len(t.split())), []
+        for i in range(len(w)):
+            share = len(want & set(w[i : i + size])) / len(want)
+            if w[i] in want and share >= 0.85 - 1e-9:
+                stop = min(len(w), i + size)
+                if mine and i < mine[-1][2]:
+                    mine[-1] = (label, mine[-1][1], stop, max(share, mine[-1][3]))
+                else:
+                    mine.append((label, i, stop, share))
+        blocks += mine
     return len(w), places, sorted(blocks)
 
 
+def test_spread_notices_are_found_at_any_place(spark):
+    """A notice whose words are spread over 31 by inserted ones, at every offset, and a whole license with a word after every second."""
+    words = NOTICE.lower().replace(",", "").split()
+    spread = [x for i, w in enumerate(words) for x in ([w, "zz"] if i % 2 == 0 or i > 2 else [w])][:31]
+    rows = [(k, "qq " * k + " ".join(spread) + " qq" * 40) for k in range(33)]
+    whole = [x for i, w in enumerate(TEMPLATES[-1][0].split()) for x in ([w, "zz"] if i % 2 else [w])]
+    rows += [(100, "start of file " * 50 + " ".join(whole)), (101, " ".join(reversed(whole))), (102, " ".join(x for w in TEMPLATES[-1][0].split() for x in (w, "a1", "b1")))]
+    got = {r.doc_id: {b.label for b in r.blocks} for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all("mit" in got[k] for k in range(33))
+    assert "isc" in got[100] and "isc" in got[101] and "isc" not in got[102]
+
+
 def test_license_scan(spark):
     docs = spark.createDataFrame([(d, t, 1) for d, t in ROWS], "doc_id long, text string, places int")
     got = sorted(((r.doc_id, r.n_words, sorted(map(tuple, r.places)), sorted(map(tuple, r.blocks))) for r in license_scan(docs).collect()), key=repr)
