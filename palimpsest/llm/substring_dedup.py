@@ -2,26 +2,27 @@
 
 from __future__ import annotations
 
-import gc
-import time
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import as_bytes, fill_partitions, id_and_text
-from palimpsest.sources.scratch import shared_folder
+from palimpsest.sources.scratch import cut, shared_folder
 
 #: Bytes of a trigger. Each string of the length searched for holds at least one.
-TRIGGER = 20
+TRIGGER = 12
 #: A longer text is parsed in sections of so many bytes.
-_SECTION = 1 << 25
+SECTION = 1 << 25
 _PLACE = np.uint64((1 << 26) - 1)
 _NO_ID = (1 << 63) - 1
+#: Of so many documents one shows which triggers are hot; a hot one has more than a quarter of a task's share of rows, and so many at least.
+_EVERY, _HOT_ROWS = 256, 16_384
+_START, _HOT = 0x7FFFFFFF, 1 << 8
 
 
 def _mix(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -45,17 +46,17 @@ def _rolling(a: np.ndarray, k: int) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def parse(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def parse(text: bytes, length: int, section: int = SECTION) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first, end, trigger hash) of the phrases of a text.
 
     The trigger of a string of `length` bytes is its part of TRIGGER bytes with the
-    least hash, the leftmost of equal ones: it depends on the string alone. The
-    strings that share a trigger follow each other; a phrase is what they cover.
+    least rolling hash, the leftmost of equal ones: it depends on the string alone.
+    The strings that share a trigger follow each other; a phrase is what they cover.
     """
     wide = length - TRIGGER + 1
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for at in range(0, max(0, len(text) - length + 1), _SECTION):
-        h = _rolling(np.frombuffer(text, np.uint8)[at : at + _SECTION + length - 1], TRIGGER)
+    for at in range(0, max(0, len(text) - length + 1), section):
+        h = _rolling(np.frombuffer(text, np.uint8)[at : at + section + length - 1], TRIGGER)
         n = len(h) - wide + 1
         v = np.full(-(-len(h) // wide) * wide, np.iinfo(np.uint64).max, np.uint64)
         v[: len(h)] = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
@@ -71,11 +72,6 @@ def parse(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _mark(text: bytes) -> int:
-    """24 bits that tell apart texts that stand under one id."""
-    return xxhash.xxh32_intdigest(text) >> 8
-
-
 def _firsts(keys: tuple[np.ndarray, ...], doc: np.ndarray) -> np.ndarray:
     """For each row, whether no row of this batch with the same keys has a smaller id."""
     order = np.lexsort((doc, *keys))
@@ -101,16 +97,21 @@ def _join(parts: list[np.ndarray]) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
 
-def _phrases(docs: DataFrame, length: int) -> DataFrame:
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are among some sorted ones."""
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values if len(known) else np.zeros(len(values), bool)
+
+
+def _phrases(texts: DataFrame, length: int, section: int, hot: np.ndarray) -> DataFrame:
     """(key, place, did, mark): the phrases of all texts, packed, as they are most of what goes through a shuffle.
 
     key: 48 bits of the trigger's hash and 16 of the phrase's; place: 24 more bits
-    of the phrase's hash, 32 of its start and 8 of its length, 0 where it is known
-    to repeat: then mark has the length as well.
+    of the phrase's hash, 31 of its start, 1 for a hot trigger and 8 of its length.
 
     Of equal phrases in one batch only those of the smallest id go on; the others
-    are known to repeat, and go on as merged spans under a key of their own. So a
-    text that makes up a third of all rows is a few rows for each batch.
+    are known to repeat, and go on as merged spans under a key of their own, with
+    0 for the length and that of the span in place of the phrase's hash. So a text
+    that makes up a third of all rows is a few rows for each batch.
     """
     names = ["key", "place", "did", "mark"]
 
@@ -118,66 +119,143 @@ def _phrases(docs: DataFrame, length: int) -> DataFrame:
         digest = xxhash.xxh64_intdigest
         for batch in batches:
             trigger, phrase, did, first, end, mark = [], [], [], [], [], []
-            for i, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
-                a, b, t = parse(text, length)
+            for i, m, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2)), strict=True):
+                a, b, t = parse(text, length, section)
                 trigger.append(t)
                 phrase.append(np.array([digest(text[x:y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)], np.uint64).view(np.int64))
                 did.append(np.full(len(a), i, np.int64))
                 first.append(a)
                 end.append(b)
-                mark.append(np.full(len(a), _mark(text), np.int64))
+                mark.append(np.full(len(a), m, np.int64))
             t, p, d, a, b, m = (_join(x) for x in (trigger, phrase, did, first, end, mark))
             open_ = _firsts((p, t), d)
             key = (t & ~0xFFFF) | (p & 0xFFFF)
-            place = (p >> 16 << 40) | a << 8
+            place = (p >> 16 << 40) | a << 9 | np.where(_among(t >> 16, hot), _HOT, 0)
             yield _batch(names, [key[open_], (place | b - a)[open_], d[open_], m[open_]])
             d, m, a, b = (x[~open_] for x in (d, m, a, b))
             if len(d):
                 new, last = _runs(d, m, a, b)
+                size = b[last] - a[new]
                 spread = ((d[new] * 0x9E3779B9) ^ (a[new] << 20)) << 16
-                yield _batch(names, [spread, a[new] << 8, d[new], m[new] | (b[last] - a[new]) << 24])
+                yield _batch(names, [spread | size & 0xFFFF, size >> 16 << 40 | a[new] << 9, d[new], m[new]])
+
+    return texts.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
 
-    return docs.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+#: What _phrases() packs, as SQL.
+_TRIGGER, _KNOWN, _IS_HOT = "shiftright(key, 16)", "place & 255 = 0", f"place & {_HOT} <> 0"
+_PHRASE = "shiftleft(key & 65535, 24) + (shiftright(place, 40) & 16777215)"
+_FIRST = f"shiftright(place, 9) & {_START}"
+_SIZE = "if(place & 255 = 0, shiftleft(shiftright(place, 40) & 16777215, 16) + (key & 65535), place & 255)"
 
 
-def _contexts(texts: DataFrame) -> DataFrame:
-    """(trigger, context, did, at): the bytes of the phrases listed in `open`; at: 24 bits of the mark, 32 of the start."""
+def _hot_triggers(texts: DataFrame, length: int, section: int) -> np.ndarray:
+    """Triggers that a few tasks can't be left alone with: at most four for each shuffle partition, whatever the input is."""
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    few = texts.filter(F.pmod(F.xxhash64("did", "mark", F.lit(3)), F.lit(_EVERY)) == 0)
+    counts = cut(_phrases(few, length, section, np.zeros(0, np.int64)).filter(~F.expr(_KNOWN)).groupBy(F.expr(_TRIGGER).alias("trigger")).count())
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    least = max(total / (4 * tasks), _HOT_ROWS / _EVERY)
+    return np.sort(np.array([r.trigger for r in counts.filter(F.col("count") > least).select("trigger").collect()], np.int64))
+
+
+def _contexts(texts: DataFrame, length: int) -> DataFrame:
+    """(trigger, spread, context, did, mark, start): the bytes of the phrases listed in `open`.
+
+    Those of a hot trigger go string by string, spread by their bytes; of equal
+    strings in one batch only those of the smallest id, the others are known to
+    repeat and have no context.
+    """
+    names = ["trigger", "spread", "context", "did", "mark", "start"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            trigger, context, did, at = [], [], [], []
-            for i, text, phrases in zip(batch.column("did").to_pylist(), as_bytes(batch.column("text")), batch.column("open").to_pylist(), strict=True):
-                mark = _mark(text)
+            rows, strings = [], []
+            for did, mark, text, phrases in zip(*(batch.column(c).to_pylist() for c in ("did", "mark")), as_bytes(batch.column("text")), batch.column("open").to_pylist(), strict=True):
                 for x in phrases:
-                    if x["mark"] == mark:
-                        start = x["place"] >> 8 & 0xFFFFFFFF
-                        trigger.append(x["trigger"])
-                        context.append(text[start : start + (x["place"] & 255)])
-                        did.append(i)
-                        at.append(mark << 32 | start)
-            yield pa.RecordBatch.from_arrays([pa.array(trigger, pa.int64()), pa.array(context, pa.binary()), pa.array(did, pa.int64()), pa.array(at, pa.int64())], ["trigger", "context", "did", "at"])
-
-    return texts.mapInArrow(run, "trigger long, context binary, did long, at long")
-
+                    start, size = x["place"] >> 9 & _START, x["place"] & 255
+                    if x["place"] & _HOT:
+                        strings += [(x["trigger"], text[i : i + length], did, mark, i) for i in range(start, start + size - length + 1)]
+                    else:
+                        rows.append((x["trigger"], 0, text[start : start + size], did, mark, start))
+            least: dict[tuple[int, bytes], int] = {}
+            for t, s, did, _, _ in strings:
+                if did < least.get((t, s), did + 1):
+                    least[t, s] = did
+            for t, s, did, mark, i in strings:
+                spread = xxhash.xxh64_intdigest(s) >> 1
+                rows.append((t, spread, s, did, mark, i) if least[t, s] == did else (spread ^ did, i, None, did, mark, i))
+            columns = list(zip(*rows, strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "context" else pa.int64()) for n, c in zip(names, columns, strict=True)], names)
+
+    return texts.mapInArrow(run, ", ".join(f"{n} {'binary' if n == 'context' else 'long'}" for n in names))
+
+
+def _again(part: pa.RecordBatch, length: int) -> pa.RecordBatch:
+    """(did, mark, start, end): strings that stand under a smaller id too, those that touch as one; all contexts of a trigger are here.
+
+    The suffixes of the dictionary, which is the contexts, are sorted by their
+    bytes to the depth of `length`, then by id: equal ones follow each other, the
+    one of the smallest id first.
+    """
+    trigger, spread, did, mark, start = (part.column(c).to_numpy() for c in ("trigger", "spread", "did", "mark", "start"))
+    context = part.column("context")
+    offsets = np.frombuffer(context.buffers()[1], np.int32)[context.offset : context.offset + len(context) + 1].astype(np.int64)
+    data = np.frombuffer(context.buffers()[2] or b"", np.uint8)
+    count = np.maximum(np.diff(offsets) - length + 1, 0)
+    row = np.repeat(np.arange(len(count)), count)
+    i = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    padded = np.zeros((len(row), -(-length // 8) * 8), np.uint8)
+    if len(row):
+        padded[:, :length] = np.lib.stride_tricks.sliding_window_view(data, length)[offsets[:-1][row] + i]
+    words = padded.view(">u8").astype(np.uint64)
+    group = np.cumsum(np.concatenate(([True], (trigger[1:] != trigger[:-1]) | (spread[1:] != spread[:-1]))))[row]
+    order = np.lexsort((did[row], *(words[:, k] for k in range(words.shape[1] - 1, -1, -1)), group))
+    w, g = words[order], group[order]
+    new = np.concatenate(([True], (g[1:] != g[:-1]) | np.any(w[1:] != w[:-1], axis=1))) if len(order) else np.zeros(0, bool)
+    ids = did[row][order]
+    found = np.zeros(len(row), bool)
+    found[order] = ids > ids[np.flatnonzero(new)][np.cumsum(new) - 1] if len(order) else False
+    row, i = row[found], i[found]
+    edge = np.concatenate(([True], (row[1:] != row[:-1]) | (i[1:] != i[:-1] + 1))) if len(row) else np.zeros(0, bool)
+    a = np.flatnonzero(edge)
+    b = np.append(a[1:], len(row)) - 1 if len(a) else a
+    return _batch(["did", "mark", "start", "end"], [did[row[a]], mark[row[a]], start[row[a]] + i[a], start[row[a]] + i[b] + length])
+
+
+def _repeats(dictionary: DataFrame, length: int) -> DataFrame:
+    """What _again() finds in all contexts, whole groups of rows of a trigger at a time."""
 
-def _cut_out(rows: DataFrame, length: int, id_type: str) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            rest = table if rest is None else pa.concat_tables([rest, table])
+            if len(rest) < 10_000:
+                continue
+            rest = rest.combine_chunks()
+            t, s = rest["trigger"].to_numpy(), rest["spread"].to_numpy()
+            last = int(np.flatnonzero((t == t[-1]) & (s == s[-1]))[0])  # its group may go on in the next batch
+            if last:
+                yield _again(rest.slice(0, last).to_batches()[0], length)
+                rest = rest.slice(last)
+        if rest is not None and len(rest):
+            yield _again(rest.combine_chunks().to_batches()[0], length)
+
+    known = dictionary.filter("context is null").select("did", "mark", "start", (F.col("start") + length).alias("end"))
+    rows = dictionary.filter("context is not null").repartition("trigger", "spread").sortWithinPartitions("trigger", "spread")
+    return rows.mapInArrow(run, "did long, mark long, start long, end long").unionByName(known)
+
+
+def _cut_out(rows: DataFrame, id_type: str) -> DataFrame:
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_bytes, spans, kept = [], [], []
-            lists = (batch.column(c).to_pylist() for c in ("whole", "strings"))
-            for text, whole, strings in zip(as_bytes(batch.column("text")), *lists, strict=True):
-                cuts = []
-                if whole or strings:
-                    mark = _mark(text)
-                    for x in whole or ():
-                        if x["mark"] & 0xFFFFFF == mark:
-                            start = x["place"] >> 8 & 0xFFFFFFFF
-                            cuts.append((start, start + (x["mark"] >> 24 or x["place"] & 255)))
-                    cuts += [(x & 0xFFFFFFFF, (x & 0xFFFFFFFF) + length) for x in strings or () if x >> 32 == mark]
+            for text, found in zip(as_bytes(batch.column("text")), batch.column("found").to_pylist(), strict=True):
                 merged: list[list[int]] = []
-                for a, b in sorted(cuts):
+                for a, b in sorted((x["start"], x["end"]) for x in found or ()):
                     if merged and a <= merged[-1][1]:
                         merged[-1][1] = max(b, merged[-1][1])
                     else:
@@ -193,19 +271,7 @@ def _cut_out(rows: DataFrame, length: int, id_type: str) -> DataFrame:
     return out.withColumn("doc_id", F.col("doc_id").cast(id_type))
 
 
-def _release(spark: SparkSession) -> None:
-    """Have the files of shuffles that are done with removed.
-
-    Spark's cleaner acts on what the driver's JVM has collected; what a plan holds
-    takes a second collection.
-    """
-    for _ in range(3):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, section: int = SECTION) -> DataFrame:
     """One row per input row: doc_id, n_bytes, spans (removed byte ranges, maximal, end exclusive), kept (bytes).
 
     A byte goes when it lies in a string of `length` bytes that also starts in a
@@ -214,46 +280,51 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Texts are parsed into phrases at triggers that depend on content alone, so
     equal strings lie in phrases of equal triggers, and only phrases go through
-    the shuffle, about one for 15 bytes. A phrase that equals one of a smaller id
+    the shuffle, about one for 20 bytes. A phrase that equals one of a smaller id
     repeats as a whole. Phrases that share a trigger but differ (a repeat begins or
-    ends in them, or there is none) are the dictionary: of each distinct one the
-    strings are sorted together, and those that stand under a smaller id found.
-    What is left for the documents is a list of places each, joined by id.
-
-    A null text is empty; a text shorter than `length` stays whole. A text is
-    removed in full when all of it repeats. Rows that share an id don't count
-    against each other, whether their texts are equal or not; a null id is larger
-    than any other. An empty table gives an empty result; other columns are not
-    read.
+    ends in them) are the dictionary: its suffixes are sorted by their bytes, and
+    of equal ones all but those of the smallest id repeat. Phrases overlap, so that
+    a suffix as long as a string never runs into the next phrase: where the order
+    of the parse would break a tie between equal suffixes, the ids do.
+
+    A trigger with many phrases is dealt to many tasks, by the phrases at first and
+    by the strings then; equal ones of a batch go as one. What is left for the
+    documents is a list of places each, joined by id.
+
+    A null text is empty; a text shorter than `length` stays whole; one of any
+    length is read whole, in sections. A text is removed in full when all of it
+    repeats. Rows that share an id don't count against each other, whether their
+    texts are equal or not; a null id is larger than any other. Where ids repeat or
+    are null, rows are told apart by id and a 64-bit hash of the text, and places
+    of equal rows are kept once. An empty table gives an empty result; other
+    columns are not read.
     """
     if not TRIGGER < length < 128:
         raise ValueError(f"length must be over {TRIGGER} and under 128")
     spark = docs.sparkSession
     source = fill_partitions(id_and_text(docs, id_col, text_col))
     id_type = dict(source.dtypes)["doc_id"]
-    texts = source.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("did"), "text")
+    plain = source.groupBy("doc_id").count().filter("doc_id is null or count > 1").isEmpty()
+    mark = F.lit(0).cast("long") if plain else F.xxhash64(F.coalesce("text", F.lit("")))
+    texts = source.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("did"), mark.alias("mark"), "text")
+    keys = ["did"] if plain else ["did", "mark"]
+
     # Rows cross the shuffle packed and are taken apart behind it.
-    packed = _phrases(texts, length).repartition(F.shiftright("key", 16))
-    phrases = packed.select(F.shiftright("key", 16).alias("trigger"), (F.shiftleft(F.col("key").bitwiseAND(0xFFFF), 24) + F.shiftright("place", 40).bitwiseAND(0xFFFFFF)).alias("phrase"), "place", "did", "mark")
+    packed = _phrases(texts, length, section, _hot_triggers(texts, length, section)).repartition(F.expr(_TRIGGER), F.expr(f"if({_IS_HOT}, ({_PHRASE}) & 255, 0)"))
+    phrases = packed.selectExpr(f"{_TRIGGER} as trigger", f"{_PHRASE} as phrase", "place", "did", "mark", f"({_FIRST}) + {_SIZE} as end")
     least = F.min("did").over(Window.partitionBy("trigger", "phrase"))
     by_trigger = Window.partitionBy("trigger")
     mixed = F.min("phrase").over(by_trigger) != F.max("phrase").over(by_trigger)
-    known = F.col("place").bitwiseAND(0xFF) == 0
-    kind = F.when(known | (F.col("least") < F.col("did")), "whole").when(F.col("mixed"), "open")
-    seen = phrases.withColumn("least", least).withColumn("mixed", mixed).withColumn("kind", kind).filter("kind is not null")
-    seen = seen.select("did", "place", "mark", "kind", F.when(F.col("kind") == "open", F.col("trigger")).alias("trigger"))
+    seen = phrases.withColumn("least", least).withColumn("mixed", mixed)
+    whole = F.expr(f"{_KNOWN} or least < did")
+    seen = seen.filter(whole | F.expr(f"mixed or {_IS_HOT}")).select("did", "mark", "place", "end", F.when(~whole, F.col("trigger")).alias("trigger"))
     path = f"{shared_folder(spark)}/phrases-{uuid.uuid4().hex}"
     seen.write.parquet(path)
-    _release(spark)
 
     seen = spark.read.parquet(path)
-    whole = seen.filter("kind = 'whole'").groupBy("did").agg(F.collect_list(F.struct("place", "mark")).alias("whole"))
-    open_ = seen.filter("kind = 'open'").groupBy("did").agg(F.collect_list(F.struct("trigger", "place", "mark")).alias("open"))
-    # Only phrases cross the shuffle; their strings are made behind it, where all of a trigger are together.
-    dictionary = _contexts(texts.join(open_, "did").select("did", "text", "open")).repartition("trigger")
-    hashes = F.transform(F.sequence(F.lit(0), F.length("context") - length), lambda i: F.xxhash64(F.substring("context", i + 1, F.lit(length))))
-    strings = dictionary.select("trigger", "did", "at", F.posexplode(hashes).alias("i", "h"))
-    first = F.min("did").over(Window.partitionBy("trigger", "h"))
-    again = strings.withColumn("first", first).filter("first < did").groupBy("did").agg(F.collect_list(F.col("at") + F.col("i")).alias("strings"))
-    rows = texts.join(whole, "did", "left").join(again, "did", "left")
-    return _cut_out(rows, length, id_type)
+    seen = seen if plain else seen.distinct()
+    open_ = seen.filter("trigger is not null").groupBy(*keys).agg(F.collect_list(F.struct("trigger", "place")).alias("open"))
+    strings = _repeats(_contexts(texts.join(open_, keys).select("did", "mark", "text", "open"), length), length)
+    found = seen.filter("trigger is null").select("did", "mark", F.expr(_FIRST).alias("start"), "end").unionByName(strings if plain else strings.distinct())
+    spans = found.groupBy(*keys).agg(F.collect_list(F.struct("start", "end")).alias("found"))
+    return _cut_out(texts.join(spans, keys, "left").select("did", "text", "found"), id_type)

@@ -1,5 +1,8 @@
 import random
 
+from pyspark.sql import functions as F
+
+from palimpsest.llm import substring_dedup as module
 from palimpsest.llm.substring_dedup import substring_dedup
 
 
@@ -29,9 +32,9 @@ def brute(rows, length=50):
     return sorted(out, key=repr)
 
 
-def run(spark, rows):
+def run(spark, rows, **options):
     docs = spark.createDataFrame([(d, t, 1, "s") for d, t in rows], "doc_id long, text string, size long, trigger string")
-    return sorted(((r.doc_id, r.n_bytes, [(s.start, s.end) for s in r.spans], bytes(r.kept)) for r in substring_dedup(docs).collect()), key=repr)
+    return sorted(((r.doc_id, r.n_bytes, [(s.start, s.end) for s in r.spans], bytes(r.kept)) for r in substring_dedup(docs, **options).collect()), key=repr)
 
 
 def test_equals_brute_force(spark):
@@ -56,4 +59,25 @@ def test_edge_cases(spark):
     rows = [(1, None), (2, ""), (3, "short"), (4, body), (5, body), (5, body), (5, body + "tail of another text"), (None, body), (None, body + "!")]
     rows += [(6, body[:49]), (7, body[:50]), (8, "aa" * 200), (9, "a" * 70), (10, "b" * 49 + "a" * 60), (11, "The " * 3000), (12, "The " * 40), (0, "The " * 13)]
     assert run(spark, rows) == brute(rows)
+    assert run(spark, rows, section=64) == brute(rows)
     assert run(spark, []) == []
+
+
+def test_many_rows_without_an_id_and_under_one(spark):
+    """Hundreds of equal and different texts under a null id and under one id count only against smaller ids."""
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(rng.randint(5, 40))) for _ in range(30)]
+    rows = [(None, texts[i % 20]) for i in range(300)] + [(7, texts[10 + i % 20]) for i in range(300)] + [(3, texts[15]), (9, texts[0] + texts[12])]
+    assert run(spark, rows) == brute(rows)
+
+
+def test_hot_triggers(spark, monkeypatch):
+    """Passages that every document goes on from differently, with every trigger that occurs in a sample dealt out."""
+    monkeypatch.setattr(module, "_EVERY", 2)
+    monkeypatch.setattr(module, "_HOT_ROWS", 4)
+    rng = random.Random(3)
+    passage = "this passage stands in every document and then each of them goes on in another way: "
+    rows = [(i, passage * rng.randint(1, 3) + " ".join(f"{rng.randrange(10**6)}" for _ in range(rng.randint(0, 12)))) for i in range(200)] + [(500, "x" * 700), (501, "x" * 60), (502, "y" + "x" * 300)]
+    docs = spark.createDataFrame(rows, "did long, text string").select("did", F.lit(0).cast("long").alias("mark"), "text")
+    assert len(module._hot_triggers(docs, 50, module.SECTION)) > 0
+    assert run(spark, rows) == brute(rows)
