@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import ids, text
+from palimpsest.sources.scratch import cut
 
 # What a finding of a kind can grow into; kinds not listed stay with their day.
 PROMOTION = {
@@ -85,13 +86,30 @@ def mint_ids(rows: DataFrame, prefix: str, day: str, group: list[str], order: li
     return rows.withColumn("minted_id", ids.scoped_id(F.lit(prefix), F.col(day), episode, n))
 
 
-def unique_slugs(rows: DataFrame, prefix: str, name: str, order: list[str], taken: DataFrame) -> DataFrame:
-    """A slug for each row: the plain one for the first, _2, _3 and so on for the next, counting the taken ones (slug)."""
-    base = rows.withColumn("_base", ids.slug(prefix, F.col(name)))
-    n = F.row_number().over(Window.partitionBy("_base").orderBy(*order))
-    there = taken.groupBy(F.col("slug").alias("_base")).agg(F.count(F.lit(1)).alias("_taken"))
-    k = n + F.coalesce("_taken", F.lit(0))
-    return base.join(there, "_base", "left").withColumn("slug", F.when(k == 1, F.col("_base")).otherwise(F.concat("_base", F.lit("_"), k.cast("string")))).drop("_base", "_taken")
+def unique_slugs(rows: DataFrame, prefix: str, name: str, day: str, order: str, taken: DataFrame) -> DataFrame:
+    """A slug for each row that no other row and no taken one (slug) has: the plain one, else with the day, else that with _2, _3 and so on.
+
+    Rows choose in the order of a unique column, each the first that is free. In
+    rounds every row asks for one; of those that ask for the same the first in
+    order stays and the others go on to their next, which may take it from a later
+    row. The rows that share a name and day are ranked in one window.
+    """
+    c = F.col
+    base = ids.slug(prefix, c(name))
+    dated = F.concat(base, F.date_format(c(day), "_yyyy_MM_dd"))
+    state = cut(rows.select(c(order).alias("o"), base.alias("base"), dated.alias("dated"), F.lit(0).alias("k")).filter("base is not null"))
+    gone = taken.select(c("slug")).distinct().withColumn("gone", F.lit(1))
+    while True:
+        asked = state.withColumn("slug", F.when(c("k") == 0, c("base")).when(c("k") == 1, c("dated")).otherwise(F.concat("dated", F.lit("_"), c("k").cast("string"))))
+        place = F.row_number().over(Window.partitionBy("slug").orderBy("o"))
+        same = F.row_number().over(Window.partitionBy("slug", "dated").orderBy("o"))
+        asked = asked.withColumn("place", place).withColumn("same", same).join(gone, "slug", "left")
+        ahead = F.when(c("gone").isNull() & (c("place") == 1), 0).when((c("k") > 0) & (c("gone").isNull()), F.greatest(c("same") - 1, F.lit(1))).otherwise(1)
+        asked = cut(asked.withColumn("ahead", ahead))
+        if asked.filter("ahead > 0").isEmpty():
+            break
+        state = asked.select("o", "base", "dated", (c("k") + c("ahead")).alias("k"))
+    return rows.join(asked.select(c("o").alias(order), "slug"), order, "left")
 
 
 def by_name(rows: DataFrame, name: str, known: DataFrame, canonical: str) -> DataFrame:

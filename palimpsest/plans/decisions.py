@@ -6,7 +6,7 @@ append: nothing is updated in place.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.ids import versioned_id
@@ -35,10 +35,11 @@ def threshold(action: Column) -> Column:
 
 
 def possible(action: Column, source: Column, target: Column, standing: Column) -> Column:
-    """Whether an action can join these kinds of record (target null: none is named)."""
+    """Whether an action can join these kinds of record (target null: none is named). An open question always can."""
     lasting = target.isin("PatternNode", "BeliefNode")
     return F.coalesce(
-        F.when(action.isin("MERGE", "REINFORCE", "REGULATE", "EVOLVE"), lasting)
+        F.when(action == "AMBIGUOUS", F.lit(True))
+        .when(action.isin("MERGE", "REINFORCE", "REGULATE", "EVOLVE"), lasting)
         .when(action == "BRANCH", F.lit(True))
         .when(action == "CONTRADICT", (source == "ObservationNode") & (target == "BeliefNode") & standing)
         .when(action == "DIALECTIC", (source == "ObservationNode") & lasting & standing),
@@ -53,7 +54,7 @@ def apply_gates(decisions: DataFrame, now: str) -> DataFrame:
     source_type, target_type, standing, target_from, breakthrough, deviated,
     local_extremum, has_anchor, delta_description, contradiction_summary,
     tension_summary, regulation_summary. A gate that records a decision
-    separately makes it a BRANCH.
+    separately makes it a BRANCH, and what was claimed its runner-up.
     """
     c = F.col
     ok = possible(c("action"), c("source_type"), c("target_type"), c("standing"))
@@ -73,6 +74,7 @@ def apply_gates(decisions: DataFrame, now: str) -> DataFrame:
     d = d.withColumn("_tie", tie).withColumn("_trial", ~c("_impossible") & ~c("_tie") & F.coalesce(long_held, F.lit(False)))
     d = d.withColumn("_extremum", ~c("_impossible") & ~c("_tie") & ~c("_trial") & extremum)
     apart = c("_trial") | c("_extremum")
+    d = d.withColumn("runner_up_action", F.when(apart, c("action")).otherwise(c("runner_up_action"))).withColumn("runner_up_confidence", F.when(apart, c("confidence")).otherwise(c("runner_up_confidence")))
     d = d.withColumn("action", F.when(c("_tie") & ~c("_impossible"), "AMBIGUOUS").when(apart, "BRANCH").otherwise(c("action")))
     wording = F.lit(False)
     for action, column in REQUIRED_WORDING.items():
@@ -144,17 +146,20 @@ def grounded(quotes: Column, text: Column) -> Column:
 
 
 def validate_chains(steps: DataFrame, cap: int = 12) -> DataFrame:
-    """Causal chains (chain_id, step, kind, content): in order and cut at the cap; a bad step or fewer than two reject the chain."""
-    item = F.struct("step", "kind", "content")
-    chains = steps.groupBy("chain_id").agg(F.slice(F.array_sort(F.collect_list(item)), 1, cap).alias("s"))
+    """Causal chains (chain_id, step, kind, content): in order and cut at the cap; a bad step or fewer than two reject the chain.
+
+    The cut comes before the steps are gathered, so a chain of any length is `cap` rows at most in one place.
+    """
+    order = Window.partitionBy("chain_id").orderBy("step", "kind", "content")
+    few = steps.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= cap)
+    item = F.struct("_n", "kind", "content")
+    chains = few.groupBy("chain_id").agg(F.array_sort(F.collect_list(item)).alias("s"))
     good = F.forall("s", lambda x: x["kind"].isin("TRIGGER", "INTERNAL_STATE", "ACTION", "OUTCOME", "LESSON") & (F.trim(x["content"]) != ""))
     return chains.filter((F.size("s") >= 2) & good).select("chain_id", F.posexplode("s").alias("i", "x")).select("chain_id", (F.col("i") + 1).alias("step_index"), "x.kind", "x.content")
 
 
 def bad_transitions(log: DataFrame) -> DataFrame:
     """Entries of a state log (job_id, seq, status) that may not follow the one before."""
-    from pyspark.sql import Window
-
     before = F.lag("status").over(Window.partitionBy("job_id").orderBy("seq"))
     allowed = F.lit(False)
     for a, b in TRANSITIONS:

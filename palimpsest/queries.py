@@ -606,18 +606,18 @@ def calendar_windows(spark, d):
 # Decisions and writes
 
 _GATED = """, x AS (SELECT 'd_' || event_id AS decision_id, node_id AS source_node_id, pattern_id || '_v1' AS target_node_id, occurred_at AS at, event_id,
-      ['MERGE','REINFORCE','EVOLVE','BRANCH','CONTRADICT','DIALECTIC','REGULATE'][event_id % 7 + 1] AS a0, 0.7 + event_id % 31 / 100.0 AS c0,
+      ['MERGE','REINFORCE','EVOLVE','BRANCH','CONTRADICT','DIALECTIC','REGULATE','AMBIGUOUS'][event_id % 8 + 1] AS a0, 0.7 + event_id % 31 / 100.0 AS c0,
       CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'BRANCH' END AS r0, CASE WHEN event_id % 3 = 0 THEN NULL ELSE 0.7 + event_id % 29 / 100.0 END AS rc0,
       CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'PatternNode' ELSE 'BeliefNode' END AS tt, event_id % 2 = 0 AS standing,
       date_diff('microsecond', occurred_at - to_days(CAST(event_id % 300 AS INT)), TIMESTAMP '2024-02-01') / 86400000000.0 AS age,
-      event_id % 11 = 0 AS breakthrough, event_id % 13 = 0 AS deviated, event_id % 5 = 0 AS extremum, event_id % 6 > 0 AS anchor, event_id % 8 > 0 AS worded FROM f),
-    y AS (SELECT *, CASE WHEN a0 IN ('MERGE','REINFORCE','REGULATE','EVOLVE') THEN tt IS NOT NULL WHEN a0 = 'BRANCH' THEN true WHEN a0 = 'CONTRADICT' THEN coalesce(tt = 'BeliefNode', false) AND standing ELSE tt IS NOT NULL AND standing END AS ok FROM x),
+      event_id % 11 = 0 AS breakthrough, event_id % 13 = 0 AS deviated, event_id % 5 = 0 AS extremum, event_id % 6 > 0 AS anchor, event_id % 9 > 0 AS worded FROM f),
+    y AS (SELECT *, CASE WHEN a0 IN ('MERGE','REINFORCE','REGULATE','EVOLVE') THEN tt IS NOT NULL WHEN a0 IN ('BRANCH', 'AMBIGUOUS') THEN true WHEN a0 = 'CONTRADICT' THEN coalesce(tt = 'BeliefNode', false) AND standing ELSE tt IS NOT NULL AND standing END AS ok FROM x),
     z AS (SELECT *, NOT ok AND r0 IS NOT NULL AS swap, NOT ok AND r0 IS NULL AS impossible FROM y),
     s AS (SELECT * REPLACE (CASE WHEN swap THEN r0 ELSE a0 END AS a0, CASE WHEN swap THEN rc0 ELSE c0 END AS c0, CASE WHEN swap THEN a0 ELSE r0 END AS r0, CASE WHEN swap THEN c0 ELSE rc0 END AS rc0) FROM z),
     t AS (SELECT *, coalesce(r0 <> a0 AND abs(round(c0 * 100) - round(rc0 * 100)) < 5, false) AS tie FROM s),
     u AS (SELECT *, NOT impossible AND NOT tie AND a0 IN ('EVOLVE','CONTRADICT') AND floor(age) > 180 AND NOT breakthrough AND NOT deviated AND round(c0 * 100) < 98 AS trial FROM t),
     m AS (SELECT *, NOT impossible AND NOT tie AND NOT trial AND a0 = 'EVOLVE' AND extremum AS ext FROM u),
-    n AS (SELECT *, CASE WHEN tie AND NOT impossible THEN 'AMBIGUOUS' WHEN trial OR ext THEN 'BRANCH' ELSE a0 END AS action FROM m),
+    n AS (SELECT *, CASE WHEN trial OR ext THEN a0 ELSE r0 END AS runner_up_action, CASE WHEN trial OR ext THEN c0 ELSE rc0 END AS runner_up, CASE WHEN tie AND NOT impossible THEN 'AMBIGUOUS' WHEN trial OR ext THEN 'BRANCH' ELSE a0 END AS action FROM m),
     gated AS (SELECT *, CASE WHEN impossible THEN 'IMPOSSIBLE_ACTION' WHEN tie THEN 'TIE' WHEN action = 'EVOLVE' AND NOT anchor THEN 'NO_CAUSAL_ANCHOR' WHEN action IN ('EVOLVE','CONTRADICT','DIALECTIC','REGULATE') AND NOT worded THEN 'MISSING_WORDING'
         WHEN round(c0, 2) < CASE action WHEN 'MERGE' THEN 0.88 WHEN 'REINFORCE' THEN 0.80 WHEN 'EVOLVE' THEN 0.93 WHEN 'BRANCH' THEN 0.75 WHEN 'CONTRADICT' THEN 0.85 WHEN 'DIALECTIC' THEN 0.88 WHEN 'REGULATE' THEN 0.82 ELSE 1 END THEN 'BELOW_THRESHOLD' END AS refused_by,
         CASE WHEN trial THEN 'TRIAL_NOT_TRAIT' WHEN ext THEN 'LOCAL_EXTREMUM' WHEN swap THEN 'IMPOSSIBLE_ACTION' END AS altered_by FROM n)"""
@@ -625,15 +625,15 @@ _GATED = """, x AS (SELECT 'd_' || event_id AS decision_id, node_id AS source_no
 
 def _gated(spark, d) -> DataFrame:
     e = F.col("event_id")
-    actions = F.array(*[F.lit(a) for a in ("MERGE", "REINFORCE", "EVOLVE", "BRANCH", "CONTRADICT", "DIALECTIC", "REGULATE")])
-    words = F.when(e % 8 > 0, "said").alias
+    actions = F.array(*[F.lit(a) for a in ("MERGE", "REINFORCE", "EVOLVE", "BRANCH", "CONTRADICT", "DIALECTIC", "REGULATE", "AMBIGUOUS")])
+    words = F.when(e % 9 > 0, "said").alias
     rows = _found(spark, d).select(
         F.concat(F.lit("d_"), "event_id").alias("decision_id"),
         F.col("node_id").alias("source_node_id"),
         F.concat("pattern_id", F.lit("_v1")).alias("target_node_id"),
         F.lit(1).alias("version"),
         F.col("occurred_at").alias("at"),
-        F.element_at(actions, (e % 7 + 1).cast("int")).alias("action"),
+        F.element_at(actions, (e % 8 + 1).cast("int")).alias("action"),
         ((e % 31 + 70).cast("decimal(10,0)") / 100).cast("decimal(10,2)").alias("confidence"),
         F.when(e % 3 > 0, "BRANCH").alias("runner_up_action"),
         F.when(e % 3 > 0, (e % 29 + 70).cast("decimal(10,0)") / 100).cast("decimal(10,2)").alias("runner_up_confidence"),
@@ -653,9 +653,9 @@ def _gated(spark, d) -> DataFrame:
     return decisions.apply_gates(rows, NOW)
 
 
-@query(_GATED + " SELECT decision_id, action, refused_by, altered_by FROM gated")
+@query(_GATED + " SELECT decision_id, action, refused_by, altered_by, runner_up_action, CAST(round(runner_up * 100) AS BIGINT) AS runner_up_percent FROM gated")
 def decision_gates(spark, d):
-    return _gated(spark, d).select("decision_id", "action", "refused_by", "altered_by")
+    return _gated(spark, d).select("decision_id", "action", "refused_by", "altered_by", "runner_up_action", (F.col("runner_up_confidence") * 100).cast("long").alias("runner_up_percent"))
 
 
 @query(_GATED + """ SELECT CASE action WHEN 'MERGE' THEN 'same_as' WHEN 'REINFORCE' THEN 'reinforces' WHEN 'EVOLVE' THEN 'evolved_from' WHEN 'BRANCH' THEN 'branches_to' WHEN 'CONTRADICT' THEN 'contradicts' WHEN 'DIALECTIC' THEN 'dialectic_with' WHEN 'REGULATE' THEN 'regulates' END AS edge_type,
@@ -848,12 +848,15 @@ def minted_ids(spark, d):
     return shaping.mint_ids(_found(spark, d), "obs", "event_date", ["episode_id"], ["occurred_at", "event_id"], F.col("user_id") % 12).select("node_id", "minted_id")
 
 
-@query("""WITH b AS (SELECT p_partkey, 'part_' || trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', '_', 'g'), '_') AS s FROM part), k AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY p_partkey) + CASE WHEN s LIKE '%1' THEN 1 ELSE 0 END AS n FROM b)
-    SELECT p_partkey, CASE WHEN n = 1 THEN s ELSE s || '_' || n END AS slug FROM k""", base=False)
+@query("""WITH b AS (SELECT p_partkey, 'part_' || trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', '_', 'g'), '_') AS s, DATE '2024-01-01' + CAST(p_partkey % 3 AS INT) AS day FROM part),
+    x AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY p_partkey) = 1 AND s NOT LIKE '%1' AS plain FROM b),
+    k AS (SELECT *, row_number() OVER (PARTITION BY s, day, plain ORDER BY p_partkey) AS n FROM x)
+    SELECT p_partkey, CASE WHEN plain THEN s ELSE s || strftime(day, '_%Y_%m_%d') || CASE WHEN n > 1 THEN '_' || n ELSE '' END END AS slug FROM k""", base=False)
 def unique_slugs(spark, d):
-    part = tables.read(spark, d, "part").select("p_partkey", "p_brand")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("p_partkey") % 3).cast("int"))
+    part = tables.read(spark, d, "part").select("p_partkey", "p_brand", day.alias("day"))
     taken = part.select(ids.slug("part_", F.col("p_brand")).alias("slug")).distinct().filter("slug like '%1'")
-    return shaping.unique_slugs(part, "part_", "p_brand", ["p_partkey"], taken).select("p_partkey", "slug")
+    return shaping.unique_slugs(part, "part_", "p_brand", "day", "p_partkey", taken).select("p_partkey", "slug")
 
 
 @query("SELECT c_custkey, n_nationkey AS nation FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_nationkey % 2 = 0 UNION ALL SELECT c_custkey, NULL FROM customer WHERE c_nationkey % 2 = 1", base=False)

@@ -1,14 +1,16 @@
 """Boundary cases of the scalar rules, the folds and the sources."""
 
+import random
+import re
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.functions import ids, scoring, temporal, text
-from palimpsest.operators import graph, ranking
+from palimpsest.operators import graph, ranking, shaping
 from palimpsest.operators.vectors import cosine
-from palimpsest.plans import report, retrieval
+from palimpsest.plans import decisions, report, retrieval
 from palimpsest.sources import chat_export, sinks
 from palimpsest.streaming import buffer, sessions
 
@@ -106,6 +108,39 @@ def test_neighbourhood_limit(spark):
     assert walk(3, 1) == ([(0, "hub")], True)
 
 
+def test_slugs_are_unique(spark):
+    """Against a plain walk in order: names that look like dated or suffixed slugs of others, and taken ones among them."""
+    rng = random.Random(8)
+    names = ["a", "a", "a 2", "A", "a 2024 01 05", "a 2024 01 05 2", "b", "--", None]
+    rows = [(i, rng.choice(names), f"2024-01-0{rng.choice([5, 5, 6])}") for i in range(80)]
+    taken = ["x_b", "x_a_2024_01_05_3", "x_a_2024_01_06"]
+    used, want = set(taken), {}
+    for i, name, day in rows:
+        base = re.sub(r"[^a-z0-9]+", "_", (name or "").lower()).strip("_")
+        if base:
+            dated, k = f"x_{base}_{day.replace('-', '_')}", 2
+            slug = f"x_{base}" if f"x_{base}" not in used else dated
+            while slug in used:
+                slug, k = f"{dated}_{k}", k + 1
+            used.add(slug)
+        want[i] = slug if base else None
+    df = spark.createDataFrame(rows, "i long, name string, day string").withColumn("day", F.col("day").cast("date"))
+    got = {r.i: r.slug for r in shaping.unique_slugs(df, "x_", "name", "day", "i", spark.createDataFrame([(t,) for t in taken], "slug string")).collect()}
+    assert got == want
+
+
+def test_gates_keep_what_was_claimed(spark):
+    """AMBIGUOUS is possible between any records; a change recorded apart has the claimed action for its runner-up."""
+    base = {"source_type": "ObservationNode", "standing": True, "target_from": datetime(2020, 1, 1), "breakthrough": False, "deviated": False, "local_extremum": False, "has_anchor": True, "delta_description": "d", "contradiction_summary": "c", "tension_summary": "t", "regulation_summary": "r"}
+    cases = [("AMBIGUOUS", 1.0, None, None, None), ("AMBIGUOUS", 0.9, None, None, None), ("EVOLVE", 0.95, "BRANCH", 0.7, "BeliefNode"), ("CONTRADICT", 0.99, "BRANCH", 0.7, "BeliefNode")]
+    rows = [base | {"action": a, "confidence": c, "runner_up_action": r, "runner_up_confidence": rc, "target_type": t, "n": n} for n, (a, c, r, rc, t) in enumerate(cases)]
+    schema = "n int, action string, confidence double, runner_up_action string, runner_up_confidence double, target_type string, source_type string, standing boolean, target_from timestamp, breakthrough boolean, deviated boolean, local_extremum boolean, has_anchor boolean, delta_description string, contradiction_summary string, tension_summary string, regulation_summary string"
+    names = [x.split()[0] for x in schema.split(", ")]
+    df = spark.createDataFrame([tuple(r[k] for k in names) for r in rows], schema)
+    got = [(r.action, r.refused_by, r.altered_by, r.runner_up_action, r.runner_up_confidence) for r in decisions.apply_gates(df, "2026-01-01").orderBy("n").collect()]
+    assert got == [("AMBIGUOUS", None, None, None, None), ("AMBIGUOUS", "BELOW_THRESHOLD", None, None, None), ("BRANCH", None, "TRIAL_NOT_TRAIT", "EVOLVE", 0.95), ("CONTRADICT", None, None, "BRANCH", 0.7)]
+
+
 def test_merge_and_boost(spark):
     found = spark.createDataFrame([("a", "SEMANTIC", 0.9, False), ("a", "STRUCTURAL", 0.6, False), ("b", "CONTINUITY", 0.5, True)], "node_id string, found_by string, rank_score double, boosted boolean")
     held = spark.createDataFrame([("a",), ("b",)], "node_id string")
