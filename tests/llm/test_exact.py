@@ -33,3 +33,8 @@ def test_equals_brute_force(spark):
 
 def test_collisions_are_told_apart(spark):
     assert run(spark, ROWS, key=lambda text: F.substring(F.md5(text), 1, 0)) == brute(ROWS)
+
+
+def test_many_groups_meet_by_a_shuffle(spark):
+    assert run(spark, ROWS, sent_groups=0) == brute(ROWS)
+    assert run(spark, ROWS, sent_groups=0, key=lambda text: F.substring(F.md5(text), 1, 0)) == brute(ROWS)
