@@ -26,10 +26,12 @@ def fill_partitions(df: DataFrame) -> DataFrame:
 
 
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes]:
-    """UTF-8 bytes of each text of an Arrow column; null gives no bytes."""
+    """UTF-8 bytes of each text of an Arrow column, a few of them in memory at once; null gives no bytes."""
     for chunk in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
-        for x in chunk.cast(pa.large_binary() if pa.types.is_large_string(chunk.type) else pa.binary()).to_pylist():
-            yield x or b""
+        kind = pa.large_binary() if pa.types.is_large_string(chunk.type) else pa.binary()
+        for at in range(0, len(chunk), 256):
+            for x in chunk.slice(at, 256).cast(kind).to_pylist():
+                yield x or b""
 
 
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -17,10 +17,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from palimpsest.llm.common import as_bytes, cut, fill_partitions, id_and_text
+from palimpsest.llm.common import as_bytes, fill_partitions, id_and_text
+from palimpsest.sources.scratch import cut
 
 #: Distinct words of a generation that a worker remembers the ids of; it keeps two generations.
-_REMEMBERED = 350_000
+_REMEMBERED = 300_000
 #: Any other character sends a text to the tokenizer as a whole: white space and normal forms need its own rules.
 _OTHER = re.compile(r"[^\x20-\x7E\n\t\rÀ-ÖØ-öø-ÿ]").search
 #: Rows that one window of equal lengths may hold.
@@ -94,10 +95,9 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
         end = np.array([end_id], "<u4").tobytes()
         step = 4 * capacity
         for batch in batches:
-            texts = [x.decode("utf-8", "replace") for x in as_bytes(batch.column(1))]
             row, piece, start, length, out = [], [], [], [], []
-            for i, text in enumerate(texts):
-                ids = encoder.encode(text) + end
+            for i, text in enumerate(as_bytes(batch.column(1))):
+                ids = encoder.encode(text.decode("utf-8", "replace")) + end
                 for k, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
                     row.append(i)
