@@ -5,14 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.sources.scratch import cut
 
-#: Java form of the white space that the contracts name.
-SPACE_RUN = r"[\x20\x09-\x0D]+"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table of a data directory."""
@@ -63,12 +60,35 @@ def label_sample(docs: DataFrame, labels: DataFrame, label: str, at_most: int) -
     return docs.join(F.broadcast(few), "doc_id").select("label", "text")
 
 
-#: Ids that may be sent to every executor (16 MB as plain numbers); more of them are joined by a shuffle.
-SENT_IDS = 1_000_000
+#: Row keys that may be sent to every executor (about 20 MB as rows); more of them are joined by a shuffle.
+SENT_ROWS = 200_000
+
+
+def row_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """What tells rows apart: the id and the hash of the text. It is never null and sorts like the id, a null one last."""
+    return F.struct(docs[id_col].isNull().alias("no_id"), docs[id_col].alias("id"), F.coalesce(F.md5(docs[text_col].cast("binary")), F.lit("")).alias("md5"))
+
+
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text): the rows with their key for an id."""
+    return docs.select(row_key(docs, id_col, text_col).alias("doc_id"), docs[text_col].alias("text"))
 
 
-def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of docs whose id is not in `dropped` (one column of that name). A null id is never dropped."""
-    dropped = cut(dropped.select(id_col).distinct())
-    few = dropped.count() <= SENT_IDS
-    return docs.join(F.broadcast(dropped) if few else dropped, id_col, "left_anti").select(docs.columns)
+def _matched(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    keys = F.broadcast(keys) if keys.count() <= SENT_ROWS else keys
+    return docs.join(keys, row_key(docs) == keys["doc_id"], how)
+
+
+def keep_rows(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of docs (doc_id, text and any others) that `found` keeps, one of each key.
+
+    found has a row (doc_id: the key that keyed() gives, kept) for each row of
+    docs. What goes is a row, not an id: other rows of the same id stay, and a null
+    id is an id like any other. Of rows of one id and text one stays.
+    """
+    found = cut(found.select("doc_id", "kept"))
+    left = _matched(docs, cut(found.filter("not kept").select("doc_id").distinct()), "left_anti")
+    again = cut(found.filter("kept").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    if again.isEmpty():
+        return left
+    return _matched(left, again, "left_anti").unionByName(_matched(left, again, "left_semi").dropDuplicates(["doc_id", "text"]))

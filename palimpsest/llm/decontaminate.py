@@ -8,10 +8,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import as_bytes, fill_partitions, id_and_text
+from palimpsest.sources.scratch import cut
 
 #: A-Z to a-z; digits, letters and bytes above 0x7F stay; all else separates words.
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -166,6 +167,20 @@ def _search(docs: DataFrame, index: _Windows, item_type: str, doc_type: str) ->
     return docs.mapInArrow(run, f"doc_id {doc_type}, text string, n_words long, spans array<struct<start:long,end:long>>, items array<{item_type}>")
 
 
+def _indexes(docs: DataFrame, items: DataFrame, window: int, shingle: int, block_bytes: int) -> Iterator[_Windows]:
+    """Items (item, text) in blocks: their windows, with the rarest shingle of each over all documents (text)."""
+    items = cut(items.distinct())
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_blocks = max(1, math.ceil(size / block_bytes))
+    for block in range(n_blocks):
+        part = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == block) if n_blocks > 1 else items
+        rows = part.toArrow()
+        index = _Windows(list(zip(rows["item"].to_pylist(), as_bytes(rows["text"]), strict=True)), window, shingle)
+        if index.groups:
+            index.choose(_count(docs, index))
+        yield index
+
+
 def decontaminate(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -186,27 +201,46 @@ def decontaminate(
     shingle's place in the window bounds where the window can start and end, and
     the words themselves are then compared.
 
-    Items are sent to the executors in blocks of about `block_bytes` of text,
-    however large the benchmark is; each block is one more pass over a document
-    inside the same job, so nothing of unbounded size is broadcast, and documents
-    are never shuffled.
+    Items, each once, are sent to the executors in blocks of about `block_bytes` of
+    text, however large the benchmark is; each block is one more pass over a
+    document inside the same job, so nothing of unbounded size is broadcast or in
+    the driver at once, and documents are never shuffled.
 
     A null or empty document has no words and no hit; a null or empty item has no
     window; an item id may repeat or be null (null is reported as an item). An
     empty table on either side gives rows without hits, or no rows. Repeated
-    documents get a row each; other columns are not read.
+    documents get a row each; other columns are not read. Texts of any length are
+    read whole.
     """
     docs = fill_partitions(id_and_text(docs, id_col, text_col))
     items = benchmark.select(F.col(f"`{item_col}`").alias("item"), F.col(f"`{item_text_col}`").alias("text"))
     doc_type, item_type = dict(docs.dtypes)["doc_id"], dict(items.dtypes)["item"]
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = max(1, math.ceil(size / block_bytes))
     found = docs.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<start:long,end:long>>)").alias("spans"), F.expr(f"cast(array() as array<{item_type}>)").alias("items"))
-    for block in range(n_blocks):
-        part = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == block) if n_blocks > 1 else items
-        rows = part.toArrow()
-        index = _Windows(list(zip(rows["item"].to_pylist(), as_bytes(rows["text"]), strict=True)), window, shingle)
-        if index.groups:
-            index.choose(_count(docs, index))
+    for index in _indexes(docs, items, window, shingle, block_bytes):
         found = _search(found, index, item_type, doc_type)
     return found.drop("text")
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, shingle: int = 3, block_bytes: int = 16 << 20) -> DataFrame:
+    """The rows of docs, with all their columns, in whose text no window of an item stands; see decontaminate().
+
+    A row is judged by its text alone, so repeated rows and rows without an id are
+    judged like any other. Null and empty texts stay; an empty benchmark leaves all
+    rows. Only the text passes through Python, where the rows lie.
+    """
+    texts = docs.select(F.col(f"`{text_col}`").alias("text"))
+    items = benchmark.select(F.col(f"`{item_col}`").alias("item"), F.col(f"`{item_text_col}`").alias("text"))
+    for index in _indexes(texts, items, window, shingle, block_bytes):
+        docs = docs.filter(~_holds(docs.sparkSession, index)(F.col(f"`{text_col}`")))
+    return docs
+
+
+def _holds(spark: SparkSession, index: _Windows):
+    shared = spark.sparkContext.broadcast(index)
+
+    @F.arrow_udf("boolean")
+    def holds(text: pa.Array) -> pa.Array:
+        ix = shared.value
+        return pa.array([next(_matches(ix, _encode(ix, x)), None) is not None for x in as_bytes(text)], pa.bool_())
+
+    return holds

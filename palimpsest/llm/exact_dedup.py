@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import id_and_text
+from palimpsest.llm.common import id_and_text, keep_rows, keyed
 from palimpsest.sources.scratch import cut
 
 #: Runs of ASCII white space that are not one space already; a single space needs no change.
@@ -44,12 +44,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     a null keep_id and keeps nothing. An empty table gives an empty result; other
     columns are not read.
     """
-    texts = id_and_text(docs, id_col, text_col).select("doc_id", normalised(F.col("text")).alias("body"))
-    rows = cut(texts.select("doc_id", key(F.col("body")).alias("h"), F.unhex(F.sha2("body", 256)).alias("sha")))
+    texts = id_and_text(docs, id_col, text_col)
+    body = normalised(F.col("text")).alias("body")
+    rows = cut(texts.select("doc_id", body).select("doc_id", key(F.col("body")).alias("h"), F.unhex(F.sha2("body", 256)).alias("sha")))
     several = cut(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.xxhash64("h").alias("mark")).distinct())
     several = F.broadcast(several) if several.count() <= sent_groups else several
     # Equal marks only bring more texts than needed: what is grouped below is the bytes.
-    compared = texts.select("doc_id", "body", key(F.col("body")).alias("h")).join(several, F.xxhash64("h") == F.col("mark"), "left_semi")
+    found = texts.join(several, F.xxhash64(key(normalised(texts["text"]))) == several["mark"], "left_semi")
+    compared = found.select("doc_id", body).select("doc_id", "body", key(F.col("body")).alias("h"))
     groups = (
         compared.groupBy("h", "body")
         .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
@@ -65,3 +67,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.coalesce(F.col("doc_id") == keep, F.lit(False)).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """Of rows (doc_id, text and any others) of equal texts the one with the smallest id, with all its columns.
+
+    Exactly one row of each text stays: of rows that share the smallest id one of
+    those of the smallest hash of their bytes, where no row has an id too. Null and
+    empty texts are equal. Another text under the id of a copy stays. An empty
+    table gives an empty result; clashing column names don't matter.
+    """
+    return keep_rows(docs, exact_dedup(keyed(docs)))

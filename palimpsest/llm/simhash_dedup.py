@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from itertools import combinations
-from math import acos, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import SENT_IDS, as_bytes, cut, fill_partitions, id_and_text
+from palimpsest.llm.common import SENT_ROWS, as_bytes, fill_partitions, id_and_text, keep_rows, keyed
 from palimpsest.operators.components import connected_components
+from palimpsest.sources.scratch import cut
 
 #: Bits of one word of a fingerprint.
 BITS = 64
@@ -23,10 +23,11 @@ _BLOCK = 1 << 15
 _PICKED = 4
 #: Buckets that may be sent to every executor; more of them are joined by a shuffle.
 _SENT = 200_000
-#: Samples of a wide fingerprint's bits, and bits of each, by which documents meet for an exact check.
-_SAMPLES, _SAMPLED = 160, 20
-#: Standard deviations beyond the expected distance at which pairs that met aren't worth an exact check.
-_SPREAD = 5
+#: Segments of a min-wise fingerprint, and min-hashes in each: of pairs of similarity 0.8 all but 1 in 440 share one.
+_BANDS, _ROWS = 20, 6
+#: Rows of a bucket that one task compares at once.
+_DEALT = 4096
+_MIX = np.random.default_rng(42).integers(1, 1 << 63, _BANDS * _ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _more(h: np.ndarray, word: int) -> np.ndarray:
@@ -174,65 +175,36 @@ def _set_node(hashes: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes())).view(np.int64))
 
 
-def set_prints(docs: DataFrame, shingle: int, words: int) -> DataFrame:
-    """(doc_id, node, f0, f1, ...) of docs (doc_id, text): a number for the set of shingles, and the SimHash of that set, in which repeats don't count."""
-    names = ["doc_id", "node", *_names(words)]
+def min_hashes(hashes: np.ndarray) -> np.ndarray:
+    """The least of all hashes under each of a row of mixings. Two sets agree in one of them as often as their Jaccard similarity says."""
+    mixed, out = hashes ^ (hashes >> np.uint64(32)), np.full(len(_MIX), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(mixed), 2048):
+        np.minimum(out, (mixed[at : at + 2048, None] * _MIX).min(axis=0), out=out)
+    return out
+
+
+def set_prints(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, node, segments) of docs (doc_id, text): a number for the set of shingles, and the segments of its min-wise fingerprint; none for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, prints = [], []
+            nodes, segments = [], []
             for x in as_bytes(batch.column(1)):
                 h = shingle_set(x, shingle)
                 nodes.append(_set_node(h))
-                prints.append(_signs((h[i : i + _BLOCK] for i in range(0, len(h), _BLOCK)), words))
-            found = np.array(prints, np.uint64).reshape(-1, words).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), *(pa.array(np.ascontiguousarray(found[:, w])) for w in range(words))], names)
+                parts = min_hashes(h).reshape(_BANDS, _ROWS) if len(h) else ()
+                segments.append(np.array([xxhash.xxh64_intdigest(p.tobytes(), k) for k, p in enumerate(parts)], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(segments, pa.list_(pa.int64()))], ["doc_id", "node", "segments"])
 
     texts = fill_partitions(docs)
-    return texts.mapInArrow(run, f"doc_id {dict(texts.dtypes)['doc_id']}, " + ", ".join(f"{n} long" for n in names[1:]))
-
+    return texts.mapInArrow(run, f"doc_id {dict(texts.dtypes)['doc_id']}, node long, segments array<long>")
 
-def _samples(words: int) -> np.ndarray:
-    """Which bits each sample reads: a fixed shuffle of all bits again and again, so that samples share few."""
-    rng, size = np.random.default_rng(42), _SAMPLES * _SAMPLED
-    return np.concatenate([rng.permutation(words * BITS) for _ in range(-(-size // (words * BITS)))])[:size].reshape(_SAMPLES, _SAMPLED)
 
-
-def _buckets(nodes: DataFrame, words: int) -> DataFrame:
-    """The rows of nodes (node, f0, f1, ...) with `bucket`, once for each sample of bits."""
-    names, samples = _names(words), _samples(words)
-    powers, rest = 1 << np.arange(_SAMPLED, dtype=np.int64), [c for c in nodes.columns if c not in _names(words)[2:]]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2048):
-                batch = whole.slice(at, 2048)
-                prints = np.stack([batch.column(n).to_numpy() for n in names], axis=1)
-                bits = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8), axis=1, bitorder="little")
-                keys = np.stack([(k << _SAMPLED) + bits[:, picked] @ powers for k, picked in enumerate(samples)], axis=1)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, _SAMPLES, dtype=np.int32)), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), lists], [*rest, "buckets"])
-
-    found = nodes.mapInArrow(run, ", ".join(f"{c} long" for c in rest) + ", buckets array<long>")
-    return found.select(*rest, F.explode("buckets").alias("bucket"))
-
-
-def _furthest(bits: int, similarity: float) -> int:
-    """A distance that sets of a similarity exceed by chance once in some millions. Sets of one size are the furthest apart."""
-    p = acos(2 * similarity / (1 + similarity)) / pi
-    return round(bits * p + _SPREAD * sqrt(bits * p * (1 - p)))
-
-
-def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (src, dst) of nodes whose sets of shingles have the similarity or more, compared shingle by shingle."""
-    names, most = _names(words), _furthest(words * BITS, similarity)
-    sides = [nodes.select(F.col("node").alias(end), F.struct(*names).alias(f"{end}_print")) for end in ("src", "dst")]
-    close = pairs.distinct().join(sides[0], "src").join(sides[1], "dst").filter(_distance(F.col("src_print"), F.col("dst_print"), names) <= most)
-    close = cut(close.select("src", "dst"))
-    needed = close.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+def _sets_of(needed: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """(node, shingles): the sets of some nodes, from the text of one document each."""
     needed = cut(nodes.join(needed, "node", "left_semi").select("node", "low_id"))
     ids = needed.select("low_id").distinct()
-    ids = F.broadcast(ids) if needed.count() <= SENT_IDS else ids
+    ids = F.broadcast(ids) if needed.count() <= SENT_ROWS else ids
     texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["low_id"]), "left_semi").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,47 +215,117 @@ def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, sh
                 yield pa.RecordBatch.from_arrays([pa.array(map(_set_node, sets), pa.int64()), arrays], ["node", "shingles"])
 
     sets = texts.mapInArrow(run, "node long, shingles array<long>").join(needed.select("node"), "node", "left_semi")
-    sets = cut(sets.groupBy("node").agg(F.first("shingles").alias("shingles")))
-    a, b = (sets.select(F.col("node").alias(end), F.col("shingles").alias(x)) for end, x in (("src", "a"), ("dst", "b")))
-    both, of = F.size(F.array_intersect("a", "b")), F.size("a") + F.size("b")
-    hundredths = round(100 * similarity)
-    return cut(close.join(a, "src").join(b, "dst").filter(100 * both >= hundredths * (of - both)).select("src", "dst"))
-
-
-def linked_sets(nodes: DataFrame, docs: DataFrame, words: int, shingle: int, similarity: float) -> DataFrame:
-    """(node, component) of distinct sets of shingles (nodes: node, low_id, f0, f1, ...); component is the smallest node reachable.
+    return cut(sets.groupBy("node").agg(F.first("shingles").alias("shingles")))
+
+
+def _group_links(nodes: np.ndarray, labels: np.ndarray, sizes: np.ndarray, flat: np.ndarray, hundredths: int) -> list[tuple[int, int]]:
+    """Links of a group (its sets one after another in flat) that put its labels together, exact: each row is counted against all others by its shingles, until one label is left."""
+    label = np.unique(labels, return_inverse=True)[1]
+    left, out = label.max(initial=0), []
+    if not left:
+        return out
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.argsort(flat, kind="stable")
+    shingle, owner = flat[order], owner[order]
+    first = np.flatnonzero(np.concatenate(([True], shingle[1:] != shingle[:-1])))
+    count = np.diff(np.append(first, len(shingle)))
+    run = np.empty(len(flat), np.int64)
+    run[order] = np.repeat(np.arange(len(first)), count)
+    ends = np.cumsum(sizes)
+    for i, end in enumerate(ends.tolist()):
+        mine = run[end - sizes[i] : end]
+        n = count[mine]
+        at = np.repeat(first[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        both = np.bincount(owner[at], minlength=len(sizes))
+        close = (100 * both >= hundredths * (sizes[i] + sizes - both)) & (label != label[i])
+        for other in np.unique(label[close]).tolist():
+            j = int(np.flatnonzero(close & (label == other))[0])
+            out.append((max(int(nodes[i]), int(nodes[j])), min(int(nodes[i]), int(nodes[j]))))
+            left -= 1
+        label[np.isin(label, label[close])] = label[i]
+        if not left:
+            break
+    return out
+
+
+def _linked_in(rows: DataFrame, hundredths: int) -> DataFrame:
+    """(src, dst): links between rows of a group (bucket, part, node, label, shingles); no more than it has labels, less one."""
+
+    def groups(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        key = [table[c].to_numpy() for c in ("bucket", "part")]
+        edge = np.flatnonzero(np.concatenate(([True], (key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1]), [True])))
+        nodes, labels = table["node"].to_numpy(), table["label"].to_numpy()
+        lists = table["shingles"].combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        src, dst = [], []
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            for x, y in _group_links(nodes[a:b], labels[a:b], np.diff(offsets[a : b + 1]).astype(np.int64), flat[offsets[a] : offsets[b]], hundredths):
+                src.append(x)
+                dst.append(y)
+        yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
 
-    Sets meet in a bucket where all bits of a sample are equal. First each is held
-    against the smallest and the largest of its bucket; the components of the links
-    that an exact comparison confirms label the sets. Then, in buckets of more
-    members, those with different labels are compared among each other.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            rest = (table if rest is None else pa.concat_tables([rest, table])).combine_chunks()
+            key = [rest[c].to_numpy() for c in ("bucket", "part")]
+            last = int(np.flatnonzero((key[0] == key[0][-1]) & (key[1] == key[1][-1]))[0]) if len(rest) else 0
+            if last:  # the last group may go on in the next batch
+                yield from groups(rest.slice(0, last).combine_chunks())
+                rest = rest.slice(last)
+        if rest is not None and len(rest):
+            yield from groups(rest.combine_chunks())
+
+    dealt = rows.select("bucket", "part", "node", "label", "shingles").repartition("bucket", "part").sortWithinPartitions("bucket", "part", "node")
+    return dealt.mapInArrow(run, "src long, dst long")
+
+
+def _blocks(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of hot buckets whose labels differ, with `part`: once for each other part of the bucket, so that any two parts meet."""
+    named = members.join(labels, "node")
+    mixed = named.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("bucket")
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    both = named.join(mixed, "bucket", "left_semi").withColumn("other", other)
+    return both.withColumn("part", (F.least("part", "other").cast("long") * F.col("parts") + F.greatest("part", "other")).cast("long"))
+
+
+def linked_sets(nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(node, component) of distinct sets of shingles (nodes: node, low_id, segments); component is the smallest node reachable.
+
+    Sets meet in a bucket where a segment is equal. A bucket of two is a pair; such
+    pairs, each once, are joined with their sets and compared. Buckets of more that
+    hold the same sets are one, and a task compares their sets, exactly, and gives
+    out no more links than it takes to put them together, so the rows grow with the
+    members and not with their pairs. A hot bucket is dealt to several tasks, each
+    with the smallest set of all beside its own; if its labels still differ after
+    that, its parts are compared two by two.
     """
-    prints = nodes.select("node", *_names(words))
-    two, most = _names(2), _furthest(2 * BITS, similarity)
-    me, all_of = {n: F.col(n) for n in two}, Window.partitionBy("bucket")
-    one = F.struct("node", *two)
-    met = _buckets(prints, words).select("*", F.count(F.lit(1)).over(all_of).alias("members"), F.min(one).over(all_of).alias("low"), F.max(one).over(all_of).alias("high"))
-    near = F.filter(F.array("low", "high"), lambda x: (x["node"] != F.col("node")) & (_distance(x, me, two) <= most))
-    met = met.filter("members > 1").select("node", F.transform(near, lambda x: x["node"]).alias("ends"), F.when((F.col("members") > 2) & (F.col("node") == F.col("low.node")), F.col("bucket")).alias("dense"))
-    met = cut(met.filter(F.col("dense").isNotNull() | (F.size("ends") > 0)))
-    pairs = met.select("node", F.explode("ends").alias("end")).select(F.greatest("node", "end").alias("src"), F.least("node", "end").alias("dst"))
-    first = connected_components(_similar(pairs, nodes, docs, words, shingle, similarity))
-    named = cut(prints.join(first, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component"))
-
-    dense = met.filter("dense is not null").select(F.col("dense").alias("bucket"))
-    dense = F.broadcast(dense) if dense.count() <= _SENT else dense
-    t = _buckets(named, words).join(dense, "bucket", "left_semi")
-    mixed = t.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("bucket")
-    t = cut(t.join(mixed, "bucket", "left_semi"))
-    x, y = t.alias("x"), t.alias("y")
-    apart = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") != F.col("y.label")) & (F.col("x.node") > F.col("y.node"))
-    close = _distance({n: F.col(f"x.{n}") for n in two}, {n: F.col(f"y.{n}") for n in two}, two) <= most
-    pairs = x.join(y, apart & close).select(F.col("x.node").alias("src"), F.col("y.node").alias("dst"))
-    links = _similar(pairs, nodes, docs, words, shingle, similarity)
-    labels = [named.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label")) for end in ("src", "dst")]
-    links = links.join(labels[0], "src").join(labels[1], "dst").select(F.col("src_label").alias("src"), F.col("dst_label").alias("dst"))
-    merged = connected_components(links).withColumnRenamed("node", "label")
-    return named.join(merged, "label", "left").select("node", F.coalesce("component", "label").alias("component"))
+    hundredths = round(100 * similarity)
+    met = nodes.select("node", F.explode("segments").alias("bucket"))
+    groups = cut(met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.max("node").alias("high"), F.bit_xor(F.xxhash64("node")).alias("same")).filter("n > 1"))
+    pairs = cut(groups.filter("n = 2").select(F.col("high").alias("src"), F.col("low").alias("dst")).distinct())
+    dense = cut(groups.filter("n > 2").groupBy("n", "low", "high", "same").agg(F.min("bucket").alias("bucket")).select("bucket", "low", F.ceil(F.col("n") / _DEALT).cast("int").alias("parts")))
+    few = dense.count() <= _SENT
+    members = met.join(F.broadcast(dense) if few else dense, "bucket").withColumn("part", F.pmod(F.xxhash64("node", F.lit(5)), F.col("parts")).cast("int"))
+    members = cut(members.select("bucket", "parts", "part", "node"))
+    sets = _sets_of(pairs.select(F.explode(F.array("src", "dst")).alias("node")).union(members.select("node")).distinct(), nodes, docs, shingle)
+
+    a, b = (sets.select(F.col("node").alias(end), F.col("shingles").alias(x)) for end, x in (("src", "a"), ("dst", "b")))
+    both, of = F.size(F.array_intersect("a", "b")), F.size("a") + F.size("b")
+    links = cut(pairs.join(a, "src").join(b, "dst").filter(100 * both >= hundredths * (of - both)).select("src", "dst"))
+    least = dense.filter("parts > 1").select("bucket", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("low").alias("node"))
+    every = members.unionByName(least).distinct().withColumn("label", F.col("node"))
+    links = cut(links.union(_linked_in(every.join(sets, "node"), hundredths)))
+    found = cut(connected_components(links))
+    hot = members.filter("parts > 1")
+    if not hot.isEmpty():
+        label = F.coalesce("component", "node").alias("label")
+        labels = hot.select("node").distinct().join(found, "node", "left").select("node", label)
+        more = _linked_in(_blocks(hot, labels).join(sets, "node"), hundredths)
+        found = cut(connected_components(links.union(more)))
+    return nodes.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_distance: int = 4, words: int = 1, similarity: float | None = None) -> DataFrame:
@@ -298,25 +340,27 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     larger distances, each word has three segments and a link is found where one
     of them differs by one bit at most; that is likely, not certain.
 
-    With `similarity` (in whole hundredths) two rows link when the Jaccard similarity
-    of their sets of shingles is that or more, and max_distance isn't read. The
-    fingerprints, of the sets, only say which rows to compare, so no other rows
-    link; that two rows meet is nearly, not quite, certain, given words enough.
+    With `similarity` (in whole hundredths, for 0.8 or more) two rows link when the
+    Jaccard similarity of their sets of shingles is that or more, compared exactly;
+    words and max_distance aren't read and no fingerprint is returned. A SimHash
+    can't tell 0.8 from chance in few bits, so the fingerprint whose segments say
+    which rows to compare is one of min-hashes: no other rows link, and of pairs of
+    0.8 all but about 1 in 440 meet, of closer ones all but next to none.
 
     A null or empty text, or one of white space only, has fingerprint zero and
     links like any other. A text of fewer words than a shingle is one shingle.
     Repeated rows get the same answer each. A null id never wins; a component
-    without any id has a null component_id. An empty table gives an empty result;
-    other columns are not read.
+    without any id has a null component_id. Texts of any length are read whole, in
+    blocks. An empty table gives an empty result; other columns are not read.
     """
     names = _names(words)
     if similarity is not None:
         texts = id_and_text(docs, id_col, text_col)
-        prints = cut(set_prints(texts, shingle, words))
-        nodes = cut(prints.groupBy("node").agg(F.min("doc_id").alias("low_id"), *[F.first(n).alias(n) for n in names]))
-        found = nodes.join(linked_sets(nodes, texts, words, shingle, similarity), "node")
+        prints = cut(set_prints(texts, shingle))
+        nodes = cut(prints.groupBy("node").agg(F.min("doc_id").alias("low_id"), F.first("segments").alias("segments")))
+        found = nodes.select("node", "low_id").join(linked_sets(nodes, texts, shingle, similarity), "node")
         ids = found.groupBy("component").agg(F.min("low_id").alias("component_id"))
-        return prints.join(found.join(ids, "component").select("node", "component_id"), "node").select("doc_id", *names, "component_id")
+        return prints.select("doc_id", "node").join(found.join(ids, "component").select("node", "component_id"), "node").select("doc_id", "component_id")
     prints = cut(fingerprints(docs, id_col, text_col, shingle, words))
     nodes = cut(prints.groupBy(*names).agg(F.min("doc_id").alias("low_id")))
     found = nodes.withColumn("node", _node(names)).join(linked(nodes.select(*names), words, max_distance), "node")
@@ -325,6 +369,19 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return prints.join(by_print, names).select("doc_id", *names, "component_id")
 
 
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """Of each group of near copies the row (doc_id, text and any others) with the smallest id, with all its columns.
+
+    Groups are those of simhash_dedup() with the same options. Exactly one row of
+    each stays: of rows that share the smallest id one of those of the smallest
+    hash of their bytes, where no row has an id too. Texts without words are one
+    group. Another text under the id of a copy stays. An empty table gives an empty
+    result; clashing column names don't matter.
+    """
+    found = simhash_dedup(keyed(docs), **options)
+    return keep_rows(docs, found.select("doc_id", (F.col("doc_id") == F.col("component_id")).alias("kept")))
+
+
 def hex16(fp):
     """16 lowercase hex digits of a 64-bit column."""
     return F.lpad(F.lower(F.hex(fp)), 16, "0")

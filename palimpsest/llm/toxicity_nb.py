@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import as_bytes, cut, fill_partitions, held_out, id_and_text, label_sample
+from palimpsest.llm.common import as_bytes, fill_partitions, held_out, id_and_text, label_sample
+from palimpsest.sources.scratch import cut
 
 BITS = 20
 SIZES = (4, 5, 6, 7, 8)
