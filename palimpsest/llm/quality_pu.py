@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import as_bytes, by_hash, fill_partitions, held_out, id_and_text, label_sample
+from palimpsest.sources.scratch import cut
 
 _UPPER = bytes(range(65, 91))
 _LETTERS = bytes(range(97, 123)) + _UPPER + bytes(range(128, 256))
@@ -20,6 +21,9 @@ _SPACES = b" \t\n\r\x0b\x0c"
 _MARKS = b".,;:?'\"-()"
 _SYMBOLS = b"#$%&*@^~|<>{}[]\\/=+_`"
 _PARTS = 32
+#: Strings of so many characters, in so many buckets (a power of 2), are the lexical feature.
+GRAM, GRAM_BITS = 4, 16
+_BLOCK = 1 << 20
 
 
 def _without(text: bytes, drop: bytes) -> int:
@@ -67,13 +71,32 @@ def features(text: bytes) -> list[float]:
     ]
 
 
+def gram_buckets(text: bytes) -> np.ndarray:
+    """Buckets of a text's strings of GRAM characters (A-Z lower-cased), one for each place; texts of any length, block by block."""
+    out = []
+    low = text.lower()
+    for at in range(0, max(1, len(low) - GRAM + 1), _BLOCK):
+        a = np.frombuffer(low[at : at + _BLOCK + GRAM - 1], np.uint8).astype(np.uint32)
+        h = np.zeros(max(0, len(a) - GRAM + 1), np.uint32)
+        for j in range(GRAM if len(h) else 0):
+            h = h * np.uint32(0x01000193) + a[j : j + len(h)]
+        out.append((h * np.uint32(0x9E3779B1)) >> np.uint32(32 - GRAM_BITS))
+    return np.concatenate(out)
+
+
 @dataclass
 class Model:
-    """A linear score over the bins that a text's features fall into."""
+    """A linear score over the bins that a text's features fall into; the last of them is how much its strings read like the positives'."""
 
     edges: np.ndarray  # features x (bins - 1)
     weights: np.ndarray  # features x bins
     bias: float
+    grams: np.ndarray = field(default_factory=lambda: np.zeros(1 << GRAM_BITS, np.float32))  # log ratio of each bucket
+
+    def lexical(self, text: bytes) -> float:
+        """The mean log ratio of a text's strings; 0 without any."""
+        at = gram_buckets(text)
+        return float(self.grams[at].mean()) if len(at) else 0.0
 
     def rows(self, x: np.ndarray) -> np.ndarray:
         """Bin of each feature: one number from 0 to bins - 1."""
@@ -84,70 +107,151 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def risk(theta: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """The two parts of the unbiased risk with the logistic loss, and their gradients.
+
+    p and u have the places of each row's weights in theta, whose last is the bias.
+    The first part is prior * E_P[l(+)], the second E_U[l(-)] - prior * E_P[l(-)].
+    """
+
+    def spread(places: np.ndarray, g: np.ndarray) -> np.ndarray:
+        return np.append(np.bincount(places.ravel(), np.repeat(g, places.shape[1]), minlength=len(theta) - 1), g.sum())
+
+    zp, zu = theta[:-1][p].sum(axis=1) + theta[-1], theta[:-1][u].sum(axis=1) + theta[-1]
+    first = prior * np.logaddexp(0, -zp).mean()
+    rest = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    plus = spread(p, -prior * (1 - _sigmoid(zp)) / len(zp))
+    minus = spread(u, _sigmoid(zu) / len(zu)) - spread(p, prior * _sigmoid(zp) / len(zp))
+    return first, rest, plus, minus
+
+
+def _minimise(gradient, theta: np.ndarray, steps: int, rate: float) -> np.ndarray:
+    m, v = np.zeros(len(theta)), np.zeros(len(theta))
+    for t in range(1, steps + 1):
+        g = gradient(theta)
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        theta = theta - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return theta
+
+
+def _binned(positive: np.ndarray, unlabelled: np.ndarray, bins: int) -> tuple[Model, np.ndarray, np.ndarray]:
+    """An empty model with its bins, and the places of the weights of either sample."""
+    every = np.concatenate([positive, unlabelled])
+    edges = np.quantile(every, np.linspace(0, 1, bins + 1)[1:-1], axis=0).T
+    model = Model(edges, np.zeros((every.shape[1], bins)), 0.0)
+    columns = np.arange(every.shape[1]) * bins
+    return model, model.rows(positive) + columns, model.rows(unlabelled) + columns
+
+
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, bins: int = 16, steps: int = 300, rate: float = 0.1, l2: float = 0.03, delta: float = 0.1) -> float:
+    """The share of positives among the unlabelled, from the two samples alone.
+
+    A classifier tells the samples apart on one half of each, and scores the other
+    half; then the other way round. Above any score the unlabelled share is at
+    least the prior times the positives' share; where their ratio, with a bound for
+    the sizes of the samples, is least, there are next to no negatives, and it is
+    the prior.
+    """
+    scores = [np.zeros(len(positive)), np.zeros(len(unlabelled))]
+    for k in (0, 1):
+        model, p, u = _binned(positive[k::2], unlabelled[k::2], bins)
+
+        def gradient(theta: np.ndarray, p=p, u=u) -> np.ndarray:
+            zp, zu = theta[:-1][p].sum(axis=1) + theta[-1], theta[:-1][u].sum(axis=1) + theta[-1]
+            gp, gu = -(1 - _sigmoid(zp)) / len(zp), _sigmoid(zu) / len(zu)
+            g = np.bincount(p.ravel(), np.repeat(gp, p.shape[1]), minlength=len(theta) - 1) + np.bincount(u.ravel(), np.repeat(gu, u.shape[1]), minlength=len(theta) - 1)
+            return np.append(g + l2 * theta[:-1], gp.sum() + gu.sum())
+
+        theta = _minimise(gradient, np.zeros(model.weights.size + 1), steps, rate)
+        model.weights, model.bias = theta[:-1].reshape(model.weights.shape), float(theta[-1])
+        for s, x in zip(scores, (positive, unlabelled), strict=True):
+            s[1 - k :: 2] = model.score(x[1 - k :: 2])
+    sp, su = map(np.sort, scores)
+    above = lambda scores, at: (len(scores) - np.searchsorted(scores, at, side="left")) / len(scores)
+    qp, qu = above(sp, sp), above(su, sp)
+    bound = sum(np.sqrt(np.log(4 / delta) / (2 * len(x))) for x in (sp, su))
+    best = np.argmin((qu + bound) / qp)
+    return float(np.clip(qu[best] / qp[best], 0.01, 0.99))
+
+
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, bins: int = 16, steps: int = 600, rate: float = 0.1, l2: float = 1e-5) -> Model:
     """Minimise prior * E_P[l(+)] + max(0, E_U[l(-)] - prior * E_P[l(-)]) with the logistic loss.
 
     Where the difference falls below zero, which only overfitting can do, the step
     goes up along it instead, as the non-negative estimator prescribes.
     """
-    every = np.concatenate([positive, unlabelled])
-    cuts = np.linspace(0, 1, bins + 1)[1:-1]
-    edges = np.quantile(every, cuts, axis=0).T
-    model = Model(edges, np.zeros((every.shape[1], bins)), float(np.log(prior / (1 - prior))))
-    p, u = model.rows(positive), model.rows(unlabelled)
-    columns = np.arange(every.shape[1])
-    flat_p, flat_u = p + columns * bins, u + columns * bins
-    w = np.zeros(every.shape[1] * bins)
-    theta, m, v = np.append(w, model.bias), np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-
-    def spread(flat: np.ndarray, g: np.ndarray) -> np.ndarray:
-        return np.append(np.bincount(flat.ravel(), np.repeat(g, flat.shape[1]), minlength=len(w)), g.sum())
-
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    for t in range(1, steps + 1):
-        zp, zu = theta[:-1][flat_p].sum(axis=1) + theta[-1], theta[:-1][flat_u].sum(axis=1) + theta[-1]
-        rest = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        plus = spread(flat_p, -prior * (1 - sigmoid(zp)) / len(zp))
-        minus = spread(flat_u, sigmoid(zu) / len(zu)) - spread(flat_p, prior * sigmoid(zp) / len(zp))
+    model, p, u = _binned(positive, unlabelled, bins)
+
+    def gradient(theta: np.ndarray) -> np.ndarray:
+        _, rest, plus, minus = risk(theta, p, u, prior)
         g = plus + minus if rest >= 0 else -minus
-        g[:-1] += l2 * theta[:-1]
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        theta -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return Model(edges, theta[:-1].reshape(-1, bins), float(theta[-1]))
+        return g + l2 * np.append(theta[:-1], 0.0)
+
+    theta = _minimise(gradient, np.append(np.zeros(model.weights.size), np.log(prior / (1 - prior))), steps, rate)
+    model.weights, model.bias = theta[:-1].reshape(model.weights.shape), float(theta[-1])
+    return model
+
 
+def gram_ratios(positive: np.ndarray, unlabelled: np.ndarray) -> np.ndarray:
+    """Log ratio of each bucket's smoothed share of the strings of the positives and of the unlabelled, between -3 and 3."""
+    share = lambda n: np.log((n + 1) / (n.sum() + len(n)))
+    return np.clip(share(positive) - share(unlabelled), -3, 3).astype(np.float32)
 
-def _matrix(texts: DataFrame) -> np.ndarray:
+
+def _gram_counts(texts: DataFrame) -> np.ndarray:
+    """How many strings of all texts fall in each bucket, summed in the tasks first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(1 << GRAM_BITS, np.int64)
+        for batch in batches:
+            for x in as_bytes(batch.column(0)):
+                sums += np.bincount(gram_buckets(x), minlength=len(sums))
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["at", "n"])
+
+    rows = texts.select("text").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << GRAM_BITS, np.int64)
+    out[rows["at"].to_numpy()] = rows["n"].to_numpy()
+    return out
+
+
+def _matrix(texts: DataFrame, grams: np.ndarray) -> np.ndarray:
     """Features of a bounded sample, at the driver."""
+    model = Model(np.zeros(0), np.zeros(0), 0.0, grams)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([features(x) for x in as_bytes(batch.column(0))], pa.list_(pa.float64()))], ["x"])
+            yield pa.RecordBatch.from_arrays([pa.array([[*features(x), model.lexical(x)] for x in as_bytes(batch.column(0))], pa.list_(pa.float64()))], ["x"])
 
     rows = texts.select("text").mapInArrow(run, "x array<double>").toArrow()["x"].to_pylist()
-    return np.array(rows, float).reshape(len(rows), len(features(b"")))
+    return np.array(rows, float).reshape(len(rows), len(features(b"")) + 1)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_positive: int = 20_000, max_unlabelled: int = 20_000) -> Model:
     """Fit on trusted positives (labelled 1, not held out) and unlabelled documents.
 
     Both samples are bounded, by max_positive and max_unlabelled rows, and taken by
-    a hash of the id. The class prior is the share of the positives among all
-    labelled rows that aren't held out. Of a label, nothing but the positives and
-    that share is used: negatives are not looked at one by one. Without any
-    positive, or with nothing but positives, every text gets the prior (a half
-    where there is no label at all).
+    a hash of the id. One half of either gives the log ratios of the strings, the
+    other the features that the rest is fitted on. The class prior is estimated
+    from the two samples; of the labels nothing but the positives is used. Without
+    any positive, or without documents, every text gets a score of a half.
     """
-    known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    share = known.agg(F.avg((F.col(label) == 1).cast("double"))).first()[0]
-    plain = Model(np.zeros((len(features(b"")), 0)), np.zeros((len(features(b"")), 1)), 0.0)
-    if share is None:
-        return plain
-    if not 0 < share < 1:
-        plain.bias = 30.0 if share else -30.0
-        return plain
-    positive = _matrix(label_sample(docs, labels.filter(F.col(label) == 1), label, max_positive))
-    unlabelled = _matrix(by_hash(docs, "doc_id", docs.count(), max_unlabelled))
-    return fit(positive, unlabelled, share) if len(positive) and len(unlabelled) else plain
+    trusted = label_sample(docs, labels.filter(F.col(label) == 1), label, max_positive)
+    unlabelled = by_hash(docs, "doc_id", docs.count(), max_unlabelled).select("text")
+    # Texts are dealt to the halves by their content, so that copies stay together.
+    halves = [[x.filter(F.pmod(F.xxhash64("text", F.lit(11)), F.lit(2)) == k) for k in (0, 1)] for x in (cut(trusted.select("text")), cut(unlabelled))]
+    grams = gram_ratios(*(_gram_counts(h[0]) for h in halves))
+    positive, other = (_matrix(h[1], grams) for h in halves)
+    if not len(positive) or not len(other):
+        n = len(features(b"")) + 1
+        return Model(np.zeros((n, 0)), np.zeros((n, 1)), 0.0)
+    model = fit(positive, other, estimate_prior(positive, other))
+    model.grams = grams
+    return model
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, **bounds: int) -> DataFrame:
@@ -155,7 +259,7 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 
     Learns from `labels` (doc_id, quality) as train() says, then scores every whole
     text where it lies, without a shuffle; the model is a small table. A null or
-    empty text is scored by its (empty) features. Repeated rows get the same score
+    empty text is scored by its (empty) features; one of any length is read whole. Repeated rows get the same score
     each; a null id is never held out; an empty table gives an empty result; other
     columns are not read.
     """
@@ -170,13 +274,18 @@ def scorer(model: Model):
 
     @F.arrow_udf("double")
     def score(text: pa.Array) -> pa.Array:
-        x = np.array([features(t) for t in as_bytes(text)], float)
+        x = np.array([[*features(t), model.lexical(t)] for t in as_bytes(text)], float)
         return pa.array(model.score(x) if len(x) else np.zeros(0), pa.float64())
 
     return score
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, **bounds: int) -> DataFrame:
-    """The rows, with all their columns, that quality() predicts 1 for."""
+    """The rows, with all their columns, that quality() predicts 1 for.
+
+    A row is judged by its text alone: repeated rows, and rows without an id, are
+    judged like any other; a null text is judged as an empty one. An empty table
+    gives an empty result; clashing column names don't matter.
+    """
     score = scorer(train(id_and_text(docs, id_col, text_col), labels, **bounds))
     return docs.filter(score(F.col(f"`{text_col}`")) >= threshold)
