@@ -113,6 +113,12 @@ def bookkeeping(gated: DataFrame) -> DataFrame:
     return _standing(gated, F.struct(what.alias("operation"), F.col("target_node_id").alias("node_id"), "at"), what)
 
 
+def status_after(action: Column, refused_by: Column) -> Column:
+    """What a decision makes of the record or question it was about: no other column changes."""
+    stands = refused_by.isNull()
+    return F.when(stands & (action == "EVOLVE"), "SUPERSEDED").when(stands & (action == "REINFORCE"), "RESOLVED").when(refused_by == "TIE", "DISMISSED").otherwise("ACTIVE")
+
+
 def audit_notes(gated: DataFrame) -> DataFrame:
     """One note per decision, refused ones too."""
     status = F.when(F.col("refused_by").isNull(), "ACTIVE").when(F.col("refused_by").isin("TIE", "MISSING_WORDING", "NO_CAUSAL_ANCHOR"), "PENDING_HITL").otherwise("BELOW_THRESHOLD")

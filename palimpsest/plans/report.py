@@ -254,10 +254,19 @@ def episode_facts(findings: DataFrame) -> DataFrame:
     return findings.groupBy("episode_id", "event_date").agg(F.array_sort(F.collect_list(item)).alias("findings"))
 
 
+def sections(parts: dict[str, DataFrame]) -> DataFrame:
+    """(section, body): every row of every part as one JSON line under its section's name."""
+    out = [df.select(F.lit(name).alias("section"), F.to_json(F.struct("*")).alias("body")) for name, df in parts.items()]
+    whole = out[0]
+    for df in out[1:]:
+        whole = whole.union(df)
+    return whole
+
+
 def bundle(findings: DataFrame, patterns: DataFrame, decisions: DataFrame, start: str, end: str, previous_start: str, negative: list[str]) -> DataFrame:
     """All sections of a report as (section, body): one JSON line for each row of a section."""
     now, was = in_window(findings, start, end), in_window(findings, previous_start, start)
-    sections = {
+    return sections({
         "top_patterns": top_patterns(pattern_frequency(now)),
         "emerging": emerging_patterns(now, patterns, start, end),
         "disappearing": disappearing_patterns(now, was),
@@ -265,9 +274,4 @@ def bundle(findings: DataFrame, patterns: DataFrame, decisions: DataFrame, start
         "arcs": relationship_arcs(now),
         "high_signal": high_signal(now).select("node_id", "episode_id", "signal_strength"),
         "shadow": shadow_scan(decisions, end),
-    }
-    out = [df.select(F.lit(name).alias("section"), F.to_json(F.struct("*")).alias("body")) for name, df in sections.items()]
-    whole = out[0]
-    for df in out[1:]:
-        whole = whole.union(df)
-    return whole
+    })

@@ -8,7 +8,7 @@ import os
 import duckdb
 import pytest
 
-from palimpsest import queries
+from palimpsest import queries, queries_flow  # noqa: F401
 
 FOLDER = "/root/testdata/sf0.001"
 
