@@ -44,9 +44,14 @@ _TIDY = (
 )
 
 
+def fold(text: Column) -> Column:
+    """Without case, for comparison: lower case, a sharp s as two of them, and one form of sigma."""
+    return F.replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
+
+
 def normalise(text: Column) -> Column:
-    """Lower case, anything but letters and digits a space, spaces collapsed."""
-    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+    """Without case, anything but letters and digits a space, spaces collapsed."""
+    return F.trim(F.regexp_replace(fold(text), r"[^\p{L}\p{N}]+", " "))
 
 
 def flatten(text: Column) -> Column:

@@ -162,11 +162,11 @@ def repeated_lessons(spark, d):
 
 
 @query(_LESSONS + """ SELECT lesson_id, date_diff('day', max(event_date), DATE '2024-02-01') AS days FROM l GROUP BY 1
-    HAVING NOT bool_or(episode_id IN (SELECT episode_id FROM w WHERE user_id % 2 = 0)) AND date_diff('day', max(event_date), DATE '2024-02-01') >= 3 ORDER BY 2 DESC, 1 LIMIT 10""")
+    HAVING NOT bool_or(episode_id IN (SELECT episode_id FROM w WHERE event_date = DATE '2024-01-13')) AND date_diff('day', max(event_date), DATE '2024-02-01') >= 1 ORDER BY 2 DESC, 1 LIMIT 10""")
 def ignored_lessons(spark, d):
     evidence = _lessons(spark, d)
     lessons = evidence.groupBy("lesson_id").agg(F.max("event_date").cast("timestamp").alias("last_seen"))
-    return report.ignored_lessons(lessons, evidence, _week(spark, d).filter("user_id % 2 = 0"), NOW, 3)
+    return report.ignored_lessons(lessons, evidence, _week(spark, d).filter("event_date = '2024-01-13'"), NOW, 1)
 
 
 @query(""" SELECT o.node_id AS target_node_id, n.node_id AS new_node_id, o.node_id || ' said' AS old_statement, n.node_id || ' said' AS new_statement
@@ -367,10 +367,10 @@ def linked_to_person(spark, d):
     return graph.linked_to_person(found, tables.edges(found), "person_7").select("node_id", "type")
 
 
-@query(" SELECT node_id, episode_id FROM f WHERE type IN ('error', 'purchase') AND signal_strength = 'CRITICAL' AND user_id % 10 = 3")
+@query(" SELECT node_id, episode_id FROM f WHERE type IN ('error', 'purchase') AND signal_strength = 'CRITICAL' AND episode_id IN (SELECT episode_id FROM f GROUP BY 1 HAVING count(*) >= 2)")
 def unresolved_join(spark, d):
     found = _found(spark, d)
-    pending = tables.episodes(found).filter("user_id % 10 = 3")
+    pending = tables.episodes(found).filter("findings >= 2")
     return graph.unresolved(found.filter("signal_strength = 'CRITICAL'"), tables.edges(found), pending, ["error", "purchase"]).select("node_id", "episode_id")
 
 
@@ -546,8 +546,8 @@ def score_explain(spark, d):
     return _found(spark, d).select("node_id", (F.floor(s * 1e4 + 0.5) / 1e4).alias("score"), temporal.quiet_days(seen, NOW).alias("days"))
 
 
-@query("""SELECT doc_id, trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS normal, ' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ' AS flat,
-    replace(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' ', '_') AS era_key FROM documents""", base=False)
+@query("""SELECT doc_id, trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS normal, ' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ' AS flat,
+    replace(trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' ', '_') AS era_key FROM documents""", base=False)
 def text_normalise(spark, d):
     t = F.col("text")
     return tables.read(spark, d, "documents").select("doc_id", text.normalise(t).alias("normal"), text.flatten(t).alias("flat"), text.era_key(t).alias("era_key"))
@@ -562,7 +562,7 @@ def token_estimate(spark, d):
 _STOP = ", ".join(f"'{w}'" for w in ("", *text.STOP_WORDS))
 
 
-@query(f"""WITH s AS (SELECT item_id, list_filter(list_distinct(string_split(trim(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ')), lambda x: x NOT IN ({_STOP})) AS w FROM benchmark)
+@query(f"""WITH s AS (SELECT item_id, list_filter(list_distinct(string_split(trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ')), lambda x: x NOT IN ({_STOP})) AS w FROM benchmark)
     SELECT a.item_id AS left_id, b.item_id AS right_id, floor(len(list_intersect(a.w, b.w)) / least(len(a.w), len(b.w)) * 1e5 + 0.5) / 1e5 AS score FROM s a JOIN s b ON b.item_id = a.item_id + 1 WHERE least(len(a.w), len(b.w)) > 0""", base=False)
 def overlap_neighbours(spark, d):
     b = tables.read(spark, d, "benchmark")
@@ -675,11 +675,11 @@ def audit_notes(spark, d):
     return decisions.audit_notes(_gated(spark, d)).groupBy(F.coalesce("refused_by", F.lit("NONE")).alias("refused_by"), "status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(", h AS (SELECT * FROM v QUALIFY version = max(version) OVER (PARTITION BY chain)) SELECT node_id || '_v' || (version + 1) AS node_id, version + 1 AS version, node_id AS previous_version_id, 'new' AS statement FROM h WHERE chain % 4 = 0")
+@query(", h AS (SELECT * FROM v QUALIFY version = max(version) OVER (PARTITION BY chain)) SELECT node_id || '_v' || (version + 1) AS node_id, version + 1 AS version, node_id AS previous_version_id, 'new' AS statement FROM h WHERE version % 2 = 0")
 def next_versions(spark, d):
     v = tables.versions(spark, d)
     last = v.join(v.groupBy("chain").agg(F.max("version").alias("version")), ["chain", "version"]).select("chain", "node_id", "version", "previous_version_id", F.lit("old").alias("statement"), "valid_from")
-    changes = last.filter("chain % 4 = 0").select("node_id", F.lit("new").alias("statement"), F.lit(NOW).cast("timestamp").alias("at"))
+    changes = last.filter("version % 2 = 0").select("node_id", F.lit("new").alias("statement"), F.lit(NOW).cast("timestamp").alias("at"))
     return decisions.next_versions(last, changes).select("node_id", "version", "previous_version_id", "statement")
 
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palimpsest.functions import ids, scoring, temporal, text
-from palimpsest.operators import graph, ranking, reads, scans
+from palimpsest.operators import graph, overlap, ranking, reads, scans
 from palimpsest.plans import decisions, erasure, extraction, report, retrieval, writing
-from palimpsest.queries import NEXT_WEEK, NOW, ORACLE_SQL, WEEK, _COS, _found, _gated, _GATED, _previous, _score, _vector, _week, query
+from palimpsest.queries import NEXT_WEEK, NOW, ORACLE_SQL, WEEK, _COS, _STOP, _found, _gated, _GATED, _previous, _score, _vector, _week, query
 from palimpsest.sources import sinks, tables
 from palimpsest.streaming import sessions
 
@@ -500,6 +500,17 @@ def retryable_rules(spark, d):
 # Text, time, jobs and erasure
 
 
+@query(f"""WITH t AS (SELECT 'b' || item_id AS id, text FROM benchmark UNION ALL SELECT 'm' || item_id, 'and then again: ' || text || ' overall' FROM benchmark WHERE length(text) % 3 = 0),
+    s AS (SELECT id, list_filter(list_distinct(string_split(trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ')), lambda x: x NOT IN ({_STOP})) AS w FROM t)
+    SELECT x.id AS a, y.id AS b, len(list_intersect(x.w, y.w)) / least(len(x.w), len(y.w)) AS overlap FROM s x JOIN s y ON x.id < y.id
+    WHERE len(x.w) > 0 AND len(y.w) > 0 AND 100 * len(list_intersect(x.w, y.w)) >= 80 * least(len(x.w), len(y.w))""", base=False)
+def overlap_dups(spark, d):
+    """Benchmark items and reworded copies of some of them: all pairs that share four fifths of the smaller one's words."""
+    b = tables.read(spark, d, "benchmark")
+    more = b.filter("length(text) % 3 = 0").select(F.concat(F.lit("m"), "item_id").alias("id"), F.concat(F.lit("and then again: "), "text", F.lit(" overall")).alias("text"))
+    return overlap.overlap_dups(b.select(F.concat(F.lit("b"), "item_id").alias("id"), "text").unionByName(more))
+
+
 @query(""" SELECT node_id, CASE WHEN days <= 0 THEN 'today' WHEN days = 1 THEN 'yesterday' WHEN days < 14 THEN days || ' days ago' WHEN days < 60 THEN days // 7 || ' weeks ago' ELSE strftime(occurred_at, '%B %Y') END AS said
     FROM (SELECT *, CAST(floor(date_diff('microsecond', occurred_at, TIMESTAMP '2024-01-16') / 86400000000.0) AS BIGINT) AS days FROM f)""")
 def humanised_dates(spark, d):

@@ -39,12 +39,16 @@ def daily(events: DataFrame, late: str | None = "1 day") -> DataFrame:
 def bursts(decisions: DataFrame, length: str = "48 hours", slide: str = "1 day", min_decisions: int = 3, min_targets: int = 2, late: str | None = "1 day") -> DataFrame:
     """Sliding windows with enough shifting decisions (ts, target) over enough targets.
 
-    On a stream distinct targets are counted approximately, as exact distinct
-    counts keep no bounded state.
+    Whether there are two targets is exact on a stream and on a table: the least
+    and the greatest differ. How many there are, and limits above two, a stream
+    counts approximately, as exact distinct counts keep no bounded state.
     """
-    targets = F.approx_count_distinct("target") if decisions.isStreaming else F.count_distinct("target")
-    counted = _marked(decisions, late).groupBy(F.window("ts", length, slide)).agg(F.count(F.lit(1)).alias("decisions"), targets.alias("targets"))
-    return counted.filter((F.col("decisions") >= min_decisions) & (F.col("targets") >= min_targets)).select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "decisions", "targets")
+    stream = decisions.isStreaming
+    targets = F.approx_count_distinct("target") if stream else F.count_distinct("target")
+    counted = _marked(decisions, late).groupBy(F.window("ts", length, slide)).agg(F.count(F.lit(1)).alias("decisions"), targets.alias("targets"), F.min("target").alias("_low"), F.max("target").alias("_high"))
+    two = F.when(F.col("_low") != F.col("_high"), 2).when(F.col("_low").isNotNull(), 1).otherwise(0)
+    enough = two >= min_targets if min_targets <= 2 else F.col("targets") >= min_targets
+    return counted.filter((F.col("decisions") >= min_decisions) & enough).select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "decisions", "targets")
 
 
 def claim_once(claims: DataFrame, late: str = "1 day") -> DataFrame:
@@ -58,8 +62,9 @@ def claim_once(claims: DataFrame, late: str = "1 day") -> DataFrame:
 def rate_limited(attempts: DataFrame, limit: int = 10, seconds: int = 300) -> DataFrame:
     """Attempts (key, ts, id) with whether each is allowed: at most so many allowed ones in the time before it.
 
-    Refused attempts don't count. A key's attempts are folded in order, in batches
-    as they come, with the times of at most `limit` allowed ones as state.
+    Refused attempts don't count, so each answer hangs on the ones before it: a
+    key's attempts are folded in order in one task, however many, but batch by
+    batch, with the times of at most `limit` allowed ones as all that is kept.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
