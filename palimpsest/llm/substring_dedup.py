@@ -4,18 +4,19 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import as_bytes, fill_partitions, id_and_text
 from palimpsest.sources.scratch import cut, shared_folder
 
 #: Bytes of a trigger. Each string of the length searched for holds at least one.
-TRIGGER = 12
+TRIGGER = 20
 #: A longer text is parsed in sections of so many bytes.
 SECTION = 1 << 25
 _PLACE = np.uint64((1 << 26) - 1)
@@ -145,6 +146,7 @@ def _phrases(texts: DataFrame, length: int, section: int, hot: np.ndarray) -> Da
 #: What _phrases() packs, as SQL.
 _TRIGGER, _KNOWN, _IS_HOT = "shiftright(key, 16)", "place & 255 = 0", f"place & {_HOT} <> 0"
 _PHRASE = "shiftleft(key & 65535, 24) + (shiftright(place, 40) & 16777215)"
+_PART = f"if({_IS_HOT}, ({_PHRASE}) & 255, 0)"
 _FIRST = f"shiftright(place, 9) & {_START}"
 _SIZE = "if(place & 255 = 0, shiftleft(shiftright(place, 40) & 16777215, 16) + (key & 65535), place & 255)"
 
@@ -271,6 +273,18 @@ def _cut_out(rows: DataFrame, id_type: str) -> DataFrame:
     return out.withColumn("doc_id", F.col("doc_id").cast(id_type))
 
 
+@contextmanager
+def _shuffle_files_removed(spark: SparkSession) -> Iterator[None]:
+    """What is run inside leaves no shuffle files behind: Spark removes them at the end of each execution, where its version can."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, section: int = SECTION) -> DataFrame:
     """One row per input row: doc_id, n_bytes, spans (removed byte ranges, maximal, end exclusive), kept (bytes).
 
@@ -280,7 +294,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Texts are parsed into phrases at triggers that depend on content alone, so
     equal strings lie in phrases of equal triggers, and only phrases go through
-    the shuffle, about one for 20 bytes. A phrase that equals one of a smaller id
+    the shuffle, about one for 15 bytes. A phrase that equals one of a smaller id
     repeats as a whole. Phrases that share a trigger but differ (a repeat begins or
     ends in them) are the dictionary: its suffixes are sorted by their bytes, and
     of equal ones all but those of the smallest id repeat. Phrases overlap, so that
@@ -310,16 +324,17 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = ["did"] if plain else ["did", "mark"]
 
     # Rows cross the shuffle packed and are taken apart behind it.
-    packed = _phrases(texts, length, section, _hot_triggers(texts, length, section)).repartition(F.expr(_TRIGGER), F.expr(f"if({_IS_HOT}, ({_PHRASE}) & 255, 0)"))
-    phrases = packed.selectExpr(f"{_TRIGGER} as trigger", f"{_PHRASE} as phrase", "place", "did", "mark", f"({_FIRST}) + {_SIZE} as end")
-    least = F.min("did").over(Window.partitionBy("trigger", "phrase"))
-    by_trigger = Window.partitionBy("trigger")
+    packed = _phrases(texts, length, section, _hot_triggers(texts, length, section)).repartition(F.expr(_TRIGGER), F.expr(_PART))
+    phrases = packed.selectExpr(f"{_TRIGGER} as trigger", f"{_PART} as part", f"{_PHRASE} as phrase", "place", "did", "mark", f"({_FIRST}) + {_SIZE} as end")
+    least = F.min("did").over(Window.partitionBy("trigger", "part", "phrase"))
+    by_trigger = Window.partitionBy("trigger", "part")
     mixed = F.min("phrase").over(by_trigger) != F.max("phrase").over(by_trigger)
     seen = phrases.withColumn("least", least).withColumn("mixed", mixed)
     whole = F.expr(f"{_KNOWN} or least < did")
     seen = seen.filter(whole | F.expr(f"mixed or {_IS_HOT}")).select("did", "mark", "place", "end", F.when(~whole, F.col("trigger")).alias("trigger"))
     path = f"{shared_folder(spark)}/phrases-{uuid.uuid4().hex}"
-    seen.write.parquet(path)
+    with _shuffle_files_removed(spark):
+        seen.write.parquet(path)
 
     seen = spark.read.parquet(path)
     seen = seen if plain else seen.distinct()
