@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -10,11 +10,15 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """From 0 to 1; 0 where widths differ, a vector is empty or zero, or the angle is over a right one."""
-    norm = F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b))
-    ok = (F.size(a) == F.size(b)) & (F.size(a) > 0) & (norm > 0)
-    return F.when(ok, F.least(F.greatest(_dot(a, b) / norm, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
+def norm(a: Column) -> Column:
+    return F.sqrt(_dot(a, a))
+
+
+def cosine(a: Column, b: Column, norms: Column | None = None) -> Column:
+    """From 0 to 1; 0 where widths differ, a vector is empty or zero, or the angle is over a right one. norms: their product, where it is known."""
+    both = norm(a) * norm(b) if norms is None else norms
+    ok = (F.size(a) == F.size(b)) & (F.size(a) > 0) & (both > 0)
+    return F.when(ok, F.least(F.greatest(_dot(a, b) / both, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
 
 
 def top_k(vectors: DataFrame, query: DataFrame, k: int, key: str = "node_id") -> DataFrame:
@@ -22,8 +26,9 @@ def top_k(vectors: DataFrame, query: DataFrame, k: int, key: str = "node_id") ->
 
     The query is one row and goes to every task; what comes back is k rows from each.
     """
-    q = F.broadcast(query.select(F.col("embedding").alias("_q")).limit(1))
-    return vectors.join(q).withColumn("score", cosine(F.col("embedding"), F.col("_q"))).drop("_q").orderBy(F.desc("score"), key).limit(k)
+    q = F.broadcast(query.select(F.col("embedding").alias("_q"), norm(F.col("embedding")).alias("_qn")).limit(1))
+    score = cosine(F.col("embedding"), F.col("_q"), norm(F.col("embedding")) * F.col("_qn"))
+    return vectors.join(q).withColumn("score", score).drop("_q", "_qn").orderBy(F.desc("score"), key).limit(k)
 
 
 def over_fetch(vectors: DataFrame, query: DataFrame, fetch: int, keep: Column, score: Column, k: int, key: str = "node_id") -> DataFrame:
@@ -31,11 +36,21 @@ def over_fetch(vectors: DataFrame, query: DataFrame, fetch: int, keep: Column, s
     return top_k(vectors, query, fetch, key).filter(keep).withColumn("rank_score", score).orderBy(F.desc("rank_score"), key).limit(k)
 
 
+#: Queries that may be sent to every executor; more of them meet the vectors by a shuffle.
+SENT_QUERIES = 10_000
+
+
 def by_kind(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The k nearest to each of a bounded set of queries (query_id, embedding) within the query's kind."""
-    from pyspark.sql import Window
+    """The k nearest to each of some queries (query_id, embedding) within the query's kind.
 
-    q = queries.select("query_id", "kind", F.col("embedding").alias("_q"), F.col("node_id").alias("_self"))
-    scored = vectors.join(q, "kind").filter("node_id <> _self").withColumn("score", cosine(F.col("embedding"), F.col("_q")))
+    Lengths are computed once for each vector, not for each pair. Few queries go to
+    the vectors, so that a kind with most of them stays dealt out; the k best of a
+    query are kept in each task before they meet.
+    """
+    e = F.col("embedding")
+    q = queries.select("query_id", "kind", e.alias("_q"), norm(e).alias("_qn"), F.col("node_id").alias("_self"))
+    q = F.broadcast(q) if queries.count() <= SENT_QUERIES else q
+    both = vectors.withColumn("_n", norm(e)).join(q, "kind").filter("node_id <> _self")
+    scored = both.withColumn("score", cosine(e, F.col("_q"), F.col("_n") * F.col("_qn")))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "node_id")
     return scored.select("query_id", "node_id", "kind", "score", F.row_number().over(w).alias("rank")).filter(F.col("rank") <= k)

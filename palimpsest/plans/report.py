@@ -205,14 +205,20 @@ def spread_picks(n: Column, keep: int) -> Column:
 def proof_chains(findings: DataFrame, at_least: int = 10, keep: int = 5) -> DataFrame:
     """Patterns with enough instances, one per episode: count, span, and evenly spread episodes.
 
-    The instances are ranked in a window and only the picked places kept, so no
-    group is gathered as an array.
+    The instances of a pattern are counted by day, the picked places looked up in
+    those counts, and only the days they fall on ranked, so no task sorts a pattern
+    whole and nothing gathers it.
     """
     one = findings.groupBy("pattern_id", "episode_id").agg(F.min("event_date").alias("event_date"))
-    sums = one.groupBy("pattern_id").agg(F.count(F.lit(1)).alias("instances"), F.min("event_date").alias("first_day"), F.max("event_date").alias("last_day")).filter(F.col("instances") >= at_least)
-    w = Window.partitionBy("pattern_id").orderBy("event_date", "episode_id")
-    ranked = one.withColumn("place", F.row_number().over(w)).join(sums, "pattern_id").filter(F.array_contains(spread_picks(F.col("instances"), keep), F.col("place")))
-    return ranked.groupBy("pattern_id", "instances", "first_day", "last_day").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "episode_id"))), lambda x: x["episode_id"]), ",").alias("samples"))
+    days = one.groupBy("pattern_id", "event_date").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("pattern_id").orderBy("event_date").rowsBetween(Window.unboundedPreceding, 0))
+    sums = days.groupBy("pattern_id").agg(F.sum("n").alias("instances"), F.min("event_date").alias("first_day"), F.max("event_date").alias("last_day")).filter(F.col("instances") >= at_least)
+    picks = sums.select("*", F.explode(spread_picks(F.col("instances"), keep)).alias("place"))
+    there = days.withColumn("upto", upto).join(picks, "pattern_id").filter("place > upto - n and place <= upto").withColumn("_n", F.col("place") - F.col("upto") + F.col("n"))
+    inside = one.join(there.select("pattern_id", "event_date").distinct(), ["pattern_id", "event_date"], "left_semi")
+    ranked = inside.withColumn("_n", F.row_number().over(Window.partitionBy("pattern_id", "event_date").orderBy("episode_id")).cast("long"))
+    found = there.join(ranked, ["pattern_id", "event_date", "_n"])
+    return found.groupBy("pattern_id", "instances", "first_day", "last_day").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "episode_id"))), lambda x: x["episode_id"]), ",").alias("samples"))
 
 
 def proof_sentence(instances: Column, first_day: Column, last_day: Column) -> Column:
