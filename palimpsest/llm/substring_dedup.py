@@ -8,6 +8,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -226,12 +227,17 @@ def _again(part: pa.RecordBatch, length: int) -> pa.RecordBatch:
 
 
 def _repeats(dictionary: DataFrame, length: int) -> DataFrame:
-    """What _again() finds in all contexts, whole groups of rows of a trigger at a time."""
+    """What _again() finds in all contexts, whole groups of rows of a trigger at a time, and the strings known to repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
         for batch in batches:
             table = pa.Table.from_batches([batch])
+            if table["context"].null_count:
+                known = table.filter(pc.is_null(table["context"]))
+                start = known["start"].to_numpy()
+                yield _batch(["did", "mark", "start", "end"], [known["did"].to_numpy(), known["mark"].to_numpy(), start, start + length])
+                table = table.filter(pc.is_valid(table["context"]))
             rest = table if rest is None else pa.concat_tables([rest, table])
             if len(rest) < 10_000:
                 continue
@@ -244,9 +250,8 @@ def _repeats(dictionary: DataFrame, length: int) -> DataFrame:
         if rest is not None and len(rest):
             yield _again(rest.combine_chunks().to_batches()[0], length)
 
-    known = dictionary.filter("context is null").select("did", "mark", "start", (F.col("start") + length).alias("end"))
-    rows = dictionary.filter("context is not null").repartition("trigger", "spread").sortWithinPartitions("trigger", "spread")
-    return rows.mapInArrow(run, "did long, mark long, start long, end long").unionByName(known)
+    rows = dictionary.repartition("trigger", "spread").sortWithinPartitions("trigger", "spread")
+    return rows.mapInArrow(run, "did long, mark long, start long, end long")
 
 
 def _cut_out(rows: DataFrame, id_type: str) -> DataFrame:
