@@ -72,6 +72,24 @@ def stage(new: DataFrame, known: DataFrame, keys: tuple[str, ...] = ("user_id",
     return new.dropDuplicates(list(keys)).join(known.select(*keys), list(keys), "left_anti")
 
 
+def staged(new: DataFrame, known: DataFrame) -> DataFrame:
+    """What each import (user_id, source_conversation_id, import_id, label) comes to: the first import of its conversation, there before or the smallest id now, whether that is new, and its label.
+
+    A label that the user has for another conversation gets the end of this one's
+    id, so that the two can be told apart, by whatever load they came.
+    """
+    key = ["user_id", "source_conversation_id"]
+    there = known.groupBy(*key).agg(F.min("import_id").alias("_there"), F.min("label").alias("_label"))
+    first = new.groupBy(*key).agg(F.min("import_id").alias("_first"), F.min_by("label", "import_id").alias("_new"))
+    one = first.join(there, key, "left")
+    used = known.select("user_id", F.col("label").alias("_new")).distinct().withColumn("_used", F.lit(True))
+    again = F.row_number().over(Window.partitionBy("user_id", "_new").orderBy("_first")) > 1
+    one = one.join(used, ["user_id", "_new"], "left").withColumn("_again", again)
+    clash = F.coalesce("_used", F.lit(False)) | F.col("_again")
+    label = F.coalesce("_label", F.when(clash, F.concat("_new", F.lit("-"), F.right("source_conversation_id", F.lit(8)))).otherwise(F.col("_new")))
+    return one.select(*key, F.coalesce("_there", "_first").alias("import_id"), F.col("_there").isNull().alias("new"), label.alias("label"))
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """Whole JSON files under a path."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("filename"), F.col("value").alias("body"))

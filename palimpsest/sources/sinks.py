@@ -6,9 +6,22 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def write_nodes(nodes: DataFrame, path: str) -> None:
-    """Append records, a folder for each kind."""
-    nodes.write.mode("append").partitionBy("label").parquet(path)
+# Kinds of record that can be written.
+KINDS = ("EpisodeNode", "SessionNode", "EventNode", "ObservationNode", "CausalChainNode", "CausalStepNode", "PatternNode", "BeliefNode", "LessonNode", "AdoptedPrincipleNode", "OpenLoopNode", "ContradictionNode", "PersonEntityNode", "DecisionAuditNode", "MacroextractionReportNode")
+
+
+def write_nodes(nodes: DataFrame, path: str, kinds: tuple[str, ...] = KINDS) -> None:
+    """Append records, a folder for each kind (label); lists and structs as JSON. A kind that isn't known is refused, and nothing is written."""
+    odd = nodes.filter(~F.coalesce(F.col("label").isin(*kinds), F.lit(False))).select("label").limit(1).collect()
+    if odd:
+        raise ValueError(f"no such kind of record: {odd[0].label}")
+    nested = [c for c, kind in nodes.dtypes if kind.startswith(("array", "struct", "map"))]
+    nodes.withColumns({c: F.to_json(c) for c in nested}).write.mode("append").partitionBy("label").parquet(path)
+
+
+def write_report(reports: DataFrame, path: str, batch: str) -> None:
+    """Reports (node_id, episode_ids and any others) with their coverage edges, as one commit."""
+    commit({"reports": reports, "report_edges": coverage(reports)}, path, batch)
 
 
 def valid_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:

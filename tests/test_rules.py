@@ -199,6 +199,44 @@ def test_commit_needs_its_marker(spark, tmp_path):
     assert sinks.read_committed(spark, str(tmp_path), "nodes").count() == 3
 
 
+def test_sinks(spark, tmp_path):
+    """Records of known kinds only, lists as JSON; a report with one edge per episode; an old collection adopted once."""
+    nodes = spark.createDataFrame([("a", "EventNode", ["x", "y"]), ("b", "BeliefNode", None)], "node_id string, label string, tags array<string>")
+    sinks.write_nodes(nodes, str(tmp_path / "n"))
+    assert {(r.node_id, r.label, r.tags) for r in spark.read.parquet(str(tmp_path / "n")).collect()} == {("a", "EventNode", '["x","y"]'), ("b", "BeliefNode", None)}
+    for bad in ("Strange", None):
+        with pytest.raises(ValueError, match="no such kind"):
+            sinks.write_nodes(spark.createDataFrame([("c", bad)], "node_id string, label string"), str(tmp_path / "n"))
+    assert spark.read.parquet(str(tmp_path / "n")).count() == 2
+    sinks.write_report(spark.createDataFrame([("rep", ["e1", "e2", "e1"])], "node_id string, episode_ids array<string>"), str(tmp_path / "r"), "b1")
+    assert {(r.from_id, r.to_id) for r in sinks.read_committed(spark, str(tmp_path / "r"), "report_edges").collect()} == {("e1", "rep"), ("e2", "rep")}
+    assert sinks.read_committed(spark, str(tmp_path / "r"), "reports").count() == 1
+    assert sinks.adopt(nodes, False, str(tmp_path / "old")) and not sinks.adopt(nodes, True, str(tmp_path / "old"))
+    assert spark.read.parquet(str(tmp_path / "old")).count() == 2
+
+
+def test_staged_imports(spark):
+    """A repeated load gives the first import; a label that stands for another conversation gets a suffix."""
+    known = spark.createDataFrame([("u", "c1", "imp00001aaa", "Evening")], "user_id string, source_conversation_id string, import_id string, label string")
+    new = [("u", "c1", "imp00009", "Evening"), ("u", "c2", "imp00003bbb", "Evening"), ("u", "c3", "imp00005", "Walk"), ("u", "c3", "imp00004", "Walk"), ("u", "c4", "imp00006ddd", "Walk"), ("v", "c1", "imp00007", "Evening")]
+    got = chat_export.staged(spark.createDataFrame(new, known.schema), known).collect()
+    assert {(r.user_id, r.source_conversation_id, r.import_id, r.new, r.label) for r in got} == {
+        ("u", "c1", "imp00001aaa", False, "Evening"), ("u", "c2", "imp00003bbb", True, "Evening-c2"), ("u", "c3", "imp00004", True, "Walk"), ("u", "c4", "imp00006ddd", True, "Walk-c4"), ("v", "c1", "imp00007", True, "Evening"),
+    }
+    assert chat_export.stage(spark.createDataFrame(new, known.schema), known).count() == 4
+
+
+def test_two_targets_make_a_burst_on_a_stream_too(spark, tmp_path):
+    rows = [(datetime(2024, 1, 1, 0, i), "a") for i in range(5)] + [(datetime(2024, 1, 5, 0, i), "ab"[i % 2]) for i in range(5)]
+    events = spark.createDataFrame(rows, "ts timestamp, target string")
+    events.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
+    q = sessions.bursts(stream, late="0 seconds").writeStream.format("memory").queryName("bursts").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    want = sorted((r.window_start, r.decisions) for r in sessions.bursts(events).collect())
+    assert want and sorted((r.window_start, r.decisions) for r in spark.table("bursts").collect()) == want
+
+
 def test_streams_match_tables(spark, tmp_path):
     events = spark.createDataFrame([(i % 3, datetime(2024, 1, 1, i % 24, 0), i) for i in range(60)], "user_id long, ts timestamp, event_id long")
     events.coalesce(1).write.parquet(str(tmp_path / "in"))
