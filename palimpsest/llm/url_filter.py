@@ -37,7 +37,8 @@ def url_filter(captures: DataFrame, entries: DataFrame, bucket_days: int = 30) -
     looked up once, whatever the number of its captures; a host with a third of
     all captures is a skewed side of plain joins, which adaptive execution splits.
 
-    A url without a host, or a null time, is on no list. Repeated captures get a
+    A url without a host, or a null time, is on no list. Urls of any length are read
+    whole; a host is looked up once for each of its labels. Repeated captures get a
     row each; empty tables on either side are fine. Columns of the captures that
     are named host, lists or blocked are replaced.
     """
