@@ -9,6 +9,7 @@ from palimpsest.operators import graph, overlap, ranking, reads, scans
 from palimpsest.plans import decisions, erasure, extraction, report, retrieval, writing
 from palimpsest.queries import NEXT_WEEK, NOW, ORACLE_SQL, WEEK, _COS, _STOP, _found, _gated, _GATED, _previous, _score, _vector, _week, query
 from palimpsest.sources import sinks, tables
+from palimpsest.sources.scratch import cut
 from palimpsest.streaming import sessions
 
 _c = F.col
@@ -422,8 +423,8 @@ _HELD = """, held AS (SELECT *, coalesce(CASE WHEN action = 'AMBIGUOUS' THEN a0
 
 
 def _frozen(spark, d):
-    held = _gated(spark, d).filter("refused_by in ('TIE', 'MISSING_WORDING', 'NO_CAUSAL_ANCHOR')").withColumn("tied_action", F.when(_c("action") == "AMBIGUOUS", F.element_at(F.array(*[F.lit(a) for a in ("MERGE", "REINFORCE", "EVOLVE", "BRANCH", "CONTRADICT", "DIALECTIC", "REGULATE", "AMBIGUOUS")]), (F.regexp_replace("decision_id", "^d_", "").cast("int") % 8 + 1))))
-    return writing.frozen(held)
+    held = cut(_gated(spark, d)).filter("refused_by in ('TIE', 'MISSING_WORDING', 'NO_CAUSAL_ANCHOR')").withColumn("tied_action", F.when(_c("action") == "AMBIGUOUS", F.element_at(F.array(*[F.lit(a) for a in ("MERGE", "REINFORCE", "EVOLVE", "BRANCH", "CONTRADICT", "DIALECTIC", "REGULATE", "AMBIGUOUS")]), (F.regexp_replace("decision_id", "^d_", "").cast("int") % 8 + 1))))
+    return cut(writing.frozen(held))
 
 
 @query(_GATED + _HELD.replace("THEN a0 END", "THEN ['MERGE','REINFORCE','EVOLVE','BRANCH','CONTRADICT','DIALECTIC','REGULATE','AMBIGUOUS'][event_id % 8 + 1] END") + " SELECT decision_id, first OR second AS worth_asking, first AS has_primary, second AS has_runner_up FROM can")
