@@ -20,8 +20,8 @@ from tokenizers import Tokenizer
 from palimpsest.llm.common import as_bytes, fill_partitions, id_and_text
 from palimpsest.sources.scratch import cut
 
-#: Distinct words of a generation that a worker remembers the ids of; it keeps two generations.
-_REMEMBERED = 300_000
+#: Distinct words of a generation that a worker remembers the ids of; it keeps two generations, of about 270 bytes a word.
+REMEMBERED = 300_000
 #: Any other character sends a text to the tokenizer as a whole: white space and normal forms need its own rules.
 _OTHER = re.compile(r"[^\x20-\x7E\n\t\rÀ-ÖØ-öø-ÿ]").search
 #: Rows that one window of equal lengths may hold.
@@ -35,7 +35,8 @@ class _Encoder:
     two spaces has the same ids in any text; those are remembered.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
+        self.remembered = remembered
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
@@ -59,7 +60,7 @@ class _Encoder:
         found = {x: self.before[x] for x in missing if x in self.before}
         new = [x for x in missing if x not in found]
         found.update(zip(new, self._apart(new), strict=True))
-        if len(known) + len(found) > _REMEMBERED:  # what comes back is taken over from the generation before
+        if len(known) + len(found) > self.remembered:  # what comes back is taken over from the generation before
             self.before, self.known = known, found
             return b"".join([found[x] if x in found else known[x] for x in words])
         known.update(found)
@@ -76,12 +77,12 @@ class _Encoder:
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str) -> _Encoder:
+def _encoder(path: str, remembered: int) -> _Encoder:
     """One encoder for all tasks of a Python worker, so that what it remembers outlives a task."""
-    return _Encoder(path)
+    return _Encoder(path, remembered)
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int = 1, digest: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int = 1, digest: bool = False, remembered: int = REMEMBERED) -> DataFrame:
     """Token ids of whole texts, then end_id, cut only where longer than capacity.
 
     Returns doc_id, piece (from 0), start (ids of the document before it), length,
@@ -91,7 +92,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(tokenizer_path)
+        encoder = _encoder(tokenizer_path, remembered)
         end = np.array([end_id], "<u4").tobytes()
         step = 4 * capacity
         for batch in batches:
@@ -225,11 +226,13 @@ def pack(pieces: DataFrame, capacity: int = 4096, order_by: tuple[str, ...] = ("
     return ranked.select(*pieces.columns, "_rank").mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, digest: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, digest: bool = False, remembered: int = REMEMBERED) -> DataFrame:
     """Tokenize whole texts, cut the longest and pack all pieces; see token_pieces and pack.
 
+    A worker remembers the ids of up to twice `remembered` words, for speed alone.
+
     Null and empty texts give a piece of one id; very long ones give as many
     pieces as they need; repeated rows are packed each; a null id is kept; an
     empty table gives an empty result; other columns are not read.
     """
-    return pack(token_pieces(docs, tokenizer_path, id_col, text_col, capacity, digest=digest), capacity)
+    return pack(token_pieces(docs, tokenizer_path, id_col, text_col, capacity, digest=digest, remembered=remembered), capacity)
