@@ -129,8 +129,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     Learns from `labels` (doc_id, toxic) as train() says and scores every whole
     text where it lies, without a shuffle; the model is one number for each of
     2^20 buckets. A null or empty text has no n-gram but the space and gets the
-    bias; one of any length is read whole, block by block. Repeated rows get the same score each; a null id is never held out; an
-    empty table gives an empty result; other columns are not read.
+    bias; one of any length is read whole, block by block. Repeated rows get the
+    same score each; a null id is never held out; an empty table gives an empty
+    result; other columns are not read.
     """
     texts = id_and_text(docs, id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(train(texts, labels, **options))
