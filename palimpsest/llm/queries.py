@@ -12,6 +12,7 @@ from palimpsest.llm.chat_format import link_tool_calls
 from palimpsest.llm.common import table
 from palimpsest.llm.decontaminate import decontaminate
 from palimpsest.llm.exact_dedup import exact_dedup
+from palimpsest.llm.fill_middle import fill_middle
 from palimpsest.llm.license_scan import PHRASES, TEMPLATES, license_scan
 from palimpsest.llm.packing import pack_documents
 from palimpsest.llm.quality_pu import quality
@@ -127,6 +128,12 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex16(F.col("f0")).alias("fingerprint"), "component_id")
 
 
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fill_middle(table(spark, sf_dir, "documents"))
+    chars = [F.length(c).cast("long").alias(f"{c}_chars") for c in ("prefix", "middle")]
+    return found.select("doc_id", "n", "form", *chars, F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_pu": op1_quality_pu,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -138,6 +145,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity_nb": op8_toxicity_nb,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_simhash_dedup": op10_simhash_dedup,
+    "op13_fill_middle": op13_fill_middle,
 }
 
 #: Words as the contracts name them, in DuckDB.
@@ -216,4 +224,13 @@ ORACLE_SQL: dict[str, str] = {
         m AS (SELECT page_id, string_agg(DISTINCT list_name, ',' ORDER BY list_name) AS lists FROM p JOIN i
               ON (host = pattern OR ends_with(host, '.' || pattern)) AND action = 'add' AND moment <= fetched_at AND (until IS NULL OR fetched_at < until) GROUP BY 1)
         SELECT page_id, host, coalesce(lists, '') AS lists, lists IS NOT NULL AS blocked FROM p LEFT JOIN m USING (page_id)""",
+    "op13_fill_middle": """
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || doc_id) AS s FROM documents),
+        h AS (SELECT doc_id, text, u, len(u) AS n, ('0x' || s[1:8])::BIGINT % (len(u) + 1) AS x, ('0x' || s[9:16])::BIGINT % (len(u) + 1) AS y,
+                     ('0x' || s[17:24])::BIGINT % 100 AS r, ('0x' || s[25:32])::BIGINT % 100 AS o FROM d),
+        p AS (SELECT doc_id, text, n, array_to_string(u[1:least(x, y)], '') AS a, array_to_string(u[least(x, y) + 1:greatest(x, y)], '') AS b, array_to_string(u[greatest(x, y) + 1:], '') AS c,
+                     CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR r >= 90 THEN 'plain' WHEN o < 20 THEN 'spm' ELSE 'psm' END AS form FROM h)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(a) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(b) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || a || '<S>' || c || '<M>' || b ELSE '<S>' || c || '<P>' || a || '<M>' || b END) AS output_sha256,
+               sha256(text) AS restored_sha256 FROM p""",
 }
