@@ -13,7 +13,9 @@ from palimpsest.llm.common import table
 from palimpsest.llm.decontaminate import decontaminate
 from palimpsest.llm.exact_dedup import exact_dedup
 from palimpsest.llm.fill_middle import fill_middle
+from palimpsest.llm.filter_audit import filter_audit
 from palimpsest.llm.license_scan import PHRASES, TEMPLATES, license_scan
+from palimpsest.llm.line_dedup import line_dedup
 from palimpsest.llm.packing import pack_documents
 from palimpsest.llm.quality_pu import quality
 from palimpsest.llm.simhash_dedup import hex16, simhash_dedup
@@ -128,6 +130,15 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex16(F.col("f0")).alias("fingerprint"), "component_id")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup(table(spark, sf_dir, "documents"), least_chars=40, least_docs=5, keep="largest")
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fill_middle(table(spark, sf_dir, "documents"))
     chars = [F.length(c).cast("long").alias(f"{c}_chars") for c in ("prefix", "middle")]
@@ -145,6 +156,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity_nb": op8_toxicity_nb,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_simhash_dedup": op10_simhash_dedup,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_line_dedup": op12_line_dedup,
     "op13_fill_middle": op13_fill_middle,
 }
 
@@ -224,6 +237,30 @@ ORACLE_SQL: dict[str, str] = {
         m AS (SELECT page_id, string_agg(DISTINCT list_name, ',' ORDER BY list_name) AS lists FROM p JOIN i
               ON (host = pattern OR ends_with(host, '.' || pattern)) AND action = 'add' AND moment <= fetched_at AND (until IS NULL OR fetched_at < until) GROUP BY 1)
         SELECT page_id, host, coalesce(lists, '') AS lists, lists IS NOT NULL AS blocked FROM p LEFT JOIN m USING (page_id)""",
+    "op11_filter_audit": r"""
+        WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        f AS (SELECT doc_id, part,
+                     CASE WHEN len(words) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 'B' ELSE '' END
+                     || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+                     || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS fails FROM w),
+        m AS (SELECT doc_id, max(quality) AS good, max(toxic) AS toxic FROM labels GROUP BY 1),
+        c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good = 1) AS good, count(*) FILTER (toxic = 1) AS toxic FROM f LEFT JOIN m USING (doc_id) GROUP BY 1, 2),
+        l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+        o AS (SELECT a.x || b.x || c.x || d.x || e.x AS ord FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+        s AS (SELECT ord, step, ord[step] AS x, CASE WHEN step = 1 THEN '^$' ELSE '[' || ord[1:step - 1] || ']' END AS before FROM o, unnest(range(1, 6)) AS t(step)),
+        r AS (SELECT part, ord, step, x, contains(fails, x) AS bad, step > 1 AND regexp_matches(fails, before) AS gone, fails = x AS sole, n, good, toxic FROM c, s),
+        a AS (SELECT part, ord AS filter_order, step, x, coalesce(sum(n) FILTER (NOT gone AND NOT bad), 0) AS kept, coalesce(sum(n) FILTER (NOT gone AND bad), 0) AS removed,
+                     coalesce(sum(n) FILTER (gone AND bad), 0) AS redundant, coalesce(sum(n) FILTER (sole), 0) AS unique_fails,
+                     coalesce(sum(good) FILTER (NOT gone AND bad), 0) AS good_lost, coalesce(sum(toxic) FILTER (NOT gone AND bad), 0) AS toxic_lost FROM r GROUP BY 1, 2, 3, 4)
+        SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+               CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+               CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley FROM a""",
+    "op12_line_dedup": """
+        WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+        l AS (SELECT doc_id, i, lines[i] AS line, translate(trim(lines[i], ' ' || chr(9) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM t, unnest(range(1, len(lines) + 1)) AS u(i)),
+        h AS (SELECT k, max(doc_id) AS holder FROM l WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5),
+        j AS (SELECT doc_id, i, line, holder IS NOT NULL AND doc_id <> holder AS gone FROM l LEFT JOIN h USING (k))
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM j GROUP BY 1""",
     "op13_fill_middle": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || doc_id) AS s FROM documents),
         h AS (SELECT doc_id, text, u, len(u) AS n, ('0x' || s[1:8])::BIGINT % (len(u) + 1) AS x, ('0x' || s[9:16])::BIGINT % (len(u) + 1) AS y,
