@@ -5,6 +5,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +24,9 @@ TRIGGER = 20
 SECTION = 1 << 25
 _PLACE = np.uint64((1 << 26) - 1)
 _NO_ID = (1 << 63) - 1
-#: Of so many documents one shows which triggers are hot; a hot one has more than a quarter of a task's share of rows, and so many at least.
-_EVERY, _HOT_ROWS = 256, 16_384
+#: Of so many documents one shows which triggers are hot, and every text of so many bytes does; a hot one has more than a quarter of a task's share of rows, and so many at least.
+_EVERY, _LONG, _HOT_ROWS = 256, 1 << 20, 16_384
+_SEVERAL = 1 << 24
 _START, _HOT = 0x7FFFFFFF, 1 << 8
 
 
@@ -84,6 +87,19 @@ def _firsts(keys: tuple[np.ndarray, ...], doc: np.ndarray) -> np.ndarray:
     return out
 
 
+def _equal(keys: tuple[np.ndarray, ...], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, new): rows sorted by keys and place, and where rows of other keys begin."""
+    order = np.lexsort((at, *keys))
+    new = np.concatenate(([True], np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0))) if len(order) else np.zeros(0, bool)
+    return order, new
+
+
+def _digests(text: bytes, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """(low, high): 128 bits of hash of each phrase."""
+    each = b"".join([xxhash.xxh3_128_digest(text[x:y]) for x, y in zip(first.tolist(), end.tolist(), strict=True)])
+    return np.frombuffer(each, np.int64).reshape(-1, 2).T
+
+
 def _runs(doc: np.ndarray, mark: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows at which runs of touching ranges of one text begin, and end."""
     new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1]) | (first[1:] > end[:-1]) | (first[1:] < first[:-1])))
@@ -105,41 +121,51 @@ def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 
 def _phrases(texts: DataFrame, length: int, section: int, hot: np.ndarray) -> DataFrame:
-    """(key, place, did, mark): the phrases of all texts, packed, as they are most of what goes through a shuffle.
-
-    key: 48 bits of the trigger's hash and 16 of the phrase's; place: 24 more bits
-    of the phrase's hash, 31 of its start, 1 for a hot trigger and 8 of its length.
-
-    Of equal phrases in one batch only those of the smallest id go on; the others
-    are known to repeat, and go on as merged spans under a key of their own, with
-    0 for the length and that of the span in place of the phrase's hash. So a text
-    that makes up a third of all rows is a few rows for each batch.
+    """(key, place, did, mark, low, rest): the phrases of all texts, packed, as they are most of what goes through a shuffle.
+
+    A phrase is known by 128 bits of hash of its bytes. key: 48 bits of the
+    trigger's hash and 16 of the phrase's; place: 24 more bits of the phrase's
+    hash, 31 of its start, 1 for a hot trigger and 8 of its length; low: 64 more;
+    rest: the last 24, and 1 where the document holds the phrase more than once.
+
+    Of equal phrases of one document only the first goes on: what is found out
+    about it holds for all of them (_others()), and a run of one character is one
+    row. Of equal phrases in one batch only those of the smallest id go on; the
+    others are known to repeat, and go on as merged spans under a key of their own,
+    with 0 for the length and that of the span in place of the phrase's hash. So a
+    text that makes up a third of all rows is a few rows for each batch.
     """
-    names = ["key", "place", "did", "mark"]
+    names = ["key", "place", "did", "mark", "low", "rest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh64_intdigest
         for batch in batches:
-            trigger, phrase, did, first, end, mark = [], [], [], [], [], []
-            for i, m, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2)), strict=True):
+            trigger, phrase, did, first, end, mark, row = [], [], [], [], [], [], []
+            for r, (i, m, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2)), strict=True)):
                 a, b, t = parse(text, length, section)
                 trigger.append(t)
-                phrase.append(np.array([digest(text[x:y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)], np.uint64).view(np.int64))
-                did.append(np.full(len(a), i, np.int64))
+                phrase.append(_digests(text, a, b))
                 first.append(a)
                 end.append(b)
-                mark.append(np.full(len(a), m, np.int64))
-            t, p, d, a, b, m = (_join(x) for x in (trigger, phrase, did, first, end, mark))
-            open_ = _firsts((p, t), d)
-            key = (t & ~0xFFFF) | (p & 0xFFFF)
-            place = (p >> 16 << 40) | a << 9 | np.where(_among(t >> 16, hot), _HOT, 0)
-            yield _batch(names, [key[open_], (place | b - a)[open_], d[open_], m[open_]])
+                for out, value in ((did, i), (mark, m), (row, r)):
+                    out.append(np.full(len(a), value, np.int64))
+            t, d, a, b, m, r = (_join(x) for x in (trigger, did, first, end, mark, row))
+            low, high = np.concatenate(phrase, axis=1) if phrase else np.zeros((2, 0), np.int64)
+            open_ = _firsts((low, high, t), d)
+            chosen = np.flatnonzero(open_)
+            order, new = _equal((r[chosen], low[chosen], high[chosen], t[chosen]), a[chosen])
+            one = chosen[order[new]]
+            several = np.diff(np.append(np.flatnonzero(new), len(order))) > 1
+            key = (t & ~0xFFFF) | (high & 0xFFFF)
+            place = (high >> 16 << 40) | a << 9 | np.where(_among(t >> 16, hot), _HOT, 0)
+            rest = (high >> 40 & 0xFFFFFF)[one] | np.where(several, _SEVERAL, 0)
+            yield _batch(names, [key[one], (place | b - a)[one], d[one], m[one], low[one], rest])
             d, m, a, b = (x[~open_] for x in (d, m, a, b))
             if len(d):
                 new, last = _runs(d, m, a, b)
                 size = b[last] - a[new]
                 spread = ((d[new] * 0x9E3779B9) ^ (a[new] << 20)) << 16
-                yield _batch(names, [spread | size & 0xFFFF, size >> 16 << 40 | a[new] << 9, d[new], m[new]])
+                none = np.zeros(len(new), np.int64)
+                yield _batch(names, [spread | size & 0xFFFF, size >> 16 << 40 | a[new] << 9, d[new], m[new], none, none])
 
     return texts.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
@@ -155,7 +181,7 @@ _SIZE = "if(place & 255 = 0, shiftleft(shiftright(place, 40) & 16777215, 16) + (
 def _hot_triggers(texts: DataFrame, length: int, section: int) -> np.ndarray:
     """Triggers that a few tasks can't be left alone with: at most four for each shuffle partition, whatever the input is."""
     tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    few = texts.filter(F.pmod(F.xxhash64("did", "mark", F.lit(3)), F.lit(_EVERY)) == 0)
+    few = texts.filter((F.pmod(F.xxhash64("did", "mark", F.lit(3)), F.lit(_EVERY)) == 0) | (F.octet_length("text") >= _LONG))
     counts = cut(_phrases(few, length, section, np.zeros(0, np.int64)).filter(~F.expr(_KNOWN)).groupBy(F.expr(_TRIGGER).alias("trigger")).count())
     total = counts.agg(F.sum("count")).first()[0] or 0
     least = max(total / (4 * tasks), _HOT_ROWS / _EVERY)
@@ -254,15 +280,39 @@ def _repeats(dictionary: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(run, "did long, mark long, start long, end long")
 
 
-def _cut_out(rows: DataFrame, id_type: str) -> DataFrame:
+def _others(text: bytes, spans: list[tuple[int, int]], length: int, section: int) -> list[tuple[int, int]]:
+    """The spans, and those of the same strings in phrases that equal earlier ones of the text."""
+    n = len(text) - length + 1
+    steps = np.zeros(n + 1, np.int64)
+    for a, b in spans:
+        steps[a] += 1
+        steps[b - length + 1] -= 1
+    gone = np.cumsum(steps[:n]) > 0  # strings by their first byte
+    first, end, _ = parse(text, length, section)
+    low, high = _digests(text, first, end)
+    order, new = _equal((low, high), first)
+    model = first[order[np.flatnonzero(new)[np.cumsum(new) - 1]]]
+    here, count = first[order], (end - first - length + 1)[order]
+    later = ~new
+    here, model, count = here[later], model[later], count[later]
+    i = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    again = np.repeat(model, count) + i
+    gone[(np.repeat(here, count) + i)[gone[again]]] = True
+    edge = np.diff(np.concatenate(([0], gone.astype(np.int8), [0])))
+    return list(zip(np.flatnonzero(edge == 1).tolist(), (np.flatnonzero(edge == -1) - 1 + length).tolist(), strict=True))
+
+
+def _cut_out(rows: DataFrame, id_type: str, length: int, section: int) -> DataFrame:
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_bytes, spans, kept = [], [], []
-            for text, found in zip(as_bytes(batch.column("text")), batch.column("found").to_pylist(), strict=True):
+            for text, found, several in zip(as_bytes(batch.column("text")), batch.column("found").to_pylist(), batch.column("several").to_pylist(), strict=True):
                 merged: list[list[int]] = []
-                for a, b in sorted((x["start"], x["end"]) for x in found or ()):
+                known = [(x["start"], x["end"]) for x in found or () if x["end"]]
+                known = _others(text, known, length, section) if several and known else known
+                for a, b in sorted(known):
                     if merged and a <= merged[-1][1]:
                         merged[-1][1] = max(b, merged[-1][1])
                     else:
@@ -295,12 +345,13 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A byte goes when it lies in a string of `length` bytes that also starts in a
     document of a smaller id; strings overlap, never cross documents, and are
-    judged on the input. Ids are integers under 2^63 - 1, which stands for null.
+    judged on the input. Ids are integers under 2^63 - 1, which stands for null;
+    ids of another type are refused.
 
     Texts are parsed into phrases at triggers that depend on content alone, so
     equal strings lie in phrases of equal triggers, and only phrases go through
     the shuffle, about one for 15 bytes. A phrase that equals one of a smaller id
-    repeats as a whole. Phrases that share a trigger but differ (a repeat begins or
+    in 128 bits of hash repeats as a whole. Phrases that share a trigger but differ (a repeat begins or
     ends in them) are the dictionary: its suffixes are sorted by their bytes, and
     of equal ones all but those of the smallest id repeat. Phrases overlap, so that
     a suffix as long as a string never runs into the next phrase: where the order
@@ -323,6 +374,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     source = fill_partitions(id_and_text(docs, id_col, text_col))
     id_type = dict(source.dtypes)["doc_id"]
+    if id_type not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"ids must be integers, not {id_type}")
     plain = source.groupBy("doc_id").count().filter("doc_id is null or count > 1").isEmpty()
     mark = F.lit(0).cast("long") if plain else F.xxhash64(F.coalesce("text", F.lit("")))
     texts = source.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("did"), mark.alias("mark"), "text")
@@ -330,13 +383,14 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # Rows cross the shuffle packed and are taken apart behind it.
     packed = _phrases(texts, length, section, _hot_triggers(texts, length, section)).repartition(F.expr(_TRIGGER), F.expr(_PART))
-    phrases = packed.selectExpr(f"{_TRIGGER} as trigger", f"{_PART} as part", f"{_PHRASE} as phrase", "place", "did", "mark", f"({_FIRST}) + {_SIZE} as end")
-    least = F.min("did").over(Window.partitionBy("trigger", "part", "phrase"))
+    phrases = packed.selectExpr(f"{_TRIGGER} as trigger", f"{_PART} as part", f"{_PHRASE} as phrase", "low", f"rest & {_SEVERAL - 1} as rest", f"rest & {_SEVERAL} <> 0 as several", "place", "did", "mark", f"({_FIRST}) + {_SIZE} as end")
+    digest = ["phrase", "low", "rest"]
+    least = F.min("did").over(Window.partitionBy("trigger", "part", *digest))
     by_trigger = Window.partitionBy("trigger", "part")
-    mixed = F.min("phrase").over(by_trigger) != F.max("phrase").over(by_trigger)
+    mixed = reduce(or_, (F.min(c).over(by_trigger) != F.max(c).over(by_trigger) for c in digest))
     seen = phrases.withColumn("least", least).withColumn("mixed", mixed)
     whole = F.expr(f"{_KNOWN} or least < did")
-    seen = seen.filter(whole | F.expr(f"mixed or {_IS_HOT}")).select("did", "mark", "place", "end", F.when(~whole, F.col("trigger")).alias("trigger"))
+    seen = seen.filter(whole | F.expr(f"mixed or {_IS_HOT}")).select("did", "mark", "place", "end", "several", F.when(~whole, F.col("trigger")).alias("trigger"))
     path = f"{shared_folder(spark)}/phrases-{uuid.uuid4().hex}"
     with _shuffle_files_removed(spark):
         seen.write.parquet(path)
@@ -345,6 +399,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     seen = seen if plain else seen.distinct()
     open_ = seen.filter("trigger is not null").groupBy(*keys).agg(F.collect_list(F.struct("trigger", "place")).alias("open"))
     strings = _repeats(_contexts(texts.join(open_, keys).select("did", "mark", "text", "open"), length), length)
-    found = seen.filter("trigger is null").select("did", "mark", F.expr(_FIRST).alias("start"), "end").unionByName(strings if plain else strings.distinct())
-    spans = found.groupBy(*keys).agg(F.collect_list(F.struct("start", "end")).alias("found"))
-    return _cut_out(texts.join(spans, keys, "left").select("did", "text", "found"), id_type)
+    # A phrase that a document holds several times leaves a mark also where it is still open: an empty span.
+    known = seen.filter("trigger is null or several").select("did", "mark", F.expr(f"if(trigger is null, {_FIRST}, 0)").alias("start"), F.expr("if(trigger is null, end, 0)").alias("end"), "several")
+    found = known.unionByName((strings if plain else strings.distinct()).withColumn("several", F.lit(False)))
+    spans = found.groupBy(*keys).agg(F.collect_list(F.struct("start", "end")).alias("found"), F.max("several").alias("several"))
+    return _cut_out(texts.join(spans, keys, "left").select("did", "text", "found", "several"), id_type, length, section)

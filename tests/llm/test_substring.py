@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.llm import substring_dedup as module
@@ -81,3 +82,26 @@ def test_hot_triggers(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "did long, text string").select("did", F.lit(0).cast("long").alias("mark"), "text")
     assert len(module._hot_triggers(docs, 50, module.SECTION)) > 0
     assert run(spark, rows) == brute(rows)
+
+
+def test_phrases_that_share_bits_of_their_hash(spark):
+    """Two phrases of one trigger that agree in 40 bits of a 64-bit hash: no string of 50 bytes is shared, so nothing goes."""
+    rows = [(1, "orqdtqyuibjisoiqjtoppxqcxkvuokejhlpfwxoahcndpduitp"), (2, "lvhufzoelxlezazlcalubdnswjilwiejhlpfwxoahcndpduitp")]
+    assert [r[2] for r in run(spark, rows)] == [[], []]
+    assert run(spark, rows) == brute(rows)
+
+
+def test_equal_phrases_of_a_document_are_one_row(spark):
+    docs = spark.createDataFrame([(1, 0, "a" * 1_000_000), (2, 0, "a" * 1_000_000 + "b"), (3, 0, "ab" * 100_000)], "did long, mark long, text string").repartition(3)
+    assert module._phrases(docs, 50, module.SECTION, module.np.zeros(0, module.np.int64)).count() < 2_000
+    rng = random.Random(7)
+    unit = ["x" * 120, "ab" * 60, "the same sentence once more, and then again. ", "\x00" * 55]
+    rows = [(i, "".join(rng.choice(unit) + rng.choice(["", "-", str(i)]) for _ in range(rng.randint(1, 9)))) for i in range(60)]
+    rows += [(70, "a" * 2_000), (71, "b" + "a" * 3_000 + "c"), (None, "a" * 60), (71, "ab" * 300), (72, "xab" + "ab" * 200)]
+    assert run(spark, rows) == brute(rows)
+    assert run(spark, rows, section=64) == brute(rows)
+
+
+def test_ids_that_are_not_integers_are_refused(spark):
+    with pytest.raises(ValueError):
+        substring_dedup(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
