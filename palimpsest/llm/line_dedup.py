@@ -191,7 +191,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = found if plain else found.dropDuplicates(["doc_id", "mark", "key"])
     holders = found if plain else found.select("key", "doc_id").distinct()
     holder = F.max("doc_id") if keep == "largest" else F.min("doc_id")
-    decided = holders.groupBy("key").agg(F.count(F.lit(1)).alias("n"), holder.alias("holder")).filter(F.col("n") >= least_docs).select("key", "holder")
+    # Written first: a side that is aggregated in the stage of the join would keep it from being split.
+    decided = cut(holders.groupBy("key").agg(F.count(F.lit(1)).alias("n"), holder.alias("holder")).filter(F.col("n") >= least_docs).select("key", "holder"))
     gone = found.join(decided, "key").filter("not (doc_id <=> holder)")
     gone = gone.groupBy(F.col("doc_id").alias("id"), F.col("mark").alias("id_mark")).agg(F.flatten(F.collect_list("lines")).alias("gone"))
     rows = texts.join(gone, texts["doc_id"].eqNullSafe(gone["id"]) & (texts["mark"] == gone["id_mark"]), "left")
