@@ -93,11 +93,12 @@ def emerging_patterns(spark, d):
     return report.emerging_patterns(found, tables.patterns(found), WEEK_BEFORE, WEEK)
 
 
-@query(""", a AS (SELECT user_id, count(DISTINCT episode_id) AS n FROM q GROUP BY 1), t AS (SELECT count(DISTINCT episode_id) AS n FROM q)
-    SELECT 'person_' || user_id AS person, a.n AS previous_episodes, floor(a.n * 1000.0 / t.n + 0.5) / 10.0 AS previous_share
-    FROM a, t WHERE user_id NOT IN (SELECT user_id FROM w) AND floor(a.n * 1000.0 / t.n + 0.5) / 10.0 > 0""")
+@query(""", a AS (SELECT 'person_' || user_id || '_' || type AS person, count(DISTINCT episode_id) AS n FROM q GROUP BY 1), t AS (SELECT count(DISTINCT episode_id) AS n FROM q)
+    SELECT person, a.n AS previous_episodes, floor(a.n * 1000.0 / t.n + 0.5) / 10.0 AS previous_share
+    FROM a, t WHERE person NOT IN (SELECT 'person_' || user_id || '_' || type FROM w) AND floor(a.n * 1000.0 / t.n + 0.5) / 10.0 > 0""")
 def disappearing_people(spark, d):
-    as_pattern = lambda rows: rows.drop("pattern_id").withColumnRenamed("person", "pattern_id")
+    """People by the kind of what they did, of one week, whom the next one doesn't have."""
+    as_pattern = lambda rows: rows.withColumn("pattern_id", F.concat("person", F.lit("_"), "type"))
     return report.disappearing_patterns(as_pattern(_week(spark, d)), as_pattern(_previous(spark, d))).withColumnRenamed("pattern_id", "person")
 
 
@@ -246,13 +247,14 @@ def environments(spark, d):
 _DUE = """, c AS (SELECT 'WEEKLY' AS t, date_trunc('week', TIMESTAMP '2024-02-01') - to_days(CAST(7 * i AS INT)) AS s, date_trunc('week', TIMESTAMP '2024-02-01') - to_days(CAST(7 * (i - 1) AS INT)) AS e, 1 AS grace FROM range(1, 7) r(i)
     UNION ALL SELECT 'MONTHLY', TIMESTAMP '2024-02-01' - to_months(CAST(i AS INT)), TIMESTAMP '2024-02-01' - to_months(CAST(i - 1 AS INT)), 3 FROM range(1, 7) r(i)
     UNION ALL SELECT 'QUARTERLY', TIMESTAMP '2024-01-01' - to_months(CAST(3 * i AS INT)), TIMESTAMP '2024-01-01' - to_months(CAST(3 * (i - 1) AS INT)), 3 FROM range(1, 7) r(i)),
-    x AS (SELECT * FROM c WHERE e + to_days(grace) <= TIMESTAMP '2024-02-01' AND NOT (t = 'WEEKLY' AND s = TIMESTAMP '2024-01-15'))"""
+    x AS (SELECT * FROM c WHERE e + to_days(grace) <= TIMESTAMP '2024-02-01' AND NOT (t = 'WEEKLY' AND s IN (SELECT date_trunc('week', occurred_at) FROM f WHERE user_id = 5 AND type = 'purchase')))"""
 
 
 @query(_DUE + " SELECT t AS report_type, s AS period_start, e AS period_end FROM x ORDER BY e DESC, e - s DESC, s DESC LIMIT 4")
 def catchup_windows(spark, d):
-    done = spark.createDataFrame([("WEEKLY", "2024-01-15")], "report_type string, s string").select("report_type", F.col("s").cast("timestamp").alias("period_start"))
-    return report.reports_due(spark, NOW, done)
+    """Windows still to be reported on; the weeks in which a user bought something have their reports."""
+    weeks = _found(spark, d).filter("user_id = 5 and type = 'purchase'").select(F.date_trunc("week", "occurred_at").cast("timestamp").alias("period_start")).distinct()
+    return report.reports_due(spark, NOW, weeks.select(F.lit("WEEKLY").alias("report_type"), "period_start"))
 
 
 @query(" SELECT episode_id, event_date, count(*) AS findings, arg_min(node_id, (occurred_at, node_id)) AS first_finding FROM w GROUP BY 1, 2")

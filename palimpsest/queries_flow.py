@@ -38,11 +38,13 @@ def _records(spark, d):
 # Scans and reads
 
 
-@query(""", r AS (SELECT 'rep_' || i AS node_id, 'WEEKLY' AS report_type, DATE '2024-01-01' + CAST(7 * (i % 4) AS INT) AS period_start, TIMESTAMP '2024-03-01' + to_hours(CAST(i AS INT)) AS created_at FROM range(0, 40) t(i))
-    SELECT node_id FROM r WHERE period_start = DATE '2024-01-08' ORDER BY created_at DESC LIMIT 5""")
+@query(""", r AS (SELECT 'rep_' || pattern_id || '_' || strftime(date_trunc('week', occurred_at), '%Y_%m_%d') AS node_id, 'WEEKLY' AS report_type, CAST(date_trunc('week', occurred_at) AS DATE) AS period_start, max(occurred_at) AS created_at FROM f GROUP BY 1, 2, 3)
+    SELECT node_id FROM r WHERE period_start = DATE '2024-01-08' ORDER BY created_at DESC, node_id LIMIT 5""")
 def report_scan(spark, d):
-    i = _c("id").cast("int")
-    reports = spark.range(40).select(F.concat(F.lit("rep_"), "id").alias("node_id"), F.lit("WEEKLY").alias("report_type"), F.date_add(F.lit("2024-01-01").cast("date"), (i % 4) * 7).alias("period_start"), F.timestamp_add("HOUR", i, F.lit("2024-03-01").cast("timestamp")).alias("created_at"))
+    """One report for each pattern and week with findings, written when the last of them came in."""
+    start = F.date_trunc("week", "occurred_at")
+    made = _found(spark, d).groupBy("pattern_id", start.alias("start")).agg(F.max("occurred_at").alias("created_at"))
+    reports = made.select(F.concat(F.lit("rep_"), "pattern_id", F.date_format("start", "_yyyy_MM_dd")).alias("node_id"), F.lit("WEEKLY").alias("report_type"), _c("start").cast("date").alias("period_start"), "created_at")
     keep = scans.listing_filter(equal={"type": (_c("report_type"), "WEEKLY"), "start": (_c("period_start"), WEEK)})
     return scans.page(reports.filter(keep), "created_at", 5).select("node_id")
 
@@ -338,12 +340,11 @@ def context_assembly(spark, d):
     return retrieval.assemble(rows, {"CALM": 40, "LOW": 20}, alert_tokens=5)
 
 
-@query(_STRUCT + " SELECT pos, CASE WHEN pos % 2 = 0 THEN 'answer_' || pos ELSE 'none' END AS answer FROM range(0, 20) t(pos)")
+@query("SELECT doc_id AS pos, coalesce((SELECT arg_min(event_type, event_id) FROM events WHERE user_id * 7 = doc_id), 'none') AS answer FROM documents", base=False)
 def aligned_answers(spark, d):
-    """Answers matched to items by their number; repeated ones don't count, gaps get the fallback."""
-    i = _c("id")
-    answers = spark.range(40).filter("id % 20 % 2 = 0").select((i % 20).alias("index"), F.concat(F.when(i < 20, "answer_").otherwise("second_"), i % 20).alias("answer"), i.alias("seq"))
-    return ranking.align(spark.range(20).select(i.alias("pos")), answers, F.lit("none"))
+    """Events as answers to documents by a number: the first for each counts, gaps get the fallback."""
+    answers = tables.read(spark, d, "events").select((_c("user_id") * 7).alias("index"), _c("event_type").alias("answer"), _c("event_id").alias("seq"))
+    return ranking.align(tables.read(spark, d, "documents").select(_c("doc_id").alias("pos")), answers, F.lit("none"))
 
 
 @query("WITH b AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id = 7), s AS (SELECT a.vec_id, " + _COS + " AS s FROM embeddings a, b WHERE a.vec_id % 2 = 0) SELECT 'vec_' || vec_id AS node_id, floor(1.3 * s * 1e5 + 0.5) / 1e5 AS rank_score FROM s WHERE s >= 0.1", base=False)
@@ -461,28 +462,52 @@ def composed_edges(spark, d):
 # Extraction
 
 
-@query(""", x AS (SELECT *, CASE WHEN event_id % 7 = 0 THEN ' ' ELSE type END AS summary, CASE WHEN event_id % 5 = 0 THEN 'LOUD' ELSE lower(signal_strength) END AS signal FROM w)
-    SELECT node_id, CASE WHEN trim(summary) = '' THEN 'EMPTY_CONTENT' WHEN signal = 'LOUD' THEN 'UNKNOWN_ENUM_VALUE' END AS rule, CASE WHEN event_id % 2 = 0 THEN 'Ann' ELSE '' END AS people, event_id % 3 > 0 AS grounded FROM x""")
+def _flat(x: str) -> str:
+    return f"' ' || trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g')) || ' '"
+
+
+def _mentions(x: str) -> str:
+    """Whether `text` has x as whole words, in SQL."""
+    return f"(trim({_flat(x)}) <> '' AND contains({_flat('text')}, {_flat(x)}))"
+
+
+_READ = f"""WITH x AS (SELECT doc_id, text, source, CASE WHEN doc_id % 7 = 0 THEN ' ' ELSE source END AS summary, CASE WHEN n_chars % 5 = 0 THEN 'loud' ELSE ' high' END AS signal, trim(split_part(text, ' ', 1)) AS n1, trim(source) AS n2,
+      trim(CASE WHEN doc_id % 3 > 0 THEN substr(text, 11, 30) ELSE substr(text, 11, 30) || 'zq zq' END) AS quote, CASE WHEN doc_id % 4 > 0 THEN lang ELSE ' ' END AS context, CASE WHEN doc_id % 2 = 0 THEN split_part(text, ' ', 2) END AS emotion,
+      CASE WHEN doc_id % 3 = 0 THEN substr(text, 5, 25) WHEN doc_id % 3 = 1 THEN substr(text, 5, 25) || 'zq' END AS felt FROM documents),
+    ev AS (SELECT doc_id, CASE WHEN trim(coalesce(summary, '')) = '' THEN 'EMPTY_CONTENT' WHEN signal = 'loud' THEN 'UNKNOWN_ENUM_VALUE' END AS rule, array_to_string(list_concat(CASE WHEN n1 <> '' AND {_mentions('n1')} THEN [n1] ELSE [] END, CASE WHEN n2 <> '' AND n2 <> n1 AND {_mentions('n2')} THEN [n2] ELSE [] END), ',') AS people,
+      quote = '' OR {_mentions('quote')} AS grounded FROM x),
+    cap AS (SELECT doc_id AS entry_id, 'CONTEXT' AS type, CASE WHEN trim(context) <> '' THEN trim(context) END AS content, CASE WHEN trim(context) = '' THEN 'EMPTY_CONTENT' END AS rule FROM x
+      UNION ALL SELECT doc_id, 'EMOTION', CASE WHEN ok THEN trim(emotion) END, CASE WHEN NOT ok THEN 'QUOTE_NOT_FOUND' END FROM (SELECT *, trim(coalesce(felt, '')) <> '' AND coalesce({_mentions('felt')}, false) AS ok FROM x) WHERE trim(coalesce(emotion, '')) <> '')"""
+
+
+def _read_documents(spark, d):
+    """The documents as entries with what a reading of them might say: quotes and names out of their own texts, some of them changed."""
+    e, t = _c("doc_id"), _c("text")
+    part = F.substring(t, 5, 25)
+    return tables.read(spark, d, "documents").select(
+        "doc_id", "text", F.when(e % 7 == 0, " ").otherwise(_c("source")).alias("summary"), F.when(_c("n_chars") % 5 == 0, "loud").otherwise(" high").alias("signal_strength"), F.array(F.split_part(t, F.lit(" "), F.lit(1)), "source").alias("people"),
+        F.array(F.when(e % 3 > 0, F.substring(t, 11, 30)).otherwise(F.concat(F.substring(t, 11, 30), F.lit("zq zq"))), F.lit(" ")).alias("quotes"), F.when(e % 4 > 0, _c("lang")).otherwise(" ").alias("context"), F.when(e % 2 == 0, F.split_part(t, F.lit(" "), F.lit(2))).alias("emotion"),
+        F.when(e % 3 == 0, part).when(e % 3 == 1, F.concat(part, F.lit("zq"))).alias("emotion_quote"),
+    )
+
+
+@query(_READ + " SELECT * FROM ev", base=False)
 def validated_events(spark, d):
-    e = _c("event_id")
-    quotes = F.when(e % 3 > 0, F.array(F.lit("met ANN"), F.lit(" "))).otherwise(F.array(F.lit("never said")))
-    rows = _week(spark, d).select("node_id", F.when(e % 7 == 0, " ").otherwise(_c("type")).alias("summary"), F.when(e % 5 == 0, "LOUD").otherwise(F.lower("signal_strength")).alias("signal_strength"), F.when(e % 2 == 0, F.array(F.lit("Ann"), F.lit("Ann "), F.lit("Bob"))).otherwise(F.array(F.lit("Bob"))).alias("people"), quotes.alias("quotes"), F.lit("Today I met Ann-Marie.").alias("text"))
-    return extraction.validate_events(rows).select("node_id", "rule", F.array_join("people", ",").alias("people"), "grounded")
+    return extraction.validate_events(_read_documents(spark, d)).select("doc_id", "rule", F.array_join("people", ",").alias("people"), "grounded")
 
 
-@query(""" SELECT node_id AS entry_id, 'CONTEXT' AS type, CASE WHEN event_id % 4 > 0 THEN type END AS content, CASE WHEN event_id % 4 = 0 THEN 'EMPTY_CONTENT' END AS rule FROM w
-    UNION ALL SELECT node_id, 'EMOTION', CASE WHEN event_id % 3 = 0 THEN 'tired' END, CASE WHEN event_id % 3 > 0 THEN 'QUOTE_NOT_FOUND' END FROM w WHERE event_id % 2 = 0""")
+@query(_READ + " SELECT * FROM cap", base=False)
 def thin_captures(spark, d):
-    e = _c("event_id")
-    rows = _week(spark, d).select(_c("node_id").alias("entry_id"), F.when(e % 4 > 0, _c("type")).otherwise(" ").alias("context"), F.when(e % 2 == 0, " tired").alias("emotion"), F.when(e % 3 == 0, "so tired").when(e % 3 == 1, "exhausted").alias("emotion_quote"), F.lit("I am so tired today").alias("text"))
-    return extraction.raw_captures(rows)
+    return extraction.raw_captures(_read_documents(spark, d).withColumnRenamed("doc_id", "entry_id"))
 
 
-@query(""" SELECT node_id, CASE WHEN event_id % 5 = 0 THEN 'ASSISTANT' WHEN event_id % 2 = 0 THEN 'CO_CREATED' ELSE 'USER_GENERATED' END AS provenance FROM w""")
+@query(f"""WITH x AS (SELECT doc_id, text, CASE WHEN doc_id % 2 = 0 THEN substr(text, 3, 12) ELSE 'qzqz ' || lang END AS said FROM documents)
+    SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'ASSISTANT' WHEN trim(said) <> '' AND {_mentions('said')} THEN 'CO_CREATED' ELSE 'USER_GENERATED' END AS provenance FROM x""", base=False)
 def credited_findings(spark, d):
-    e = _c("event_id")
-    content = F.when(e % 2 == 0, "I am Building, a safer self").otherwise("something of my own")
-    return _week(spark, d).select("node_id", extraction.credited(F.when(e % 5 == 0, "ASSISTANT").otherwise("USER_GENERATED"), content, F.array(F.lit("building a safer"), F.lit(""))).alias("provenance"))
+    """Documents credited by wording out of half of them."""
+    e = _c("doc_id")
+    adopted = F.array(F.when(e % 2 == 0, F.substring("text", 3, 12)).otherwise(F.concat(F.lit("qzqz "), "lang")), F.lit(""))
+    return tables.read(spark, d, "documents").select("doc_id", extraction.credited(F.when(e % 5 == 0, "ASSISTANT").otherwise("USER_GENERATED"), _c("text"), adopted).alias("provenance"))
 
 
 @query(" SELECT episode_id, CASE WHEN user_id % 7 = 0 OR bool_or(type = 'purchase') THEN 'SUSPENDED' ELSE 'COMPLETE' END AS status FROM w GROUP BY episode_id, user_id")
@@ -491,11 +516,12 @@ def episode_states(spark, d):
     return e.select("episode_id", extraction.episode_status(_c("user_id") % 7 == 0, F.lit(None).cast("boolean"), _c("held")).alias("status"))
 
 
-@query(" SELECT rule, rule IN ('UNKNOWN_TYPE', 'UNKNOWN_ENUM_VALUE', 'SIGNAL_FLOOR', 'UNKNOWN_STEP_TYPE', 'EMPTY_CONTENT') AS again, count(*) AS n FROM (SELECT ['UNKNOWN_TYPE', 'QUOTE_NOT_FOUND', 'SIGNAL_FLOOR', 'EMPTY_CONTENT', 'EXCLUDED_TYPE'][event_id % 5 + 1] AS rule FROM w) GROUP BY 1, 2")
+@query(_READ + ", r AS (SELECT rule FROM ev UNION ALL SELECT rule FROM cap) SELECT rule, rule IN ('UNKNOWN_TYPE', 'UNKNOWN_ENUM_VALUE', 'SIGNAL_FLOOR', 'UNKNOWN_STEP_TYPE', 'EMPTY_CONTENT') AS again, count(*) AS n FROM r WHERE rule IS NOT NULL GROUP BY 1, 2", base=False)
 def retryable_rules(spark, d):
-    rules = F.array(*[F.lit(x) for x in ("UNKNOWN_TYPE", "QUOTE_NOT_FOUND", "SIGNAL_FLOOR", "EMPTY_CONTENT", "EXCLUDED_TYPE")])
-    rows = _week(spark, d).select(F.element_at(rules, (_c("event_id") % 5 + 1).cast("int")).alias("rule"))
-    return rows.groupBy("rule", extraction.retryable(_c("rule")).alias("again")).agg(F.count(F.lit(1)).alias("n"))
+    """The rules that the documents' readings broke, by whether they are worth asking about again."""
+    rows = _read_documents(spark, d)
+    rules = extraction.validate_events(rows).select("rule").union(extraction.raw_captures(rows.withColumnRenamed("doc_id", "entry_id")).select("rule"))
+    return rules.filter("rule is not null").groupBy("rule", extraction.retryable(_c("rule")).alias("again")).agg(F.count(F.lit(1)).alias("n"))
 
 
 # Text, time, jobs and erasure
@@ -525,11 +551,10 @@ def edge_kinds(spark, d):
     return edges.groupBy("edge_type", ids.edge_target_kind(_c("edge_type")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(r"SELECT doc_id, trim(regexp_replace('a' || chr(10) || chr(10) || chr(10) || 'b ' || lang, '\n{3,}', chr(10) || chr(10), 'g')) AS body FROM documents", base=False)
+@query(r"SELECT doc_id, CASE WHEN contains(text, '.') THEN regexp_replace(regexp_replace(replace(text, '.', ''), '\n{3,}', chr(10) || chr(10), 'g'), '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g') ELSE text END AS body FROM documents", base=False)
 def unmarked_texts(spark, d):
-    """A marker token between blank lines goes, and the lines it leaves are tidied."""
-    marked = F.concat(F.lit("a\n\n[MARK]\nb "), "lang")
-    return tables.read(spark, d, "documents").select("doc_id", text.without_marker(marked, "[MARK]").alias("body"))
+    """The documents without full stops, as a marker that goes, and the lines it leaves tidied."""
+    return tables.read(spark, d, "documents").select("doc_id", text.without_marker(_c("text"), ".").alias("body"))
 
 
 @query(" SELECT user_id AS job FROM f GROUP BY 1 HAVING max(occurred_at) + INTERVAL 3 DAY <= TIMESTAMP '2024-02-03'")

@@ -88,12 +88,16 @@ def search_targets(spark, d):
     return glue.searchable(pick("type not in ('click', 'signup')", "content"), pick("type = 'click'", "event_summary"), pick("type = 'signup'", "summary"))
 
 
-@query("""WITH t AS (SELECT i AS turn_id FROM range(0, 30) r(i)) SELECT turn_id, CASE WHEN turn_id % 3 = 0 THEN CASE WHEN turn_id % 2 = 0 THEN 'From the turn before:' ELSE 'What is known:' END || chr(10) || '- a' || turn_id || chr(10) || '- b'
-    WHEN turn_id % 5 = 0 THEN 'Nothing could be looked up.' ELSE '' END || CASE WHEN turn_id % 7 = 0 THEN CASE WHEN turn_id % 3 = 0 OR turn_id % 5 = 0 THEN chr(10) ELSE '' END || 'watch out' ELSE '' END AS block FROM t""", base=False)
+@query("""WITH t AS (SELECT conv_id || '-' || turn AS turn_id, conv_id, turn, text FROM conversations WHERE role = 'user'),
+    l AS (SELECT conv_id || '-' || (turn - 1) AS turn_id, '- ' || string_split(text, chr(10))[1] || CASE WHEN len(string_split(text, chr(10))) > 1 THEN chr(10) || '- ' || string_split(text, chr(10))[2] ELSE '' END AS body FROM conversations WHERE role = 'assistant')
+    SELECT turn_id, concat_ws(chr(10), CASE WHEN body IS NOT NULL THEN CASE WHEN turn % 4 = 0 THEN 'From the turn before:' ELSE 'What is known:' END WHEN length(text) % 5 = 0 THEN 'Nothing could be looked up.' END, body, CASE WHEN length(text) % 7 = 0 THEN 'watch out' END) AS block
+    FROM t LEFT JOIN l USING (turn_id)""", base=False)
 def context_blocks(spark, d):
-    i = _c("id")
-    turns = spark.range(30).select(i.alias("turn_id"), (i % 2 == 0).alias("deferred"), (i % 5 == 0).alias("search_failed"), F.when(i % 7 == 0, "watch out").alias("alert"))
-    lines = spark.range(30).filter("id % 3 = 0").select(i.alias("turn_id"), F.explode(F.array(F.struct(F.lit(1).alias("pos"), F.lit("b").alias("line")), F.struct(F.lit(0).alias("pos"), F.concat(F.lit("a"), i.cast("string")).alias("line")))).alias("x")).select("turn_id", "x.*")
+    """What each turn of a user would be given: the first two lines of the answer to it stand for what was found."""
+    t = tables.read(spark, d, "conversations")
+    name, n = lambda turn: F.concat_ws("-", "conv_id", turn), F.char_length("text")
+    turns = t.filter("role = 'user'").select(name(_c("turn")).alias("turn_id"), (_c("turn") % 4 == 0).alias("deferred"), (n % 5 == 0).alias("search_failed"), F.when(n % 7 == 0, "watch out").alias("alert"))
+    lines = t.filter("role = 'assistant'").select(name(_c("turn") - 1).alias("turn_id"), F.posexplode(F.slice(F.split("text", "\n"), 1, 2)).alias("pos", "line"))
     return glue.context_block(lines, turns)
 
 
@@ -140,10 +144,12 @@ def grounded_triggers(spark, d):
     return glue.grounded_triggers(raw, found.filter("user_id % 2 = 0").select(_c("person").alias("node_id")), found.filter("type = 'purchase'")).select("node_id", "grounded")
 
 
-@query(" SELECT said, CASE WHEN said = ' low' THEN 'LOW' WHEN said = 'crisis' THEN 'CRISIS' ELSE 'STABLE' END AS tone, count(*) AS n FROM (SELECT [' low', 'crisis', 'whatever', 'stable'][event_id % 4 + 1] AS said FROM w) GROUP BY 1, 2")
+@query(""" SELECT said, CASE WHEN said = ' crisis' THEN 'CRISIS' WHEN said = 'Elevated ' THEN 'ELEVATED' ELSE 'STABLE' END AS tone, count(*) AS n
+    FROM (SELECT CASE signal_strength WHEN 'CRITICAL' THEN ' crisis' WHEN 'HIGH' THEN 'Elevated ' ELSE type END AS said FROM f) GROUP BY 1, 2""")
 def registers(spark, d):
-    said = F.element_at(F.array(*[F.lit(x) for x in (" low", "crisis", "whatever", "stable")]), (_c("event_id") % 4 + 1).cast("int"))
-    return _week(spark, d).select(said.alias("said")).groupBy("said", glue.register(_c("said")).alias("tone")).agg(F.count(F.lit(1)).alias("n"))
+    """The tone that the weight of each finding says; what isn't a tone is STABLE."""
+    said = F.when(_c("signal_strength") == "CRITICAL", " crisis").when(_c("signal_strength") == "HIGH", "Elevated ").otherwise(_c("type"))
+    return _found(spark, d).select(said.alias("said")).groupBy("said", glue.register(_c("said")).alias("tone")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(" SELECT 'vec_' || event_id AS node_id, event_id IN (SELECT vec_id FROM embeddings) AS has_vector FROM w")
