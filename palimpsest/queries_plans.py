@@ -1,12 +1,17 @@
-"""More of the catalogue: plans of decisions as rows, frozen answers and what a resolution writes."""
+"""More of the catalogue: plans of decisions as rows, frozen answers, what a resolution writes, and an erasure."""
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from palimpsest.plans import write_plan
-from palimpsest.queries import _GATED, _gated, query
-from palimpsest.sources.scratch import cut
+from palimpsest.plans.erasure_run import Erasure
+from palimpsest.queries import _GATED, NOW, _found, _gated, query
+from palimpsest.sources import tables
+from palimpsest.sources.scratch import cut, shared_folder
 
 _c = F.col
 _ACTIONS = ("MERGE", "REINFORCE", "EVOLVE", "BRANCH", "CONTRADICT", "DIALECTIC", "REGULATE", "AMBIGUOUS")
@@ -116,3 +121,41 @@ def resolution_writes(spark, d):
 def closed_questions(spark, d):
     """Held decisions that are dismissed, as no answer would change anything."""
     return write_plan.close(_proposals(spark, d)).select("node_id", "operation")
+
+
+_ERASED = """, m AS (SELECT 'graph' AS step, count(*) FILTER (user_id = 5) AS n, count(*) AS total FROM f UNION ALL SELECT 'index', count(*) FILTER (vec_id % 50 = 5), count(*) FILTER (vec_id % 50 <> 5) FROM embeddings
+    UNION ALL SELECT 'messages', count(*) FILTER (conv_id % 10 = 5), count(*) FROM conversations UNION ALL SELECT 'summaries', count(DISTINCT conv_id) FILTER (conv_id % 10 = 5), count(DISTINCT conv_id) FROM conversations
+    UNION ALL SELECT 'coreference notes', count(DISTINCT conv_id) FILTER (conv_id % 10 = 5 AND role = 'system'), count(DISTINCT conv_id) FILTER (conv_id % 10 <> 5 AND role = 'system') FROM conversations
+    UNION ALL SELECT 'uploads', count(*) FILTER (page_id % 10 = 5), count(*) FROM pages UNION ALL SELECT 'review queue', count(*) FILTER (user_id = 5 AND type = 'error'), count(*) FILTER (type = 'error') FROM f
+    UNION ALL SELECT 'settings', count(DISTINCT type) FILTER (user_id = 5), count(DISTINCT user_id || type) FILTER (user_id <> 5) FROM f)"""
+
+
+@query(_ERASED + " SELECT step, n AS changed, total AS left_over FROM m")
+def erasure_run(spark, d):
+    """A user's erasure over a store made of the tables: what each step changed, and how many rows are there afterwards."""
+    found, t = _found(spark, d), lambda name: tables.read(spark, d, name)
+    talks, pages = t("conversations"), t("pages")
+    session = lambda column: F.concat(F.lit("s"), column).alias("session_id")
+    own = F.concat(F.lit("u"), "user_id").alias("user_id")
+    store = {
+        "nodes": found.select("node_id", _c("type").alias("content"), "person"),
+        "vectors": tables.vectors(spark, d).select("node_id", "embedding"),
+        "messages": talks.select(session(_c("conv_id")), "turn", _c("text").alias("content")),
+        "sessions": talks.groupBy(session(_c("conv_id"))).agg(F.max("text").alias("rolling_summary")),
+        "coreferences": talks.filter("role = 'system'").select(session(_c("conv_id"))).distinct().withColumn("ref", F.lit("he")),
+        "imports": pages.select(session(_c("page_id")), _c("url").alias("title"), _c("url").alias("filename")),
+        "queue": found.filter("type = 'error'").select(own, _c("node_id").alias("context_summary")),
+        "settings": found.select(own, _c("type").alias("name")).distinct(),
+    }
+    root = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    for name, df in store.items():
+        df.withColumn("bucket", F.pmod(F.xxhash64(df.columns[0]), F.lit(4)).cast("int")).write.partitionBy("bucket").parquet(f"{root}/{name}")
+    nodes = found.filter("user_id = 5").select("node_id").union(tables.vectors(spark, d).filter("vec_id % 50 = 5").select("node_id"))
+    sessions = talks.filter("conv_id % 10 = 5").select(session(_c("conv_id"))).union(pages.filter("page_id % 10 = 5").select(session(_c("page_id")))).distinct()
+    sessions = sessions.join(talks.filter("conv_id % 10 <> 5").select(session(_c("conv_id"))), "session_id", "left_anti")
+    users = spark.createDataFrame([("u5",)], "user_id string")
+    run = Erasure(root)
+    run.run(spark, "u5", NOW, {"nodes": nodes, "sessions": sessions, "users": users})
+    done = run.entries(spark).filter("status = 'DONE'").select("step", _c("rows").alias("changed"))
+    left = [spark.read.parquet(f"{root}/{c.folder}").agg(F.count(F.lit(1)).alias("left_over")).select(F.lit(c.name).alias("step"), "left_over") for c in run.contents]
+    return done.join(reduce(lambda a, b: a.unionByName(b), left), "step")
