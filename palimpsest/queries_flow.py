@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import ids, scoring, temporal, text
 from palimpsest.operators import graph, overlap, ranking, reads, scans
 from palimpsest.plans import decisions, erasure, extraction, report, retrieval, writing
-from palimpsest.queries import NEXT_WEEK, NOW, ORACLE_SQL, WEEK, _COS, _STOP, _found, _gated, _GATED, _previous, _score, _vector, _week, query
+from palimpsest.queries import NEXT_WEEK, NOW, WEEK, _COS, _STOP, _found, _gated, _GATED, _previous, _score, _vector, _week, query
 from palimpsest.sources import sinks, tables
 from palimpsest.sources.scratch import cut
 from palimpsest.streaming import sessions
@@ -582,22 +582,6 @@ def ours_only(spark, d):
     return _week(spark, d).withColumn("source", source).filter(_c("source").isin("CHAT", "VOICE") & (_c("signal_strength") == "CRITICAL")).select(_c("pattern_id").alias("node_id")).distinct()
 
 
-_SECTIONS = {
-    "top_patterns": "top_patterns", "pattern_frequency": "pattern_frequency_week", "emerging": "emerging_patterns", "delta": "period_delta", "growth": "growth_candidate", "struggle": "struggle_candidate",
-    "dynamics": "relational_dynamics", "arcs": "relationship_arcs", "high_signal": "high_signal", "environment": "environment_observations", "motifs": "unprocessed_motifs", "lessons": "repeated_lessons",
-    "beliefs": "belief_changes", "open_loops": "unresolved_open_loops", "contradictions": "active_contradictions", "aging": "pattern_aging", "archetypes": "archetype_shift", "shadow": "shadow_scan",
-    "proofs": "proof_chains", "eras": "era_vocabulary", "environments": "environments", "windows": "catchup_windows", "facts": "episode_facts",
-}
-
-
-@query(" UNION ALL ".join(f"SELECT '{section}' AS section, (SELECT count(*) FROM ({ORACLE_SQL[name]})) AS n" for section, name in _SECTIONS.items()), base=False)
-def full_report(spark, d):
-    """Every section of a week's report, with its rows as JSON lines under the section's name, counted."""
-    from palimpsest.queries import QUERIES
-
-    return report.sections({section: QUERIES[name](spark, d) for section, name in _SECTIONS.items()}).groupBy("section").agg(F.count("body").alias("n"))
-
-
 @query(" SELECT 'person_' || user_id AS person, count(DISTINCT episode_id) AS previous_episodes FROM f WHERE event_date < DATE '2024-01-08' AND event_date >= DATE '2024-01-01' AND user_id NOT IN (SELECT user_id FROM f WHERE event_date >= DATE '2024-01-13' AND event_date < DATE '2024-01-14') GROUP BY 1")
 def gone_people(spark, d):
     """People of one week that a single later day doesn't have: as disappearing patterns, with rows to show for it."""
