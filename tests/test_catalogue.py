@@ -8,7 +8,7 @@ import os
 import duckdb
 import pytest
 
-from palimpsest import queries, queries_entries, queries_flow, queries_glue, queries_plans, queries_report, queries_store, queries_streams  # noqa: F401
+from palimpsest import queries, queries_entries, queries_flow, queries_glue, queries_plans, queries_report, queries_standing, queries_store, queries_streams  # noqa: F401
 
 FOLDER = "/root/testdata/sf0.001"
 
