@@ -49,15 +49,26 @@ def by_hash(rows: DataFrame, key: str, total: int, at_most: int) -> DataFrame:
     return rows.filter(F.pmod(F.xxhash64(key, F.lit(7)), F.lit(1 << 30)) < share)
 
 
+def bounded(rows: DataFrame, at_most: int) -> DataFrame:
+    """Rows that a hash of ids chose, thinned again where more than twice as many came: many rows may share an id, or have none.
+
+    What is left doesn't depend on which rows are equal, so a third of all rows
+    under one id, with one text or many, are a part of the sample and not all of it.
+    """
+    n = rows.count()
+    return rows if n <= 2 * at_most else rows.sample(at_most / n, seed=7)
+
+
 def label_sample(docs: DataFrame, labels: DataFrame, label: str, at_most: int) -> DataFrame:
     """(label, text) of labelled documents that aren't held out; docs has doc_id and text.
 
-    The sample is bounded, so its ids can be broadcast to one scan of the documents.
+    The sample is bounded, so its ids can be broadcast to one scan of the documents;
+    and so are its rows, about 2 * at_most of them, whatever ids repeat.
     """
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max(label).alias("label"))
     few = by_hash(known, "doc_id", known.count(), at_most)
-    return docs.join(F.broadcast(few), "doc_id").select("label", "text")
+    return bounded(docs.join(F.broadcast(few), "doc_id").select("label", "text"), at_most)
 
 
 #: Row keys that may be sent to every executor (about 20 MB as rows); more of them are joined by a shuffle.

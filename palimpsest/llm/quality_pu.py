@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import as_bytes, by_hash, fill_partitions, held_out, id_and_text, label_sample
+from palimpsest.llm.common import as_bytes, bounded, by_hash, fill_partitions, held_out, id_and_text, label_sample
 from palimpsest.sources.scratch import cut
 
 _UPPER = bytes(range(65, 91))
@@ -234,14 +234,14 @@ def _matrix(texts: DataFrame, grams: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_positive: int = 20_000, max_unlabelled: int = 20_000) -> Model:
     """Fit on trusted positives (labelled 1, not held out) and unlabelled documents.
 
-    Both samples are bounded, by max_positive and max_unlabelled rows, and taken by
-    a hash of the id. One half of either gives the log ratios of the strings, the
+    Both samples are bounded, by about twice max_positive and max_unlabelled rows,
+    and taken by a hash of the id, rows that repeat an id by chance. One half of either gives the log ratios of the strings, the
     other the features that the rest is fitted on. The class prior is estimated
     from the two samples; of the labels nothing but the positives is used. Without
     any positive, or without documents, every text gets a score of a half.
     """
     trusted = label_sample(docs, labels.filter(F.col(label) == 1), label, max_positive)
-    unlabelled = by_hash(docs, "doc_id", docs.count(), max_unlabelled).select("text")
+    unlabelled = bounded(by_hash(docs, "doc_id", docs.count(), max_unlabelled).select("text"), max_unlabelled)
     # Texts are dealt to the halves by their content, so that copies stay together.
     halves = [[x.filter(F.pmod(F.xxhash64("text", F.lit(11)), F.lit(2)) == k) for k in (0, 1)] for x in (cut(trusted.select("text")), cut(unlabelled))]
     grams = gram_ratios(*(_gram_counts(h[0]) for h in halves))

@@ -79,7 +79,7 @@ def _counts(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = 20_000, keep: int = 4_000, steps: int = 300, rate: float = 0.05, l2: float = 1.0) -> Model:
-    """Fit on at most about max_rows labelled texts that aren't held out, taken by a hash of the id.
+    """Fit on about max_rows labelled texts that aren't held out, twice as many at most, taken by a hash of the id.
 
     Every bucket gets the log ratio of its smoothed shares among texts of either
     label. The `keep` buckets whose shares differ most for their spread stay; a

@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 
 from palimpsest.llm import toxicity_nb
+from palimpsest.llm.common import bounded, label_sample
 from palimpsest.llm.quality_pu import GRAM, GRAM_BITS, estimate_prior, features, fit, gram_buckets, gram_ratios, keep_good, quality, risk
 from palimpsest.llm.toxicity_nb import toxicity
 
@@ -136,3 +137,16 @@ def test_toxicity_counts_and_scores_by_counter(spark):
     found = toxicity_nb._counts(docs.join(labels, "doc_id").filter("crc32(cast(doc_id as string)) % 5 <> 0").select(labels["toxic"].alias("label"), "text"))
     assert found[2:] == (n_pos, n_neg)
     assert {int(b): int(found[0][b]) for b in np.flatnonzero(found[0])} == dict(pos) and {int(b): int(found[1][b]) for b in np.flatnonzero(found[1])} == dict(neg)
+
+
+def test_samples_stay_bounded_whatever_ids_repeat(spark):
+    """A third of all rows under one labelled id that isn't held out, or without one, with one text or many."""
+    hot = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5)
+    for one in (hot, "null"):
+        docs = spark.range(0, 30_000, 1, 6).selectExpr(f"case when id % 3 = 0 then {one} else id end as doc_id", "case when id % 6 = 0 then 'the same text' else concat('text ', id) end as text")
+        labels = spark.range(0, 100).selectExpr("id as doc_id", "1 as quality")
+        n = label_sample(docs, labels, "quality", 150).count()
+        assert 50 <= n <= 400 if one == hot else 30 <= n <= 100
+        assert 50 <= bounded(docs.select("text"), 150).count() <= 400
+    few = docs.filter("doc_id < 100")
+    assert bounded(few, 10_000).count() == few.count()
