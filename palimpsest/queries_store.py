@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from palimpsest.operators import adjacency, vector_index
 from palimpsest.plans import ingest
 from palimpsest.queries import _COS, _found, query
-from palimpsest.sources import keyed, tables
+from palimpsest.sources import chat_export, keyed, sinks, tables
 from palimpsest.sources.scratch import shared_folder
 
 _c = F.col
@@ -115,3 +115,26 @@ def keyset_pages(spark, d):
     first = keyed.after(table, spark, "obs_500", 100)
     last = first.agg(F.max("node_id")).first()[0]
     return first.unionByName(keyed.after(table, spark, last, 100)).select("node_id", "type") if last else first.select("node_id", "type")
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS copied, CAST(0 AS BIGINT) AS nameless, CAST(8 AS BIGINT) AS pages FROM embeddings", base=False)
+def migrated_vectors(spark, d):
+    """All vectors copied to a new place, page by page, each counted."""
+    v = tables.vectors(spark, d)
+    width = v.agg(F.max(F.size("embedding"))).first()[0] or 0
+    pages = sinks.migrate(v.select("node_id", "embedding"), _new(spark, "collection"), width)
+    return pages.agg(F.coalesce(F.sum("copied"), F.lit(0)).alias("copied"), F.coalesce(F.sum("nameless"), F.lit(0)).alias("nameless"), F.count(F.lit(1)).alias("pages"))
+
+
+@query("""WITH m AS (SELECT conv_id, count(*) FILTER (role <> 'system' AND trim(text) <> '') AS readable, count(*) FILTER (role = 'user' AND conv_id % 5 <> 3 AND trim(text) <> '') AS own FROM conversations GROUP BY 1)
+    SELECT conv_id || '.json' AS filename, CASE WHEN conv_id % 10 > 2 THEN 0 END AS position, CASE WHEN conv_id % 10 = 0 THEN 'NOT_JSON' WHEN conv_id % 10 < 3 THEN 'NO_CONVERSATIONS' WHEN conv_id % 10 = 4 THEN 'NOT_AN_OBJECT' WHEN conv_id % 10 = 5 THEN 'NO_MESSAGES' WHEN conv_id % 10 = 6 OR readable = 0 THEN 'NOTHING_READABLE' ELSE 'NOTHING_OWN' END AS reason
+    FROM m WHERE conv_id % 10 IN (0, 1, 2, 4, 5, 6) OR readable = 0 OR own = 0""", base=False)
+def chat_rejections(spark, d):
+    """The conversations as export files, some of them broken in every way: what can't be taken in, and why."""
+    t, c = tables.read(spark, d, "conversations"), _c("conv_id")
+    role = F.when(c % 10 == 6, "stranger").when((c % 5 == 3) & (_c("role") == "user"), "bot").otherwise(_c("role"))
+    said = F.array_sort(F.collect_list(F.struct("turn", role.alias("role"), _c("text").alias("content"), F.lit("2024-01-01T00:00:00Z").alias("timestamp"))))
+    files = t.groupBy("conv_id").agg(said.alias("messages"))
+    whole = F.to_json(F.struct(F.col("conv_id").cast("string").alias("id"), "messages"))
+    body = F.when(c % 10 == 0, F.substring(whole, F.lit(1), F.length(whole) - 1)).when(c % 10 == 1, "[]").when(c % 10 == 2, "7").when(c % 10 == 4, F.concat(F.lit('["text", '), whole, F.lit("]"))).when(c % 10 == 5, '{"id": "x", "messages": []}').otherwise(F.concat(F.lit('{"chats": ['), whole, F.lit("]}")))
+    return chat_export.refused(files.select(F.concat(c.cast("string"), F.lit(".json")).alias("filename"), body.alias("body"))).filter("position is null or position = 0")

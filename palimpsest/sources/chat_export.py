@@ -32,6 +32,32 @@ def rejected(files: DataFrame) -> DataFrame:
     return files.filter(F.try_parse_json("body").isNull()).select("filename", F.lit("not JSON").alias("reason"))
 
 
+def refused(files: DataFrame) -> DataFrame:
+    """(filename, position, reason): everything of some files that can't be taken in, and why; position is null for a whole file.
+
+    NOT_JSON; NO_CONVERSATIONS (JSON without a list of them or one); NOT_AN_OBJECT;
+    NO_MESSAGES; NOTHING_READABLE (each message is skipped for its role, an empty
+    content or no time); NOTHING_OWN (the person said nothing). A conversation has
+    the first reason that holds; the others of its file are taken all the same.
+    """
+    body = F.try_parse_json("body")
+    listed = lambda path: F.try_variant_get(body, path, "array<variant>")
+    whole = F.when(F.schema_of_variant(body).startswith("OBJECT"), F.array(body))
+    every = F.coalesce(listed("$"), listed("$.conversations"), listed("$.chats"), listed("$.items"), whole)
+    broken = F.when(body.isNull(), "NOT_JSON").when(every.isNull() | (F.size(every) == 0), "NO_CONVERSATIONS")
+    by_file = files.select("filename", F.lit(None).cast("int").alias("position"), broken.alias("reason")).filter("reason is not null")
+    entries = files.select("filename", F.posexplode(every).alias("position", "entry"))
+    said = messages(conversations(files)).groupBy("filename", "position").agg(F.count_if(F.col("skipped").isNull()).alias("read"), F.count_if(F.col("skipped").isNull() & (F.col("role") == "user")).alias("own"))
+    kind = F.schema_of_variant("entry")
+    held = F.try_variant_get("entry", "$.messages", "array<variant>")
+    both = entries.join(said, ["filename", "position"], "left")
+    why = (
+        F.when(F.col("entry").isNull() | ~kind.startswith("OBJECT"), "NOT_AN_OBJECT").when(F.coalesce(F.size(held), F.lit(0)) <= 0, "NO_MESSAGES")
+        .when(F.coalesce("read", F.lit(0)) == 0, "NOTHING_READABLE").when(F.col("own") == 0, "NOTHING_OWN")
+    )
+    return by_file.unionByName(both.select("filename", "position", why.alias("reason")).filter("reason is not null"))
+
+
 def content_text(content: Column) -> Column:
     """A string, {text}, {content}, or a list or {parts} of those, joined by blank lines."""
     piece = lambda v: F.coalesce(F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")), F.try_variant_get(v, "$.text", "string"), F.try_variant_get(v, "$.content", "string"))

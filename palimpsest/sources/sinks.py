@@ -90,3 +90,32 @@ def adopt(source: DataFrame, target_exists: bool, path: str) -> bool:
         return False
     source.write.mode("errorifexists").parquet(path)
     return True
+
+
+def migrate(source: DataFrame, path: str, width: int, key: str = "node_id", pages: int = 8) -> DataFrame:
+    """Copy a collection of vectors (key, embedding and any others) page by page, and say what came of it: one row of page, copied, nameless.
+
+    Pages are ranges of the key's hash, each a folder of its own that is
+    overwritten as a whole: a copy that stopped goes on with the pages that have no
+    row in `_pages`, and a page that holds fewer rows than it should is an error
+    and gets none. Vectors without a key are left out and counted; one of another
+    width than the target's is refused before anything is written.
+    """
+    spark = source.sparkSession
+    named = F.col(key).isNotNull() & (F.trim(F.col(key).cast("string")) != "")
+    odd = source.filter(named & (F.coalesce(F.size("embedding"), F.lit(-1)) != width)).select(F.size("embedding").alias("n")).limit(1).collect()
+    if odd:
+        raise ValueError(f"the target holds vectors of width {width}, the source one of {odd[0].n}")
+    schema = "page int, copied long, nameless long"
+    spark.createDataFrame([], schema).write.mode("append").parquet(f"{path}/_pages")
+    done = {r.page for r in spark.read.schema(schema).parquet(f"{path}/_pages").collect()}  # a row for each page
+    paged = source.withColumn("_page", F.coalesce(F.pmod(F.xxhash64(key), F.lit(pages)), F.lit(0)).cast("int"))
+    wanted = {r["_page"]: r for r in paged.groupBy("_page").agg(F.count_if(named).alias("named"), F.count_if(~named).alias("nameless")).collect()}
+    for page in sorted(set(range(pages)) - done):
+        folder, want = f"{path}/rows/page={page}", wanted.get(page)
+        paged.filter((F.col("_page") == page) & named).drop("_page").write.mode("overwrite").parquet(folder)
+        copied = spark.read.parquet(folder).count()
+        if want and copied != want.named:
+            raise ValueError(f"page {page} holds {copied} rows of {want.named}")
+        spark.createDataFrame([(page, copied, want.nameless if want else 0)], schema).coalesce(1).write.mode("append").parquet(f"{path}/_pages")
+    return spark.read.schema(schema).parquet(f"{path}/_pages")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.operators import adjacency, graph, scans
-from palimpsest.sources import keyed, tables
+from palimpsest.sources import chat_export, keyed, sinks, tables
 from tests.conftest import scanned
 
 FOLDER = "/root/testdata/sf0.001"
@@ -109,3 +109,23 @@ def test_a_lookup_reads_few_rows(spark):
     assert scanned(keyed._read(spark, table, [f.file for f in files]).filter("node_id = 'k100000'")) < 25_000
     assert scanned(table.rows(spark).filter("node_id = 'k1x'")) <= 25_000
     assert keyed.by_id(table, spark, "k100000").count() == 1
+
+
+def test_a_collection_is_copied_page_by_page(spark, tmp_path):
+    v = spark.createDataFrame([(f"n{i}", [1.0, 2.0]) for i in range(50)] + [(None, [1.0]), (" ", None)], "node_id string, embedding array<double>")
+    got = sinks.migrate(v, str(tmp_path / "a"), 2, pages=4)
+    assert (got.count(), *got.selectExpr("sum(copied)", "sum(nameless)").first()) == (4, 50, 2)
+    before = rows(spark.read.parquet(str(tmp_path / "a" / "rows")).select("node_id"))
+    assert len(before) == 50 and sinks.migrate(v.limit(0), str(tmp_path / "a"), 2, pages=4).count() == 4
+    assert rows(spark.read.parquet(str(tmp_path / "a" / "rows")).select("node_id")) == before
+    with pytest.raises(ValueError):
+        sinks.migrate(v, str(tmp_path / "b"), 3)
+    assert not (tmp_path / "b").exists()
+
+
+def test_every_reason_why_a_conversation_is_refused(spark):
+    own = '{"id": "c", "lastUpdated": "2024-01-01T00:00:00Z", "messages": [{"role": "user", "content": "hi"}]}'
+    other = own.replace('"user"', '"bot"')
+    bodies = {"ok": own, "list": f'[1, null, "x", {own}, {other}]', "bad": own[:-1], "none": "[]", "number": "3", "null": "null", "empty": "{}", "void": None, "items": '{"items": [' + own.replace('"hi"', '" "') + "]}", "undated": own.replace('"lastUpdated"', '"seen"')}
+    got = chat_export.refused(spark.createDataFrame(list(bodies.items()), "filename string, body string"))
+    assert rows(got) == sorted([("list", 0, "NOT_AN_OBJECT"), ("list", 1, "NOT_AN_OBJECT"), ("list", 2, "NOT_AN_OBJECT"), ("list", 4, "NOTHING_OWN"), ("bad", None, "NOT_JSON"), ("none", None, "NO_CONVERSATIONS"), ("number", None, "NO_CONVERSATIONS"), ("null", None, "NO_CONVERSATIONS"), ("empty", 0, "NO_MESSAGES"), ("void", None, "NOT_JSON"), ("items", 0, "NOTHING_READABLE"), ("undated", 0, "NOTHING_READABLE")], key=repr)
