@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,19 +92,20 @@ def expand(lists: Adjacency, ids: DataFrame, direction: str = "both", as_of: str
     return found[0].unionByName(found[1]) if len(found) == 2 else found[0]
 
 
-def neighbourhood(lists: Adjacency, start: DataFrame, depth: int, direction: str = "both", limit: int | None = None, few: int = FEW, **live) -> tuple[DataFrame, DataFrame, bool]:
+def neighbourhood(lists: Adjacency, start: DataFrame, depth: int | None, direction: str = "both", limit: int | None = None, few: int = FEW, **live) -> tuple[DataFrame, DataFrame, bool]:
     """Nodes (node_id, hop) within `depth` hops, the edges between them that were walked, and whether the limit ended the walk.
 
     As graph.neighbourhood(), over lists: the nearest nodes are kept, then the
     smaller ids, the start always, and the walk ends as soon as `limit` nodes are
     seen, also when there are no more. Each hop's edges are written once, and both
-    its nodes and the slice's edges come from what was written.
+    its nodes and the slice's edges come from what was written. Without a depth the
+    walk goes on until it finds nothing new.
     """
     seen = frontier = cut(start.select("node_id").distinct().withColumn("hop", F.lit(0)))
     n = first = seen.count() if limit is not None else 0
     walked: DataFrame | None = None
-    for hop in range(1, depth + 1):
-        if limit is not None and n >= limit:
+    for hop in count(1) if depth is None else range(1, depth + 1):
+        if (limit is not None and n >= limit) or (depth is None and frontier.isEmpty()):
             break
         found = cut(expand(lists, frontier, direction, few=few, **live))
         walked = found if walked is None else walked.unionByName(found)
@@ -119,3 +121,21 @@ def neighbourhood(lists: Adjacency, start: DataFrame, depth: int, direction: str
     kept = nodes.select("node_id")
     between = walked.dropDuplicates(_TRIPLE).drop("direction").join(kept.withColumnRenamed("node_id", "from_id"), "from_id", "left_semi").join(kept.withColumnRenamed("node_id", "to_id"), "to_id", "left_semi")
     return nodes, between, truncated
+
+
+def version_links(versions: DataFrame) -> DataFrame:
+    """The edges that build() needs for chains of versions: each to the one before it."""
+    return versions.filter("previous_version_id is not null").select(F.lit("previous_version").alias("edge_type"), F.col("node_id").alias("from_id"), F.col("previous_version_id").alias("to_id"), F.lit(None).cast("timestamp").alias("invalidated_at"))
+
+
+def version_chain(lists: Adjacency, versions: DataFrame, node_id: str) -> DataFrame:
+    """All versions of a record, back and forward from one of them, as graph.version_chain(), over lists of version_links().
+
+    A step looks up the lists of one or two ids in the buckets that they hash to,
+    so a chain of n versions takes up to n lookups, and the table of versions is
+    read once, for the rows themselves. A version whose predecessor is unknown is
+    the first; cycles end.
+    """
+    start = versions.sparkSession.createDataFrame([(node_id,)], "node_id string")
+    found, _, _ = neighbourhood(lists, start, None)
+    return versions.join(F.broadcast(found.select("node_id")), "node_id", "left_semi")  # one record's versions

@@ -98,6 +98,14 @@ def hops_in_buckets(spark, d):
     return found.groupBy("edge_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(""", start AS (SELECT chain FROM v WHERE node_id = 'bel_100') SELECT node_id, previous_version_id, version FROM v JOIN start USING (chain)""")
+def version_chain_lists(spark, d):
+    """The versions of one record, looked up step by step."""
+    v = tables.versions(spark, d)
+    lists = adjacency.build(adjacency.version_links(v), _new(spark, "lists"), buckets=8)
+    return adjacency.version_chain(lists, v, "bel_100").select("node_id", "previous_version_id", "version")
+
+
 def _keyed(spark, d):
     return keyed.write(_found(spark, d).select("node_id", "type", "event_date"), _new(spark, "records"), rows=5_000)
 

@@ -80,6 +80,14 @@ def test_odd_edges(spark):
     assert rows(nodes) == [("x", 0)] and between.count() == 0
 
 
+def test_chains_over_lists(spark):
+    v = spark.createDataFrame([("a1", None), ("a2", "a1"), ("a3", "a2"), ("b2", "lost"), ("c1", "c2"), ("c2", "c1"), ("d", None)], "node_id string, previous_version_id string")
+    lists = adjacency.build(adjacency.version_links(v), new(), buckets=2)
+    for node, want in {"a2": ["a1", "a2", "a3"], "b2": ["b2"], "c1": ["c1", "c2"], "d": ["d"], "nothing": []}.items():
+        assert [r.node_id for r in adjacency.version_chain(lists, v, node).orderBy("node_id").collect()] == want
+        assert [r.node_id for r in graph.version_chain(spark, v, node).orderBy("node_id").collect()] == want
+
+
 def test_keyed_records(spark):
     rng = random.Random(1)
     keys = [f"k{i:06d}" for i in range(5000)]
