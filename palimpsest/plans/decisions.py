@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.ids import versioned_id
 from palimpsest.functions.temporal import quiet_days
-from palimpsest.functions.text import mentions
 
 # How sure each action has to be; any other must be certain.
 THRESHOLDS = {"MERGE": 0.88, "REINFORCE": 0.80, "EVOLVE": 0.93, "BRANCH": 0.75, "CONTRADICT": 0.85, "DIALECTIC": 0.88, "REGULATE": 0.82}
@@ -146,11 +145,6 @@ def validate_findings(rows: DataFrame, known_types: list[str], excluded: list[st
     return rows.withColumn("rule", rule)
 
 
-def grounded(quotes: Column, text: Column) -> Column:
-    """Whether every quote of a finding stands in the text; none at all is fine."""
-    return F.forall(quotes, lambda q: mentions(text, q))
-
-
 def validate_chains(steps: DataFrame, cap: int = 12) -> DataFrame:
     """Causal chains (chain_id, step, kind, content): in order and cut at the cap; a bad step or fewer than two reject the chain.
 

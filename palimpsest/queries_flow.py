@@ -475,7 +475,7 @@ _READ = f"""WITH x AS (SELECT doc_id, text, source, CASE WHEN doc_id % 7 = 0 THE
       trim(CASE WHEN doc_id % 3 > 0 THEN substr(text, 11, 30) ELSE substr(text, 11, 30) || 'zq zq' END) AS quote, CASE WHEN doc_id % 4 > 0 THEN lang ELSE ' ' END AS context, CASE WHEN doc_id % 2 = 0 THEN split_part(text, ' ', 2) END AS emotion,
       CASE WHEN doc_id % 3 = 0 THEN substr(text, 5, 25) WHEN doc_id % 3 = 1 THEN substr(text, 5, 25) || 'zq' END AS felt FROM documents),
     ev AS (SELECT doc_id, CASE WHEN trim(coalesce(summary, '')) = '' THEN 'EMPTY_CONTENT' WHEN signal = 'loud' THEN 'UNKNOWN_ENUM_VALUE' END AS rule, array_to_string(list_concat(CASE WHEN n1 <> '' AND {_mentions('n1')} THEN [n1] ELSE [] END, CASE WHEN n2 <> '' AND n2 <> n1 AND {_mentions('n2')} THEN [n2] ELSE [] END), ',') AS people,
-      quote = '' OR {_mentions('quote')} AS grounded FROM x),
+      {_mentions('quote')} AS grounded FROM x),
     cap AS (SELECT doc_id AS entry_id, 'CONTEXT' AS type, CASE WHEN trim(context) <> '' THEN trim(context) END AS content, CASE WHEN trim(context) = '' THEN 'EMPTY_CONTENT' END AS rule FROM x
       UNION ALL SELECT doc_id, 'EMOTION', CASE WHEN ok THEN trim(emotion) END, CASE WHEN NOT ok THEN 'QUOTE_NOT_FOUND' END FROM (SELECT *, trim(coalesce(felt, '')) <> '' AND coalesce({_mentions('felt')}, false) AS ok FROM x) WHERE trim(coalesce(emotion, '')) <> '')"""
 
@@ -496,6 +496,21 @@ def validated_events(spark, d):
     return extraction.validate_events(_read_documents(spark, d)).select("doc_id", "rule", F.array_join("people", ",").alias("people"), "grounded")
 
 
+@query(_READ + f""", o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n, CASE doc_id % 6 WHEN 0 THEN 'CONTEXT' WHEN 1 THEN 'EMOTION' WHEN 2 THEN 'BELIEF' WHEN 3 THEN 'CORE_WOUND' WHEN 4 THEN 'PROSODY_SIGNAL' ELSE 'ODD' END AS kind, length(text) % 4 = 0 AS thin FROM x)
+    SELECT doc_id AS pos, CASE WHEN n > 150 THEN 'OVER_LIMIT' WHEN trim(coalesce(summary, '')) = '' THEN 'EMPTY_CONTENT' WHEN kind = 'ODD' THEN 'UNKNOWN_TYPE' WHEN kind = 'PROSODY_SIGNAL' THEN 'EXCLUDED_TYPE' WHEN thin AND kind NOT IN ('CONTEXT', 'EMOTION') THEN 'TYPE_NOT_ALLOWED_HERE' WHEN signal = 'loud' THEN 'UNKNOWN_ENUM_VALUE'
+      WHEN kind = 'CORE_WOUND' AND length(text) % 3 = 0 THEN 'SIGNAL_FLOOR' END AS rule, kind AS type, CASE WHEN n1 <> '' AND ({_mentions('n1')} OR doc_id % 2 = 0 AND trim({_flat('n1')}) <> '') THEN n1 END AS person, {_mentions('quote')} AS grounded FROM o""", base=False)
+def validated_observations(spark, d):
+    """Each document as a finding of its source: type and weight by turns, its first word as a person, half of them known beforehand."""
+    e, n = _c("doc_id"), F.char_length("text")
+    kinds = F.array(*[F.lit(x) for x in ("context", " Emotion ", "BELIEF", "core_wound", "prosody_signal", "odd")])
+    first = _c("people")[0]
+    rows = _read_documents(spark, d).join(tables.read(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    signal = F.when(_c("signal_strength") == "loud", "loud").when(n % 3 == 0, " standard").otherwise("high")
+    rows = rows.select(_c("source").alias("entry_id"), e.alias("pos"), F.when(n % 4 == 0, "RAW_CAPTURE").otherwise("REFLECTION").alias("entry_class"), "text", _c("summary").alias("content"), F.element_at(kinds, (e % 6 + 1).cast("int")).alias("type"), F.lit("co_created").alias("provenance"), signal.alias("signal_strength"), F.lit("High").alias("confidence"), first.alias("person"), "quotes", F.when(e % 2 == 0, F.array(F.upper(first), F.lit(""))).alias("resolved"))
+    out = extraction.validate_observations(rows, ["CONTEXT", "EMOTION", "BELIEF", "CORE_WOUND", "PROSODY_SIGNAL"], ["PROSODY_SIGNAL"], ["CORE_WOUND"], ["CONTEXT", "EMOTION"], each=150)
+    return out.select("pos", "rule", "type", "person", "grounded")
+
+
 @query(_READ + " SELECT * FROM cap", base=False)
 def thin_captures(spark, d):
     return extraction.raw_captures(_read_documents(spark, d).withColumnRenamed("doc_id", "entry_id"))
