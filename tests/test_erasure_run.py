@@ -7,7 +7,7 @@ import shutil
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.plans.erasure_run import Erasure
+from palimpsest.plans.erasure_run import CONTENTS, Erasure
 
 AT = "2024-03-01 10:00:00"
 
@@ -81,7 +81,8 @@ def test_a_run_that_failed_goes_on(spark, store):
 
 
 def test_a_step_that_is_run_again_changes_nothing(spark, store):
-    erasure, targets, root = store
+    _, targets, root = store
+    erasure = Erasure(str(root), CONTENTS[:2])
     erasure.run(spark, "u0", AT, targets)
     once = rows(spark, root, "nodes", "node_id", "content", "person")
     erasure.run(spark, "u0", AT, targets)
