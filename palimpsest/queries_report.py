@@ -25,7 +25,7 @@ _SECTIONS = {
 @query(" UNION ALL ".join(f"SELECT '{section}' AS section, (SELECT count(*) FROM ({ORACLE_SQL[name]})) AS n" for section, name in _SECTIONS.items()), base=False)
 def full_report(spark, d):
     """Every section of a week's report, with its rows as JSON lines under the section's name, counted."""
-    return report.sections({section: QUERIES[name](spark, d) for section, name in _SECTIONS.items()}).groupBy("section").agg(F.count("body").alias("n"))
+    return report.section_sizes({section: QUERIES[name](spark, d) for section, name in _SECTIONS.items()})
 
 
 #: The columns of each section, in the order in which they are told; those that end with * are fractions.

@@ -254,3 +254,8 @@ def test_buffer_stream(spark, tmp_path):
     q = buffer.stream(stream).writeStream.format("memory").queryName("held").outputMode("update").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {r.node_id for r in spark.table("held").collect()} == {r.node_id for r in buffer.replay(offers).collect()}
+
+
+def test_empty_sections_count_nothing(spark):
+    parts = {"some": spark.range(3), "none": spark.range(0)}
+    assert {tuple(r) for r in report.section_sizes(parts).collect()} == {("some", 3), ("none", 0)}
