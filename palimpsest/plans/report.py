@@ -48,9 +48,10 @@ def emerging_patterns(window: DataFrame, patterns: DataFrame, start: str, end: s
     return new.join(first, "pattern_id", "left")
 
 
-def disappearing_patterns(window: DataFrame, previous: DataFrame) -> DataFrame:
-    """Patterns of the period before that this one doesn't have."""
-    return pattern_frequency(previous).filter("share > 0").join(window.select("pattern_id"), "pattern_id", "left_anti").select("pattern_id", F.col("episodes").alias("previous_episodes"), F.col("share").alias("previous_share"))
+def disappearing_patterns(window: DataFrame, previous: DataFrame, rare: bool = False) -> DataFrame:
+    """Patterns of the period before that this one doesn't have; those whose share rounds to nothing only if `rare`."""
+    was = pattern_frequency(previous)
+    return (was if rare else was.filter("share > 0")).join(window.select("pattern_id"), "pattern_id", "left_anti").select("pattern_id", F.col("episodes").alias("previous_episodes"), F.col("share").alias("previous_share"))
 
 
 def _both(window: DataFrame, earlier: DataFrame, key: str = "pattern_id") -> DataFrame:

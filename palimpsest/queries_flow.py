@@ -602,7 +602,7 @@ def gone_people(spark, d):
     """People of one week that a single later day doesn't have: as disappearing patterns, with rows to show for it."""
     as_pattern = lambda rows: rows.drop("pattern_id").withColumnRenamed("person", "pattern_id")
     day = report.in_window(_found(spark, d), "2024-01-13", "2024-01-14")
-    gone = report.disappearing_patterns(as_pattern(day), as_pattern(_previous(spark, d)).withColumn("_", F.lit(1)))
+    gone = report.disappearing_patterns(as_pattern(day), as_pattern(_previous(spark, d)).withColumn("_", F.lit(1)), rare=True)
     return gone.select(_c("pattern_id").alias("person"), "previous_episodes")
 
 

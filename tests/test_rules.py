@@ -256,6 +256,14 @@ def test_buffer_stream(spark, tmp_path):
     assert {r.node_id for r in spark.table("held").collect()} == {r.node_id for r in buffer.replay(offers).collect()}
 
 
+def test_rare_people_disappear(spark):
+    rows = [(f"e{i}", "common", "2024-01-01") for i in range(3000)] + [("e1", "rare", "2024-01-01")]
+    was = spark.createDataFrame(rows, "episode_id string, pattern_id string, event_date string")
+    gone = lambda **more: {r.pattern_id for r in report.disappearing_patterns(was.filter("false"), was, **more).collect()}
+    assert gone() == {"common"}
+    assert gone(rare=True) == {"common", "rare"}
+
+
 def test_empty_sections_count_nothing(spark):
     parts = {"some": spark.range(3), "none": spark.range(0)}
     assert {tuple(r) for r in report.section_sizes(parts).collect()} == {("some", 3), ("none", 0)}
