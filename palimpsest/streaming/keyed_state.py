@@ -7,6 +7,7 @@ by Spark before (streaming.reports keeps such rows). State is kept by RocksDB.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -21,13 +22,18 @@ _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _HOUR = 3_600_000_000
 _DAY = 24 * _HOUR
+#: Rows of one file of a table that is replayed as a stream.
+ROWS = 500_000
 
 
 class InOrder(StatefulProcessor):
     """Rows (at: microseconds, id, and the `columns`) of a key in the order of at and id.
 
-    fold() gets the rows that the watermark has passed, due() says when it has to
-    be called next although nothing arrives.
+    fold() gets the rows that the watermark has passed and keeps what it needs in
+    self.kept (None at first, and when there is nothing to keep); due() says when it
+    has to be called next although nothing arrives. What a key keeps, what waits and
+    its one timer are one value in state, as each call to the state is a message to
+    another process: a few for a key and batch, none for a row.
     """
 
     columns = ""
@@ -35,10 +41,8 @@ class InOrder(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle = handle
         self.names = [c.split()[0] for c in ["at", "id", *filter(None, map(str.strip, self.columns.split(",")))]]
-        self.waiting = handle.getMapState("waiting", "at long, id long, again long", ", ".join(filter(None, ["at long, id long", self.columns])))
-        self.open()
-
-    def open(self) -> None: ...
+        self.row = Row(*self.names)
+        self.state = handle.getValueState("state", "pickled binary")
 
     def fold(self, key: Any, rows: list[Row], now: int) -> Iterator[Row]:
         raise NotImplementedError(type(self).__name__)
@@ -46,31 +50,33 @@ class InOrder(StatefulProcessor):
     def due(self) -> int | None:
         return None
 
-    def _ready(self, key: Any, timers) -> Iterator[Row]:
-        now = timers.getCurrentWatermarkInMs() * 1000
+    def _ready(self, key: Any, timers, new: list[tuple], fired: int | None = None) -> Iterator[Row]:
+        passed = timers.getCurrentWatermarkInMs()
+        found = self.state.get()
+        before = bytes(found[0]) if found else b""
+        waiting, self.kept, timer = pickle.loads(before) if before else ([], None, None)
         ready, ahead = [], []
-        for at in self.waiting.keys():
-            (ready if at[0] <= now else ahead).append(tuple(at))
-        rows = [Row(**dict(zip(self.names, self.waiting.getValue(at), strict=True))) for at in sorted(ready)]
-        for at in ready:
-            self.waiting.removeKey(at)
-        yield from self.fold(key[0], rows, now)
-        times = [t for t in (min(ahead)[0] if ahead else None, self.due()) if t is not None]
-        if times:
-            at = max(-(-min(times) // 1000), now // 1000 + 1)
-            if at not in set(self.handle.listTimers()):
-                self.handle.registerTimer(at)
+        for r in [*waiting, *new]:
+            (ready if r[0] <= 1000 * passed else ahead).append(r)
+        ready.sort(key=lambda r: (r[0], r[1] is not None, r[1] or 0))
+        yield from self.fold(key[0], [self.row(*r) for r in ready], 1000 * passed)
+        times = [t for t in (min((r[0] for r in ahead), default=None), self.due()) if t is not None]
+        at = max(-(-min(times) // 1000), passed + 1) if times else None
+        if timer not in (None, at, fired):
+            self.handle.deleteTimer(timer)
+        if at is not None and at != timer:
+            self.handle.registerTimer(at)
+        after = pickle.dumps((ahead, self.kept, at)) if ahead or self.kept is not None or at is not None else b""
+        if after and after != before:
+            self.state.update((after,))
+        elif before and not after:
+            self.state.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        for r in rows:
-            at = (r.at, r.id, 0)
-            while self.waiting.containsKey(at):
-                at = (*at[:2], at[2] + 1)
-            self.waiting.updateValue(at, tuple(r[n] for n in self.names))
-        yield from self._ready(key, timerValues)
+        yield from self._ready(key, timerValues, [tuple(r[n] for n in self.names) for r in rows])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        yield from self._ready(key, timerValues)
+        yield from self._ready(key, timerValues, [], expiredTimerInfo.getExpiryTimeInMs())
 
     def close(self) -> None: ...
 
@@ -89,11 +95,8 @@ class _Limit(InOrder):
     def __init__(self, limit: int, seconds: int) -> None:
         self.limit, self.span = limit, seconds * 1_000_000
 
-    def open(self) -> None:
-        self.allowed = self.handle.getListState("allowed", "at long")
-
     def fold(self, key, rows, now):
-        times = [x[0] for x in self.allowed.get()] if self.allowed.exists() else []
+        times = self.kept or []
         for r in rows:
             times = [t for t in times if r.at - t < self.span]
             free = len(times) < self.limit
@@ -102,14 +105,10 @@ class _Limit(InOrder):
             yield Row(key=key, at=r.at, id=r.id, allowed=free)
         # What no row ahead of the watermark can count any more goes, so a quiet key keeps nothing.
         times = [t for t in times if now - t < self.span]
-        if times:
-            self.allowed.put([(t,) for t in times])
-        else:
-            self.allowed.clear()
-        self.oldest = min(times, default=None)
+        self.kept = times or None
 
     def due(self):
-        return None if self.oldest is None else self.oldest + self.span
+        return min(self.kept) + self.span if self.kept else None
 
 
 def rate_limited(attempts: DataFrame, limit: int = 10, seconds: int = 300, late: str = "1 hour") -> DataFrame:
@@ -140,14 +139,8 @@ class _Held(InOrder):
     def __init__(self, size: int, idle: int, forget: int) -> None:
         self.size, self.idle, self.forget = size, idle, forget * _HOUR
 
-    def open(self) -> None:
-        self.held = self.handle.getMapState("held", "node_id string", "turn long, protected boolean")
-        self.last = self.handle.getValueState("last", "at long")
-
     def fold(self, key, rows, now):
-        held = {k[0]: list(v) for k, v in self.held.iterator()}
-        last = self.last.get()[0] if self.last.exists() else None
-        before = set(held)
+        held, last = self.kept or ({}, None)
         turns: dict[tuple[int, int], list[Row]] = {}
         for r in rows:
             turns.setdefault((r.at, r.turn), []).append(r)
@@ -160,18 +153,10 @@ class _Held(InOrder):
                 yield Row(conv_id=key, at=at, turn=turn, node_id=node, last_turn=seen, protected=safe)
         if last is not None and now - last >= self.forget:
             held, last = {}, None
-        for gone in before - set(held):
-            self.held.removeKey((gone,))
-        for node, (seen, safe) in held.items():
-            self.held.updateValue((node,), (seen, safe))
-        if last is None:
-            self.last.clear()
-        else:
-            self.last.update((last,))
-        self.until = None if last is None else last + self.forget
+        self.kept = None if last is None else (held, last)
 
     def due(self):
-        return self.until
+        return self.kept[1] + self.forget if self.kept else None
 
 
 def held(offers: DataFrame, size: int = 5, idle: int = 5, forget_hours: int = 24, late: str = "1 hour") -> DataFrame:
@@ -239,12 +224,8 @@ class _Queue(InOrder):
     def __init__(self, cap: int, snooze: int, resolve: int) -> None:
         self.limits = cap, snooze, resolve
 
-    def open(self) -> None:
-        self.kept = self.handle.getMapState("items", "id long", "created long, snoozed long, priority long, signal long, state string")
-
     def fold(self, key, rows, now):
-        queue = QueueFold({k[0]: list(v) for k, v in self.kept.iterator()}, *self.limits)
-        before = {i: list(v) for i, v in queue.items.items()}
+        queue = QueueFold(self.kept or {}, *self.limits)
         at_once: dict[int, list] = {}
         for r in rows:
             at_once.setdefault(r.at, []).append((r.id, r.kind, r.priority_rank, r.signal_rank))
@@ -253,11 +234,7 @@ class _Queue(InOrder):
                 yield Row(user_id=key, at=t, id=i, state=state)
         for t, i, state in queue.until(now):
             yield Row(user_id=key, at=t, id=i, state=state)
-        for gone in before.keys() - queue.items.keys():
-            self.kept.removeKey((gone,))
-        for i, item in queue.items.items():
-            if before.get(i) != item:
-                self.kept.updateValue((i,), tuple(item))
+        self.kept = queue.items or None
         self.next = queue.next()
 
     def due(self):
@@ -328,25 +305,18 @@ class _Decay(InOrder):
     def __init__(self, gap: int) -> None:
         self.gap = gap
 
-    def open(self) -> None:
-        self.said = self.handle.getMapState("said", "turn long", "parent long, at long")
-
     def fold(self, key, rows, now):
-        kept = {k[0]: tuple(v) for k, v in self.said.iterator()}
-        stored = set(kept)
-        last = max(((at, turn) for turn, (_, at) in kept.items()), default=None)
+        open_ = self.kept or {}
+        last = max(((at, turn) for turn, (_, at) in open_.items()), default=None)
         for r in [*rows, None]:
             if last is not None and (now if r is None else r.at) - last[0] >= self.gap:
-                for pos, turn in enumerate(thread_of({t: p for t, (p, _) in kept.items()}, last[1])):
-                    yield Row(conv_id=key, ended=last[0], messages=len(kept), pos=pos, turn=turn)
-                kept, last = {}, None
+                for pos, turn in enumerate(thread_of({t: p for t, (p, _) in open_.items()}, last[1])):
+                    yield Row(conv_id=key, ended=last[0], messages=len(open_), pos=pos, turn=turn)
+                open_, last = {}, None
             if r is not None:
-                kept[r.id] = (r.parent, r.at)
+                open_[r.id] = (r.parent, r.at)
                 last = (r.at, r.id) if last is None else max(last, (r.at, r.id))
-        for gone in stored - kept.keys():
-            self.said.removeKey((gone,))
-        for turn, value in kept.items():
-            self.said.updateValue((turn,), value)
+        self.kept = open_ or None
         self.until = None if last is None else last[0] + self.gap
 
     def due(self):
@@ -366,10 +336,10 @@ def decay_events(messages: DataFrame, gap_minutes: int = 120, late: str = "1 hou
     return found.select("conv_id", F.timestamp_micros("ended").alias("ended_at"), "messages", "pos", "turn")
 
 
-def replayed(rows: DataFrame, operator: Callable[[DataFrame], DataFrame], folder: str, order: str, parts: int = 4, end: str | None = "ts", files: int = 1) -> DataFrame:
+def replayed(rows: DataFrame, operator: Callable[[DataFrame], DataFrame], folder: str, order: str, parts: int = 4, end: str | None = "ts", files: int | None = None) -> DataFrame:
     """What a streaming operator gives when rows arrive by a column of times, in so many batches of `files` files.
 
-    The batches are cut at quantiles of the column, written one after the other
+    A batch has a file for about ROWS rows, unless `files` says. The batches are cut at quantiles of the column, written one after the other
     and read as a stream. A last row with null for everything but the time (`end`),
     a century later, lets the watermark pass all others.
     """
@@ -379,8 +349,10 @@ def replayed(rows: DataFrame, operator: Callable[[DataFrame], DataFrame], folder
     part = sum((F.coalesce(at > F.lit(edge), F.lit(False)).cast("int") for edge in edges), F.lit(0))
     rows.withColumn("_part", part).write.partitionBy("_part").parquet(f"{folder}/arrived")
     arrived = spark.read.schema(f"{rows._jdf.schema().toDDL()}, _part int").parquet(f"{folder}/arrived")
+    files = files or -(-arrived.count() // (parts * ROWS)) or 1
     for k in range(parts):
-        arrived.filter(F.col("_part") == k).drop("_part").coalesce(files).write.mode("append").parquet(f"{folder}/in")
+        part = arrived.filter(F.col("_part") == k).drop("_part")
+        (part.coalesce(1) if files == 1 else part.repartition(files)).write.mode("append").parquet(f"{folder}/in")
     if end:
         last = [F.lit("2124-01-01").cast("timestamp").alias(c) if c == end else F.lit(None).cast(t).alias(c) for c, t in rows.dtypes]
         spark.range(1).select(*last).coalesce(1).write.mode("append").parquet(f"{folder}/in")

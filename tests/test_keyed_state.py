@@ -2,7 +2,9 @@
 
 import tempfile
 from datetime import datetime, timedelta
+from pathlib import Path
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from palimpsest.operators import graph
@@ -96,3 +98,55 @@ def test_decay_events(spark):
     want = graph.thread(first, first.groupBy("conv_id").agg(F.max("turn").alias("turn")))
     assert sorted((int(r.conv_id), r.pos, r.turn) for r in got.filter("ended_at < '2024-01-03'").collect()) == sorted(map(tuple, want.collect()))
     assert [(r.conv_id, r.messages, r.turn) for r in got.filter("ended_at > '2024-01-03'").collect()] == [("1", 1, 0)]
+
+
+class Handle:
+    """State of one key, counting the messages to it."""
+
+    def __init__(self):
+        self.calls, self.value = 0, None
+
+    def getValueState(self, *_):
+        return self
+
+    def _called(self, value=None):
+        self.calls += 1
+        return value
+
+    def get(self):
+        return self._called(self.value)
+
+    def update(self, value):
+        self.value = self._called(value)
+
+    def clear(self):
+        self.value = self._called()
+
+    def registerTimer(self, _):
+        self._called()
+
+    deleteTimer = registerTimer
+
+    def getCurrentWatermarkInMs(self):
+        return 50_000
+
+
+def test_messages_to_the_state_do_not_grow_with_rows(spark):
+    def calls(n):
+        handle, limit = Handle(), keyed_state._Limit(3, 60)
+        limit.init(handle)
+        for _ in range(2):
+            told = list(limit.handleInputRows(("a",), iter([Row(at=1000 * i, id=i) for i in range(n)]), handle))
+        assert len(told) == min(n, 50_001)
+        return handle.calls
+
+    assert calls(10) == calls(1000) <= 10
+
+
+def test_a_large_replay_is_written_by_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(keyed_state, "ROWS", 100)
+    df = spark.range(2000).selectExpr("cast(id % 7 as string) key", "timestampadd(MINUTE, cast(id as int), timestamp '2024-01-01') ts", "id")
+    folder = new()
+    got = keyed_state.replayed(df, lambda s: keyed_state.rate_limited(s, 3, 1800), folder, "ts")
+    assert len(list(Path(f"{folder}/in").glob("*.parquet"))) == 4 * 5 + 1
+    assert got.filter("id is not null").count() == 2000
