@@ -6,12 +6,14 @@ A walk runs once for each hop asked for, so its plan is bounded by the depth.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions.temporal import edge_live
 from palimpsest.operators.components import connected_components
-from palimpsest.sources.scratch import cut
+from palimpsest.sources.scratch import cut, shared_folder
 
 _TRIPLE = ["edge_type", "from_id", "to_id"]
 
@@ -65,18 +67,40 @@ def drop_after(nodes: DataFrame, edges: DataFrame, as_of: str, keep: DataFrame)
     return kept, left
 
 
+#: Steps that version_chain() looks up one by one, and versions that it may hold meanwhile.
+_STEPS, _HELD = 32, 10_000
+
+
 def version_chain(spark: SparkSession, versions: DataFrame, node_id: str) -> DataFrame:
     """All versions of a record, back and forward from one of them, however many; cycles end.
 
-    They are the connected component of the node over links between versions that
-    both stand in the table, so the rounds are the logarithm of the longest chain.
+    The versions are written once. The first steps on either side are each a scan of
+    two columns for the few ids that the step before found, and nothing is shuffled.
+    A chain that isn't at its end by then is found as a connected component of the
+    links between versions that both stand in the table, in rounds that are the
+    logarithm of the longest chain.
     """
-    known = versions.select(F.col("node_id").alias("dst"))
-    links = versions.select(F.col("node_id").alias("src"), F.col("previous_version_id").alias("dst")).join(known, "dst", "left_semi")
-    found = connected_components(links)
+    path = f"{shared_folder(spark)}/versions-{uuid.uuid4().hex}"
+    versions.write.parquet(path)
+    versions = spark.read.schema(versions.schema).parquet(path)
+    links = versions.select(F.col("node_id").alias("src"), F.col("previous_version_id").alias("dst"))
+    held, asked, seen = set(), {node_id}, {node_id}
+    for _ in range(_STEPS):
+        some = list(asked)
+        met = links.filter(F.col("src").isin(some) | F.col("dst").isin(some)).limit(_HELD + 1).distinct().collect()
+        if len(held) + len(met) > _HELD:
+            break
+        there = {r.src for r in met} & asked  # the others are named by a pointer only, and lead nowhere
+        held |= there
+        ends = {r.src for r in met if r.dst in there} | {r.dst for r in met if r.src in there and r.dst is not None}
+        asked = ends - seen
+        seen |= asked
+        if not asked:
+            return versions.filter(F.col("node_id").isin(list(held))).distinct()
+    found = connected_components(links.join(versions.select(F.col("node_id").alias("dst")), "dst", "left_semi"))
     same = found.join(found.filter(F.col("node") == node_id).select("component"), "component", "left_semi").select(F.col("node").alias("node_id"))
     own = spark.createDataFrame([(node_id,)], "node_id string")
-    return versions.join(same.union(own), "node_id", "left_semi").select(versions.columns).distinct()
+    return versions.join(same.union(own), "node_id", "left_semi").distinct()
 
 
 def all_chains(versions: DataFrame) -> DataFrame:

@@ -86,6 +86,15 @@ def test_long_version_chain(spark):
     assert graph.version_chain(spark, ring, "r7").count() == 250
 
 
+def test_a_short_version_chain_is_looked_up(spark, monkeypatch):
+    """Without components of the whole table; a missing predecessor joins nothing, and an id that doesn't stand in the table finds nothing."""
+    monkeypatch.setattr(graph, "connected_components", None)
+    links = [("a", "gone"), ("b", "gone"), ("c", "b"), ("d", "c"), ("e", "c"), ("e", "c"), ("x", "y"), ("y", "x"), ("z", None)]
+    rows = spark.createDataFrame(links, "node_id string, previous_version_id string")
+    for node, want in (("b", "bcde"), ("e", "bcde"), ("a", "a"), ("x", "xy"), ("z", "z"), ("gone", ""), ("none", "")):
+        assert sorted(r.node_id for r in graph.version_chain(spark, rows, node).collect()) == list(want)
+
+
 def test_all_chains_end_in_cycles(spark):
     """Self-pointing, gapped and missing versions, a ring and what hangs from it, beside a long chain."""
     links = [("a", "a", 1), ("b", "gone", 2), ("c", "b", 9), ("r0", "r1", 1), ("r1", "r2", 2), ("r2", "r0", 3), ("s", "r1", 4)]
