@@ -5,10 +5,11 @@ import re
 from datetime import datetime
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import ids, scoring, temporal, text
-from palimpsest.operators import graph, ranking, shaping
+from palimpsest.operators import graph, ranking, shaping, vectors
 from palimpsest.operators.vectors import cosine
 from palimpsest.plans import decisions, report, retrieval
 from palimpsest.sources import chat_export, sinks
@@ -276,3 +277,19 @@ def test_rare_people_disappear(spark):
 def test_empty_sections_count_nothing(spark):
     parts = {"some": spark.range(3), "none": spark.range(0)}
     assert {tuple(r) for r in report.section_sizes(parts).collect()} == {("some", 3), ("none", 0)}
+
+
+def test_nearest_by_kind_meet_in_bounded_tasks(spark, monkeypatch):
+    """Slices and blocks of a few rows against every pair scored: equal, scaled, opposite, zero, null, short and infinite vectors."""
+    monkeypatch.setattr(vectors, "_SLICE", 9)
+    monkeypatch.setattr(vectors, "_BLOCK", 4)
+    draw = random.Random(3)
+    some = [[draw.uniform(-1, 1) for _ in range(4)] for _ in range(12)]
+    odd = [None, [], [0.0] * 4, [1.0], [1.0, None, 0.0, 0.0], [float("inf"), 1.0, 0.0, 0.0], [-x for x in some[0]], [3 * x for x in some[0]]]
+    rows = [(f"n{i}", i % 2, e) for i, e in enumerate([*some, *odd, *[some[1]] * 30, *some, *[[-1.0, -1.0, -1.0, -1.0]] * 12])]
+    v = spark.createDataFrame(rows, "node_id string, kind int, embedding array<double>")
+    q = v.withColumn("query_id", F.substring("node_id", 2, 9).cast("int"))
+    pairs = v.alias("a").join(q.alias("b"), F.expr("a.kind = b.kind and a.node_id <> b.node_id")).select("query_id", "a.node_id", cosine(F.col("a.embedding"), F.col("b.embedding")).alias("score"))
+    want = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "node_id"))).filter("rank <= 3")
+    got = vectors.by_kind(v, q, 3).select("query_id", "node_id", "score", "rank")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
