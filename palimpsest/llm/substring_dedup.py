@@ -77,10 +77,20 @@ def parse(text: bytes, length: int, section: int = SECTION) -> tuple[np.ndarray,
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def _changes(keys: tuple[np.ndarray, ...], order: np.ndarray) -> np.ndarray:
+    """Where rows of other keys begin, in an order that sorts by them; one key at a time is copied."""
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        k = k[order]
+        new[1:] |= k[1:] != k[:-1]
+    return new
+
+
 def _firsts(keys: tuple[np.ndarray, ...], doc: np.ndarray) -> np.ndarray:
     """For each row, whether no row of this batch with the same keys has a smaller id."""
     order = np.lexsort((doc, *keys))
-    new = np.concatenate(([True], np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0))) if len(order) else np.zeros(0, bool)
+    new = _changes(keys, order)
     least = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1] if len(order) else doc
     out = np.empty(len(doc), bool)
     out[order] = doc[order] == least
@@ -90,7 +100,7 @@ def _firsts(keys: tuple[np.ndarray, ...], doc: np.ndarray) -> np.ndarray:
 def _equal(keys: tuple[np.ndarray, ...], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order, new): rows sorted by keys and place, and where rows of other keys begin."""
     order = np.lexsort((at, *keys))
-    new = np.concatenate(([True], np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0))) if len(order) else np.zeros(0, bool)
+    new = _changes(keys, order)
     return order, new
 
 
@@ -115,6 +125,13 @@ def _join(parts: list[np.ndarray]) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
 
+def _drained(parts: list[np.ndarray]) -> np.ndarray:
+    """_join() of a list that is empty afterwards."""
+    out = _join(parts)
+    parts.clear()
+    return out
+
+
 def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     """Which values are among some sorted ones."""
     return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values if len(known) else np.zeros(len(values), bool)
@@ -139,17 +156,19 @@ def _phrases(texts: DataFrame, length: int, section: int, hot: np.ndarray) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            trigger, phrase, did, first, end, mark, row = [], [], [], [], [], [], []
-            for r, (i, m, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2)), strict=True)):
+            dids, marks = (np.array(batch.column(c).to_pylist(), np.int64) for c in (0, 1))
+            trigger, phrase, first, end = [], [], [], []
+            for text in as_bytes(batch.column(2)):
                 a, b, t = parse(text, length, section)
                 trigger.append(t)
                 phrase.append(_digests(text, a, b))
                 first.append(a)
                 end.append(b)
-                for out, value in ((did, i), (mark, m), (row, r)):
-                    out.append(np.full(len(a), value, np.int64))
-            t, d, a, b, m, r = (_join(x) for x in (trigger, did, first, end, mark, row))
+            r = np.repeat(np.arange(len(dids)), list(map(len, first)))
             low, high = np.concatenate(phrase, axis=1) if phrase else np.zeros((2, 0), np.int64)
+            phrase.clear()  # each list is let go as soon as it is one array: phrases of a batch are most of a worker's memory
+            t, a, b = (_drained(x) for x in (trigger, first, end))
+            d, m = dids[r], marks[r]
             open_ = _firsts((low, high, t), d)
             chosen = np.flatnonzero(open_)
             order, new = _equal((r[chosen], low[chosen], high[chosen], t[chosen]), a[chosen])
