@@ -5,10 +5,12 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from array import array
 from bisect import bisect_left, bisect_right, insort
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,15 +26,25 @@ from palimpsest.sources.scratch import cut
 REMEMBERED = 300_000
 #: Any other character sends a text to the tokenizer as a whole: white space and normal forms need its own rules.
 _OTHER = re.compile(r"[^\x20-\x7E\n\t\rÀ-ÖØ-öø-ÿ]").search
+#: Bytes of text, and texts, whose words are looked up together.
+_AT_ONCE, _ROWS = 1 << 23, 4096
 #: Rows that one window of equal lengths may hold.
 _RANKED = 100_000
 
 
+def _with_tail(word: str) -> tuple[str, ...]:
+    """A word, and apart from it the stops behind its last letter or digit: a tokenizer that splits words from signs cuts there."""
+    own = word.rstrip(".,;:!?")
+    return (own, word[len(own) :]) if own != word and own and own[-1].isalnum() else (word,)
+
+
 class _Encoder:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes.
 
     A tokenizer that drops white space splits at it first, so what stands between
-    two spaces has the same ids in any text; those are remembered.
+    two spaces has the same ids in any text; those are remembered. Where it splits
+    words from signs too, a comma or stop behind a word is looked up apart, and
+    where it lowers case so are the words, so a word is remembered in one form.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
@@ -42,32 +54,60 @@ class _Encoder:
         self.before: dict[str, bytes] = {}
         self.specials = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         with open(path, encoding="utf-8") as f:
-            splits = (json.load(f).get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
+            known = json.load(f)
+        splits = (known.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
+        normal = known.get("normalizer") or {}
+        self.lowers = any(x.get("type") == "Lowercase" for x in normal.get("normalizers", [normal]))
         self.wordwise = splits.get("type") == "Split" and splits.get("behavior") == "Removed" and splits.get("invert") is True and r"[^\s\p{L}\p{N}]" in splits["pattern"].get("Regex", "")
 
     def direct(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def encode(self, text: str) -> bytes:
-        if not self.wordwise or _OTHER(text) or any(x in text for x in self.specials):
-            return self.direct([text])[0]
-        words, known = text.split(), self.known
-        try:
-            return b"".join([known[x] for x in words])
-        except KeyError:
-            pass
-        missing = [x for x in dict.fromkeys(words) if x not in known]
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each of some texts; every different word of them is looked up once."""
+        whole = [not self.wordwise or bool(_OTHER(x)) or any(s in x for s in self.specials) for x in texts]
+        out = iter(self.direct([x for x, y in zip(texts, whole, strict=True) if y]))
+        plain = pa.array([x for x, y in zip(texts, whole, strict=True) if not y], pa.large_string())
+        lists = pc.utf8_split_whitespace(pc.utf8_lower(plain) if self.lowers else plain)
+        words = lists.flatten().dictionary_encode()
+        ids = self._looked_up(words.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, first, code = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes, words.indices.to_numpy()
+        n = sizes[code]
+        end = np.concatenate(([0], np.cumsum(n)))
+        at = np.repeat((first[code] - end[:-1]).astype(np.int32), n)
+        at += np.arange(len(at), dtype=np.int32)
+        every = flat[at]
+        cuts = end[np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy())))]
+        found = iter([every[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)])
+        return [next(out if y else found) for y in whole]
+
+    def _looked_up(self, words: list[str]) -> list[bytes]:
+        known = self.known
+        parts = list(map(known.get, words))
+        apart = {i: _with_tail(words[i]) for i, x in enumerate(parts) if x is None}
+        missing = [x for x in dict.fromkeys(chain.from_iterable(apart.values())) if x not in known]
         found = {x: self.before[x] for x in missing if x in self.before}
         new = [x for x in missing if x not in found]
         found.update(zip(new, self._apart(new), strict=True))
+        for i, own in apart.items():
+            parts[i] = b"".join([found[x] if x in found else known[x] for x in own])
         if len(known) + len(found) > self.remembered:  # what comes back is taken over from the generation before
             self.before, self.known = known, found
-            return b"".join([found[x] if x in found else known[x] for x in words])
-        known.update(found)
-        return b"".join([known[x] for x in words])
+        else:
+            known.update(found)
+        return parts
 
     def _apart(self, words: list[str]) -> list[bytes]:
-        """Ids of each of some words, from one call on all of them."""
+        """Ids of each of some words: of one in ASCII letters by the model alone, as no rule cuts or changes it; of the rest from one call on all of them."""
+        if not self.lowers:
+            return self._cut_apart(words)
+        plain = [x.isascii() and x.isalpha() for x in words]
+        rest = iter(self._cut_apart([x for x, y in zip(words, plain, strict=True) if not y]))
+        tokenize = self.tokenizer.model.tokenize
+        return [array("I", [t.id for t in tokenize(x)]).tobytes() if y else next(rest) for x, y in zip(words, plain, strict=True)]
+
+    def _cut_apart(self, words: list[str]) -> list[bytes]:
         found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
         ids = np.array(found.ids, "<u4")
         at = np.fromiter((a for a, _ in found.offsets), np.int64, len(ids))
@@ -76,6 +116,19 @@ class _Encoder:
         return [ids[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
 
+def _groups(texts: Iterator[bytes]) -> Iterator[list[str]]:
+    """Texts a few at a time, of _AT_ONCE bytes or so."""
+    group, size = [], 0
+    for text in texts:
+        group.append(text.decode("utf-8", "replace"))
+        size += len(text)
+        if size >= _AT_ONCE or len(group) >= _ROWS:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
 @lru_cache(maxsize=2)
 def _encoder(path: str, remembered: int) -> _Encoder:
     """One encoder for all tasks of a Python worker, so that what it remembers outlives a task."""
@@ -97,8 +150,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
         step = 4 * capacity
         for batch in batches:
             row, piece, start, length, out = [], [], [], [], []
-            for i, text in enumerate(as_bytes(batch.column(1))):
-                ids = encoder.encode(text.decode("utf-8", "replace")) + end
+            for i, found in enumerate(chain.from_iterable(map(encoder.encode, _groups(as_bytes(batch.column(1)))))):
+                ids = found + end
                 for k, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
                     row.append(i)

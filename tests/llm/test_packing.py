@@ -6,7 +6,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from palimpsest.llm.packing import pack, pack_documents, plan_bins
+from palimpsest.llm.packing import _Encoder, pack, pack_documents, plan_bins
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -71,3 +71,15 @@ def test_one_length_in_many_buckets(spark, monkeypatch):
     got = pack(rows, 20).collect()
     assert len(got) == 1000
     check_full([(r.length, r.sequence_id, r.offset) for r in got], 20)
+
+
+def test_a_word_is_remembered_in_one_form():
+    """Case and stops behind a word make no new entry, and ids stay those of the tokenizer on the whole text."""
+    encoder, tokenizer = _Encoder(PATH, 50), Tokenizer.from_file(PATH)
+    encoder.encode(["qorvan . ,", "", " Qorvan, QORVAN. qorvan."])
+    assert set(encoder.known) - {""} == {"qorvan", ".", ","}
+    rng = random.Random(3)
+    parts = ["Été", "it's", "'s", "x'", "a.b", "...", "?!", "12", "7.", "ß.", "½", "(n)", "I'LL", "q,,", "--", "'", "e.g.", "O'", "_", "word;:"]
+    for _ in range(60):
+        texts = [" ".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(0, 30))) for _ in range(5)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
