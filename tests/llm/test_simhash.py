@@ -188,3 +188,42 @@ def test_components(spark):
     got = {r.node: r.component for r in connected_components(edges).collect()}
     assert got == {**{i: 0 for i in range(41)}, 98: 98, 99: 98, 100: 98}
     assert connected_components(edges.limit(0)).collect() == []
+
+
+def test_pipeline_candidates_come_from_simhash(spark):
+    """The pipeline's candidates: SimHash of the set of shingles, whose samples are its bits; groups of each sample against all pairs, however many rows share it."""
+    rows = corpus()[:60] + [(9000, None), (9001, "one two"), (9002, "a b c d e f g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = module.set_prints(docs, 5)
+    got = {r.doc_id: r for r in prints.collect()}
+    bits = {}
+    for d, t in rows:
+        h = module.shingle_set((t or "").encode(), 5)
+        words = module._signs([h], module._WORDS)
+        assert [got[d].f0 % (1 << 64), got[d].f1 % (1 << 64)] == words[:2]
+        bits[d] = [w >> b & 1 for w in words for b in range(64)]
+        own = ["".join(str(bits[d][i]) for i in module._DRAWN[16 * k : 16 * k + 16]) for k in range(120)]
+        assert got[d].samples == ([k << 16 | int(x, 2) for k, x in enumerate(own)] if len(h) else [])
+    nodes = prints.dropDuplicates(["node"])
+    rows = nodes.collect()
+    for shared in (1024, 3):
+        by_sample, want = {}, set()
+        for r in rows:
+            for x in r.samples:
+                by_sample.setdefault(x, []).append(r)
+        for own in by_sample.values():
+            near = lambda a, b: len(own) > shared or sum(((a[f] ^ b[f]) % (1 << 64)).bit_count() for f in ("f0", "f1")) <= module._APART  # noqa: E731, B023
+            left = list(own)
+            while left:
+                group, front = [], [left.pop()]
+                while front:
+                    a = front.pop()
+                    group.append(a.node)
+                    front += [b for b in left if near(a, b)]
+                    left = [b for b in left if b not in front]
+                want |= {frozenset(group)} if len(group) > 1 else set()
+        edges = {(r.src, r.dst) for r in module.near_groups(nodes, shared).collect()}
+        together = {frozenset((a, b)) for g in want for a in g for b in g}
+        assert edges and all(frozenset(e) in together for e in edges)
+        found = {r.node: r.component for r in connected_components(spark.createDataFrame(list(edges), "src long, dst long")).collect()}
+        assert set(found) == set().union(*want) and all(len({found[x] for x in g}) == 1 for g in want)
