@@ -22,6 +22,9 @@ MOST_CELLS = 16_384
 SLICE = 50_000
 #: Queries of one cell that meet a slice at once.
 BLOCK = 4_096
+#: Vectors that a task scores at once, against QUERIES_AT_ONCE queries or all centres.
+ROWS_AT_ONCE = 2_048
+QUERIES_AT_ONCE = 256
 #: The cell of what has no direction or another width.
 OUTSIDE = -1
 
@@ -205,6 +208,17 @@ def _best(scores: np.ndarray, allowed: np.ndarray | None, keep: int) -> tuple[np
     return np.nonzero((scores >= last) & (scores > -np.inf))
 
 
+def _merged(q: np.ndarray, r: np.ndarray, score: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows found for queries in several pieces the `keep` best of each query, and those that tie with the last of them."""
+    order = np.lexsort((-score, q))
+    q, r, score = q[order], r[order], score[order]
+    new = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1]))) if len(q) else np.zeros(0, np.int64)
+    size = np.diff(np.append(new, len(q)))
+    last = np.repeat(score[new + np.minimum(size, keep) - 1], size) if len(q) else score
+    held = score >= last
+    return q[held], r[held], score[held]
+
+
 def _candidates(index: VectorIndex, probes: DataFrame, keep: int, exact: bool, within: str | None, few: bool) -> DataFrame:
     """(query_id, key, cell, approx): the best of each slice for each query that probes its cell.
 
@@ -223,11 +237,20 @@ def _candidates(index: VectorIndex, probes: DataFrame, keep: int, exact: bool, w
     names = ["query_id", key, "cell", "approx"]
 
     def met(table: pa.Table, cell: int, ids: pa.Array, unit: np.ndarray, own: np.ndarray | None) -> pa.Table:
-        allowed = None if own is None else own[:, None] == np.array(table["within"].to_pylist(), object)[None, :]
-        scores = _scores(table, centres[cell], unit, exact)
-        q, r = _best(scores, allowed, keep)
-        columns = [ids.take(pa.array(q)), table[key].combine_chunks().take(pa.array(r)), pa.array(np.full(len(q), cell, np.int32)), pa.array(scores[q, r].astype(np.float64))]
-        return pa.table(columns, names)
+        """The best of a table for each query, scored piece by piece: what is in memory at once doesn't grow with rows times queries."""
+        best = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.float64))
+        for at in range(0, len(table), ROWS_AT_ONCE):
+            part = table.slice(at, ROWS_AT_ONCE).combine_chunks()
+            kinds = None if own is None else np.array(part["within"].to_pylist(), object)
+            parts = [best]
+            for k in range(0, len(unit), QUERIES_AT_ONCE):
+                some = slice(k, k + QUERIES_AT_ONCE)
+                scores = _scores(part, centres[cell], unit[some], exact)
+                q, r = _best(scores, None if own is None else own[some, None] == kinds[None, :], keep)
+                parts.append((q + k, r + at, scores[q, r].astype(np.float64)))
+            best = _merged(*(np.concatenate(x) for x in zip(*parts, strict=True)), keep)
+        q, r, score = best
+        return pa.table([ids.take(pa.array(q)), table[key].combine_chunks().take(pa.array(r)), pa.array(np.full(len(q), cell, np.int32)), pa.array(score)], names)
 
     if few:
         # At most SENT_QUERIES queries, and their cells.
@@ -247,9 +270,7 @@ def _candidates(index: VectorIndex, probes: DataFrame, keep: int, exact: bool, w
                 for c in np.unique(at).tolist():
                     who = np.array(by_cell[c])
                     part = table.take(pa.array(np.flatnonzero(at == c)))
-                    for k in range(0, len(who), 256):
-                        few_ = who[k : k + 256]
-                        yield from met(part, c, ids.take(pa.array(few_)), unit[few_], None if own is None else own[few_]).combine_chunks().to_batches()
+                    yield from met(part, c, ids.take(pa.array(who)), unit[who], None if own is None else own[who]).combine_chunks().to_batches()
 
         return stored.mapInArrow(run, schema)
 
@@ -262,7 +283,7 @@ def _candidates(index: VectorIndex, probes: DataFrame, keep: int, exact: bool, w
     def pair(asked_: pa.Table, table: pa.Table) -> pa.Table:
         if not len(asked_) or not len(table):
             return pa.table([pa.array([], t) for t in (asked_.schema.field("query_id").type, table.schema.field(key).type, pa.int32(), pa.float64())], names)
-        unit = np.array(asked_["unit"].to_pylist(), np.float64)
+        unit = asked_["unit"].combine_chunks().flatten().to_numpy().reshape(len(asked_), -1)
         own = np.array(asked_["within"].to_pylist(), object) if within else None
         return met(table, asked_["cell"][0].as_py(), asked_["query_id"].combine_chunks(), unit, own)
 

@@ -93,3 +93,17 @@ def test_scores_equal_the_scan(spark, index):
     scan = vectors.top_k(v, v.filter("vec_id = 7"), 20).collect()
     got = vector_index.search(index, v.filter("vec_id = 7").selectExpr("vec_id as query_id", "embedding"), 20, probes=2, exact=True).orderBy("rank").collect()
     assert [(r.node_id, round(r.score, 9)) for r in got] == [(r.node_id, round(r.score, 9)) for r in scan]
+
+
+def test_no_task_scores_all_queries_and_rows_at_once():
+    """Pieces of rows and queries: no matrix of scores beyond them, and the same neighbours, ties included."""
+    assert vector_index.ROWS_AT_ONCE * vector_index.QUERIES_AT_ONCE * 8 <= 1 << 23
+    rng = np.random.default_rng(4)
+    scores = np.round(rng.normal(size=(6, 40)), 1)
+    for keep in (1, 3, 40, 50):
+        want = set(zip(*(x.tolist() for x in vector_index._best(scores, None, keep)), strict=True))
+        parts = (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        for at in range(0, 40, 7):
+            q, r = vector_index._best(scores[:, at : at + 7], None, keep)
+            parts = vector_index._merged(*(np.concatenate(x) for x in zip(parts, (q, r + at, scores[q, r + at]), strict=True)), keep)
+        assert set(zip(parts[0].tolist(), parts[1].tolist(), strict=True)) == want
