@@ -23,12 +23,17 @@ def fill_partitions(df: DataFrame) -> DataFrame:
 
 
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes]:
-    """UTF-8 bytes of each text of an Arrow column, a few of them in memory at once; null gives no bytes."""
+    """UTF-8 bytes of each text of an Arrow column, a few of them in memory at once; null gives no bytes.
+
+    At the end Arrow gives back what it keeps of batches that are gone: a worker
+    holds it as long as it lives, whatever runs there later.
+    """
     for chunk in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
         kind = pa.large_binary() if pa.types.is_large_string(chunk.type) else pa.binary()
         for at in range(0, len(chunk), 256):
             for x in chunk.slice(at, 256).cast(kind).to_pylist():
                 yield x or b""
+    pa.default_memory_pool().release_unused()
 
 
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

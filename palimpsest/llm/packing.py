@@ -28,6 +28,8 @@ REMEMBERED = 300_000
 _OTHER = re.compile(r"[^\x20-\x7E\n\t\rÀ-ÖØ-öø-ÿ]").search
 #: Bytes of text, and texts, whose words are looked up together.
 _AT_ONCE, _ROWS = 1 << 23, 4096
+#: Of these, words whose ids are looked up in Python at once, and texts whose ids are put together at once.
+_WORDS, _TEXTS = 1 << 14, 256
 #: Rows that one window of equal lengths may hold.
 _RANKED = 100_000
 
@@ -69,18 +71,31 @@ class _Encoder:
         out = iter(self.direct([x for x, y in zip(texts, whole, strict=True) if y]))
         plain = pa.array([x for x, y in zip(texts, whole, strict=True) if not y], pa.large_string())
         lists = pc.utf8_split_whitespace(pc.utf8_lower(plain) if self.lowers else plain)
-        words = lists.flatten().dictionary_encode()
-        ids = self._looked_up(words.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat, first, code = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes, words.indices.to_numpy()
+        counts, words = pc.list_value_length(lists).to_numpy(), lists.flatten().dictionary_encode()
+        del plain, lists  # words in whole lists, and their ids in Python, would be most of a worker's memory
+        flat, sizes = self._ids_of(words.dictionary)
+        first, code, ends = np.cumsum(sizes) - sizes, words.indices.to_numpy(), np.cumsum(counts)
+        found = chain.from_iterable(self._put_together(flat, first, sizes, code, counts[at : at + _TEXTS], ends[at : at + _TEXTS]) for at in range(0, len(counts), _TEXTS))
+        return [next(out if y else found) for y in whole]
+
+    @staticmethod
+    def _put_together(flat: np.ndarray, first: np.ndarray, sizes: np.ndarray, code: np.ndarray, counts: np.ndarray, ends: np.ndarray) -> Iterator[bytes]:
+        """Ids of a few texts that follow each other, of so many words up to those ends."""
+        code = code[int(ends[0] - counts[0]) : int(ends[-1])]
         n = sizes[code]
         end = np.concatenate(([0], np.cumsum(n)))
-        at = np.repeat((first[code] - end[:-1]).astype(np.int32), n)
-        at += np.arange(len(at), dtype=np.int32)
-        every = flat[at]
-        cuts = end[np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy())))]
-        found = iter([every[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)])
-        return [next(out if y else found) for y in whole]
+        every = flat[np.repeat(first[code] - end[:-1], n) + np.arange(end[-1])]
+        cuts = end[np.concatenate(([0], np.cumsum(counts)))].tolist()
+        return (every[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True))
+
+    def _ids_of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, one after another, and how many each has; _WORDS of them are Python's at once."""
+        flat, sizes = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
+        for at in range(0, len(words), _WORDS):
+            ids = self._looked_up(words.slice(at, _WORDS).to_pylist())
+            flat.append(np.frombuffer(b"".join(ids), "<u4"))
+            sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)) // 4)
+        return np.concatenate(flat), np.concatenate(sizes)
 
     def _looked_up(self, words: list[str]) -> list[bytes]:
         known = self.known

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -83,3 +84,21 @@ def test_a_word_is_remembered_in_one_form():
     for _ in range(60):
         texts = [" ".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(0, 30))) for _ in range(5)]
         assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_words_are_looked_up_a_few_at_a_time():
+    """What Python holds for a group of texts is a few times its bytes, also where nearly every word is another one."""
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = [" ".join("".join(rng.choices(letters, k=6)) for _ in range(1_000)) + f" {i}, Été." for i in range(300)]
+    encoder, tokenizer = _Encoder(PATH, 1_000), Tokenizer.from_file(PATH)
+    tracemalloc.start()
+    try:
+        found = encoder.encode(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 20 * sum(map(len, texts))
+    for i in (0, 1, 255, 256, 299):
+        assert np.frombuffer(found[i], "<u4").tolist() == tokenizer.encode(texts[i], add_special_tokens=False).ids
+    assert encoder.encode([]) == []
