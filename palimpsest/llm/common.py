@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +38,16 @@ def as_bytes(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes]:
     pa.default_memory_pool().release_unused()
 
 
+def in_pieces(batch: pa.RecordBatch, column: int | str, n_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of at most so many bytes in a text column each, or of one row that has more: what a task holds at once doesn't follow from the batch."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(ends):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + n_bytes, side="right")))
+        yield batch.slice(at, upto - at)
+        at = upto
+
+
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns an operator reads, under fixed names; all others stay unread."""
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))

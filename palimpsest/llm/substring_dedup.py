@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import reduce
+from itertools import chain
 from operator import or_
 
 import numpy as np
@@ -15,13 +16,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import as_bytes, fill_partitions, id_and_text
+from palimpsest.llm.common import as_bytes, fill_partitions, id_and_text, in_pieces
 from palimpsest.sources.scratch import cut, shared_folder
 
 #: Bytes of a trigger. Each string of the length searched for holds at least one.
 TRIGGER = 20
 #: A longer text is parsed in sections of so many bytes.
 SECTION = 1 << 25
+#: Bytes of text whose phrases a task holds at once, if it isn't one text; a phrase takes far more than the 15 bytes it stands for.
+_PIECE = 1 << 23
 _PLACE = np.uint64((1 << 26) - 1)
 _NO_ID = (1 << 63) - 1
 #: Of so many documents one shows which triggers are hot, and every text of so many bytes does; a hot one has more than a quarter of a task's share of rows, and so many at least.
@@ -147,15 +150,16 @@ def _phrases(texts: DataFrame, length: int, section: int, hot: np.ndarray) -> Da
 
     Of equal phrases of one document only the first goes on: what is found out
     about it holds for all of them (_others()), and a run of one character is one
-    row. Of equal phrases in one batch only those of the smallest id go on; the
-    others are known to repeat, and go on as merged spans under a key of their own,
-    with 0 for the length and that of the span in place of the phrase's hash. So a
-    text that makes up a third of all rows is a few rows for each batch.
+    row. Texts are taken in pieces of _PIECE bytes. Of equal phrases in one piece only
+    those of the smallest id go on; the others are known to repeat, and go on as
+    merged spans under a key of their own, with 0 for the length and that of the
+    span in place of the phrase's hash. So a text that makes up a third of all rows
+    is a few rows for each piece.
     """
     names = ["key", "place", "did", "mark", "low", "rest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chain.from_iterable(in_pieces(x, 2, _PIECE) for x in batches):
             dids, marks = (np.array(batch.column(c).to_pylist(), np.int64) for c in (0, 1))
             trigger, phrase, first, end = [], [], [], []
             for text in as_bytes(batch.column(2)):
@@ -166,7 +170,7 @@ def _phrases(texts: DataFrame, length: int, section: int, hot: np.ndarray) -> Da
                 end.append(b)
             r = np.repeat(np.arange(len(dids)), list(map(len, first)))
             low, high = np.concatenate(phrase, axis=1) if phrase else np.zeros((2, 0), np.int64)
-            phrase.clear()  # each list is let go as soon as it is one array: phrases of a batch are most of a worker's memory
+            phrase.clear()  # each list is let go as soon as it is one array: phrases of a piece are most of a worker's memory
             t, a, b = (_drained(x) for x in (trigger, first, end))
             d, m = dids[r], marks[r]
             open_ = _firsts((low, high, t), d)

@@ -1,9 +1,11 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.llm import substring_dedup as module
+from palimpsest.llm.common import in_pieces
 from palimpsest.llm.substring_dedup import substring_dedup
 
 
@@ -105,3 +107,29 @@ def test_equal_phrases_of_a_document_are_one_row(spark):
 def test_ids_that_are_not_integers_are_refused(spark):
     with pytest.raises(ValueError):
         substring_dedup(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
+
+
+def test_phrases_of_a_batch_are_taken_in_pieces(monkeypatch):
+    """A task holds the phrases of a few texts, however large the batch: each piece goes on before the next one is parsed."""
+
+    class Texts:
+        def mapInArrow(self, run, schema):
+            return run
+
+    monkeypatch.setattr(module, "_PIECE", 50_000, raising=False)
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("abcdefgh ", k=10_000)) for _ in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array([0] * 40), pa.array(texts)], ["did", "mark", "text"])
+    out = list(module._phrases(Texts(), 50, module.SECTION, module.np.zeros(0, module.np.int64))(iter([batch])))
+    assert len(out) == 8 and sum(map(len, out)) > 20_000
+    assert max(map(len, out)) < 5_000
+    assert sorted({d for x in out for d in x.column(2).to_pylist()}) == list(range(40))
+
+
+def test_pieces_hold_every_row_once():
+    sizes = [3, 0, None, 7, 30, 1, 1, 10, 0]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array([n if n is None else "x" * n for n in sizes])], ["doc_id", "text"])
+    pieces = [x.column(0).to_pylist() for x in in_pieces(batch.slice(0), 1, 10)]
+    assert pieces == [[0, 1, 2, 3], [4], [5, 6], [7, 8]]
+    assert [x.column(0).to_pylist() for x in in_pieces(batch.slice(3), "text", 10)] == [[3], [4], [5, 6], [7, 8]]
+    assert list(in_pieces(batch.slice(9), 1, 10)) == []
