@@ -271,6 +271,20 @@ def near_groups(nodes: DataFrame, shared: int = _SHARED) -> DataFrame:
     return rows.repartition("sample").sortWithinPartitions("sample").mapInArrow(run, "src long, dst long")
 
 
+def _stars(links: DataFrame) -> DataFrame:
+    """(src, dst): of the links (src, dst) of near_groups() as few as put the same sets together: the firsts of a set's groups, and the set, each with the least of them.
+
+    A set has a first in each sample at most, so its firsts are a short list however
+    large its group is. A group of near copies has dozens of links a member, as its
+    samples fall into groups with firsts of their own; here that becomes a few, without
+    a join, and only those go through the rounds of the components.
+    """
+    firsts = links.groupBy("dst").agg(F.collect_set("src").alias("firsts"))
+    all_of = firsts.select(F.array_append("firsts", F.col("dst")).alias("of"))
+    stars = all_of.select(F.explode("of").alias("src"), F.array_min("of").alias("dst"))
+    return stars.filter("src <> dst").distinct()
+
+
 def _sets_of(needed: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
     """(node, shingles): the sets of some nodes, from the text of one document each."""
     needed = cut(nodes.join(needed, "node", "left_semi").select("node", "low_id"))
@@ -374,7 +388,7 @@ def linked_sets(nodes: DataFrame, docs: DataFrame, shingle: int, similarity: flo
     that, its parts are compared two by two.
     """
     hundredths = round(100 * similarity)
-    met = cut(connected_components(cut(near_groups(nodes).distinct())).select("node", F.col("component").alias("bucket")))
+    met = cut(connected_components(cut(_stars(near_groups(nodes)))).select("node", F.col("component").alias("bucket")))
     groups = cut(met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.max("node").alias("high")))
     pairs = cut(groups.filter("n = 2").select(F.col("high").alias("src"), F.col("low").alias("dst")))
     dense = cut(groups.filter("n > 2").select("bucket", "low", F.ceil(F.col("n") / _DEALT).cast("int").alias("parts")))

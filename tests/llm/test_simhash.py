@@ -227,3 +227,16 @@ def test_pipeline_candidates_come_from_simhash(spark):
         assert edges and all(frozenset(e) in together for e in edges)
         found = {r.node: r.component for r in connected_components(spark.createDataFrame(list(edges), "src long, dst long")).collect()}
         assert set(found) == set().union(*want) and all(len({found[x] for x in g}) == 1 for g in want)
+
+
+def test_links_of_a_group_are_few_before_they_are_joined(spark):
+    """A large group of near copies puts a few links a member into the components, not one for each of its samples; they put the same sets together."""
+    rng, words = random.Random(21), [f"g{i}" for i in range(150)]
+    rows = [(i, " ".join(f"x{rng.randrange(10**6)}" if rng.random() < 0.008 else w for w in words)) for i in range(600)]
+    nodes = module.set_prints(spark.createDataFrame(rows, "doc_id long, text string"), 5).dropDuplicates(["node"]).cache()
+    for part in (nodes.filter("doc_id < 300"), nodes):
+        links = module.near_groups(part).cache()
+        stars = module._stars(links).cache()
+        assert links.distinct().count() > 10 * part.count() and stars.count() < 5 * part.count()
+        assert sorted(connected_components(stars).collect()) == sorted(connected_components(links).collect())
+    assert module._stars(links.limit(0)).collect() == []
